@@ -11,12 +11,12 @@ doc_ids pass through. Input columns named ids or decoded are replaced.
 from __future__ import annotations
 
 import base64
-from itertools import chain
+import uuid
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 NONE = 1 << 60
 #: The Unicode property White_Space, as the pattern's \s means it.
@@ -81,39 +81,58 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Encoder:
-    """Encodes texts piece by piece; remembers the ids of up to `remembered` short pieces."""
+class Encoder(dict):
+    """Encodes texts piece by piece; remembers the ids (as uint32 bytes) of up to `most` different pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000):
-        self.ranks, self.find, self.seen, self.most = ranks, splitter(pattern).findall, {}, remembered
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 800_000):
+        super().__init__()
+        self.ranks, self.find, self.most = ranks, splitter(pattern).findall, most
 
-    def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
-        seen = self.seen
-        for p in {*pieces} - seen.keys() if len(pieces) < self.most else pieces:
-            if p not in seen:
-                if len(seen) >= self.most:
-                    seen.clear()
-                    return self._plain(pieces)
-                seen[p] = merge(p.encode(), self.ranks)
-        return list(chain.from_iterable(map(seen.__getitem__, pieces)))
-
-    def _plain(self, pieces: list[str]) -> list[int]:
-        ids: list[int] = []
-        for p in pieces:
-            ids += merge(p.encode(), self.ranks) if (own := self.seen.get(p)) is None else own
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        if len(piece) < 100:
+            self[piece] = ids
         return ids
 
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
+        pieces, parts = self.find(text), []
+        for at in range(0, len(pieces), 50_000):
+            if len(self) > self.most:
+                self.clear()
+            parts.append(b"".join(map(self.__getitem__, pieces[at : at + 50_000])))
+        return b"".join(parts)
+
+
+#: The last encoder of this Python worker, which its next task goes on with.
+_KEPT: dict[str, Encoder] = {}
+
+
+def kept_encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoder(ranks, pattern)
+    return _KEPT[key]
+
+
+def parts(batches, rows: int = 128):
+    """Arrow batches in parts of a few rows, for texts can be long."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """docs plus ids array<int>: the ids of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: 50 thousand entries
+    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex  # a vocabulary: 50 thousand entries
 
     def of(batches):
-        encoder = Encoder(shared.value, pattern)
-        for b in batches:
-            ids = [encoder.encode(t or "") for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, "ids"])
+        encoder = kept_encoder(key, shared.value, pattern)
+        for b in parts(batches):
+            ids = [np.frombuffer(encoder.encode(t.as_py() or ""), "<i4") for t in b.column(text)]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "ids"])
 
     rows = docs.drop("ids")
     return rows.mapInArrow(of, _schema(rows) + ", ids array<int>")
@@ -125,8 +144,8 @@ def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def of(batches):
         of_id = {i: b for b, i in shared.value.items()}
-        for b in batches:
-            texts = [b"".join(map(of_id.__getitem__, ids or ())) for ids in b.column("ids").to_pylist()]
+        for b in parts(batches):
+            texts = [b"".join(map(of_id.__getitem__, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
 
     rows = rows.drop("decoded")

@@ -55,10 +55,9 @@ def bpe_digests(spark: SparkSession, docs: DataFrame, ranks_path: str) -> DataFr
 
     def digests(batches):
         for b in batches:
-            ids = b.column("ids")
-            values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            own = [sha256(values[a:e].astype("<u4").tobytes()).hexdigest() for a, e in zip(ends, ends[1:])]
-            columns = [b.column("doc_id"), pa.array(ends[1:] - ends[:-1], pa.int64()), pa.array(own, pa.string()), b.column("decoded")]
+            ids = [x.values.to_numpy() for x in b.column("ids")]
+            own = [sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            columns = [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(own, pa.string()), b.column("decoded")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded"])
 
     rows = bpe.decoded(rows, ranks).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
