@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
 A leaf is a byte position where a live token starts; it holds the rank of the token merged with the next live one.
-Inner nodes hold the leftmost smallest rank below them, so a merge reads the root and updates the leaves of the
-token, the one before and the one swallowed: O(log n) each, O(n log n) for a piece of n bytes, however long.
+Inner nodes hold the leftmost smallest rank of their FAN children, so a merge reads the root and updates the leaves
+of the token, the one before and the one swallowed: O(log n) each, O(n log n) for a piece of n bytes, however long.
 
 Edge cases: a null or empty text has no ids; strings of special tokens are ordinary text; repeated rows and null
 doc_ids pass through. Input columns named ids or decoded are replaced.
@@ -11,6 +11,7 @@ doc_ids pass through. Input columns named ids or decoded are replaced.
 from __future__ import annotations
 
 import base64
+import struct
 import uuid
 
 import numpy as np
@@ -19,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 
 NONE = 1 << 60
+#: Children of a node of the tree; a piece of up to FAN + 1 bytes has one node.
+FAN = 16
 #: The Unicode property White_Space, as the pattern's \s means it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -39,41 +42,37 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece: always merge the leftmost pair of smallest rank."""
     if piece in ranks:
         return [ranks[piece]]
-    n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    tree = [NONE] * (2 * size)  # a leaf is rank * size + position, so the minimum is the leftmost
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r * size + i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    n, get = len(piece), ranks.get
+    # a leaf is rank * n + position, so that the minimum is the leftmost of the smallest rank
+    leaves = [NONE if (r := get(piece[i : i + 2])) is None else r * n + i for i in range(n - 1)]
+    tree = [leaves]
+    while len(tree[-1]) > FAN:
+        tree.append([min(tree[-1][i : i + FAN]) for i in range(0, len(tree[-1]), FAN)])
+    top, inner = tree[-1], tree[:-1]
     end = list(range(1, n + 1))  # of the token that starts here
     prev = list(range(-1, n))  # the start of the token before the one that starts here
-
-    while (least := tree[1]) < NONE:
-        i = least % size
+    while (least := min(top)) < NONE:
+        i = least % n
         j = end[i]  # the token at j is swallowed
         stop = end[i] = end[j]
         if stop < n:
             prev[stop] = i
-        changed = [(i, piece[i : end[stop]] if stop < n else None), (j, None)]
+            leaves[j] = NONE
+            leaves[i] = NONE if (r := get(piece[i : end[stop]])) is None else r * n + i
+        else:
+            leaves[i] = NONE
+            if j < n - 1:
+                leaves[j] = NONE
         if i:
-            changed.append((p := prev[i], piece[p:stop]))
-        for at, pair in changed:
-            r = get(pair) if pair is not None else None
-            at_leaf = size + at
-            tree[at_leaf] = NONE if r is None else r * size + at
-            at_leaf >>= 1
-            while at_leaf:
-                a, b = tree[2 * at_leaf], tree[2 * at_leaf + 1]
-                m = a if a < b else b
-                if tree[at_leaf] == m:
-                    break
-                tree[at_leaf] = m
-                at_leaf >>= 1
+            p = prev[i]
+            leaves[p] = NONE if (r := get(piece[p:stop])) is None else r * n + p
+        if inner:
+            for at in (i, j, prev[i]):
+                for level, above in zip(inner, tree[1:]):
+                    at //= FAN
+                    if not 0 <= at < len(above) or above[at] == (m := min(level[at * FAN : at * FAN + FAN])):
+                        break
+                    above[at] = m
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -89,7 +88,8 @@ class Encoder(dict):
         self.ranks, self.find, self.most = ranks, splitter(pattern).findall, most
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        own = merge(piece.encode(), self.ranks)
+        ids = struct.pack(f"<{len(own)}I", *own)
         if len(piece) < 100:
             self[piece] = ids
         return ids
