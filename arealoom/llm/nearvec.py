@@ -72,7 +72,7 @@ def bucket_keys(x: np.ndarray, tables: int, depth: int, probes: int, seed: int)
     return out
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 10, depth: int = 2, probes: int = 11, bucket_rows: int = 2048, seed: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 6, depth: int = 2, probes: int = 3, bucket_rows: int = 2048, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors (vec_id, embedding)."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) | ~F.exists("v", lambda c: c != 0)
@@ -126,7 +126,7 @@ def buckets(classes: DataFrame, tables: int, depth: int, probes: int, seed: int)
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["node", "copies", "keys", "v"])
 
-    rows = classes.select("node", "copies", "v").mapInArrow(batches_of, "node long, copies long, keys array<long>, v array<double>")
+    rows = staged(classes.select("node", "copies", "v").mapInArrow(batches_of, "node long, copies long, keys array<long>, v array<double>"))
     rows = rows.select("node", "copies", "keys", "v", F.posexplode("keys").alias("place", "bucket")).where("bucket >= 0")
     width = 1 + probes
     return rows.select(F.expr(f"cast(place div {width} as int)").alias("tab"), "bucket", (F.col("place") % width == 0).alias("own"), "node", "copies", "keys", "v")
@@ -134,9 +134,9 @@ def buckets(classes: DataFrame, tables: int, depth: int, probes: int, seed: int)
 
 def pair_counts(met: DataFrame, least: float, tables: int, bucket_rows: int) -> DataFrame:
     """(node, links, hub): links found first in one bucket, and a node that it links to, by bucket and block pair."""
-    sizes = staged(met.groupBy("tab", "bucket").agg(F.count("*").alias("n"), F.max("own").alias("any")).where("n > 1 and any"))
-    sizes = sizes.select(F.col("tab").alias("_tab"), F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
-    rows = met.join(sizes, (F.col("tab") == F.col("_tab")) & (F.col("bucket") == F.col("_bucket")))
+    large = staged(met.groupBy("tab", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
+    large = large.select(F.col("tab").alias("_tab"), F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
+    rows = met.join(large, (F.col("tab") == F.col("_tab")) & (F.col("bucket") == F.col("_bucket")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -156,6 +156,8 @@ def pair_counts(met: DataFrame, least: float, tables: int, bucket_rows: int) ->
                 yield key, held
 
         for (tab, bucket, low, high), rows in cells():
+            if len(rows) < 2:
+                continue
             out = linked(tab, bucket, low, high, rows, least, tables)
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "links", "hub"])

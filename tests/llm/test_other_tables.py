@@ -159,7 +159,7 @@ def test_hash_recall():
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
     cos = (x * y).sum(1)
     near = (cos >= 0.9) & (cos < 0.93)
-    a, b = (nearvec.bucket_keys(v[near], 10, 2, 11, 3) for v in (x, y))
+    a, b = (nearvec.bucket_keys(v[near], 6, 2, 3, 3) for v in (x, y))
     met = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1)
     assert near.sum() > 300 and met.mean() > 0.9
 
