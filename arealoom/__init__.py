@@ -1,0 +1 @@
+"""Area statistics, flows and maps as Spark jobs."""

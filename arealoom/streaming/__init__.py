@@ -1,0 +1 @@
+"""Streaming: empty, for none of the computations here has a streaming form to match."""
