@@ -83,7 +83,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Encodes texts piece by piece; remembers the ids (as uint32 bytes) of up to `most` different pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 800_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 500_000):
         super().__init__()
         self.ranks, self.find, self.most = ranks, splitter(pattern).findall, most
 
