@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import parts
+
 NONE = 1 << 60
 #: Children of a node of the tree; a piece of up to FAN + 1 bytes has one node.
 FAN = 16
@@ -83,7 +85,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Encodes texts piece by piece; remembers the ids (as uint32 bytes) of up to `most` different pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 300_000):
         super().__init__()
         self.ranks, self.find, self.most = ranks, splitter(pattern).findall, most
 
@@ -115,13 +117,6 @@ def kept_encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _KEPT[key]
 
 
-def parts(batches, rows: int = 128):
-    """Arrow batches in parts of a few rows, for texts can be long."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
     """docs plus ids array<int>: the ids of the whole text."""
     shared, key = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex  # a vocabulary: 50 thousand entries
@@ -138,14 +133,20 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     return rows.mapInArrow(of, _schema(rows) + ", ids array<int>")
 
 
+def decoder(ranks: dict[bytes, int]):
+    """The function from an array of ids to bytes."""
+    of_id = {i: b for b, i in ranks.items()}
+    return lambda ids: b"".join(map(of_id.__getitem__, ids.tolist()))
+
+
 def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """rows with ids plus decoded binary: the bytes that the ids stand for."""
     shared = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def of(batches):
-        of_id = {i: b for b, i in shared.value.items()}
+        decode = decoder(shared.value)
         for b in parts(batches):
-            texts = [b"".join(map(of_id.__getitem__, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in b.column("ids")]
+            texts = [decode(x.values.to_numpy()) if x.is_valid else b"" for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
 
     rows = rows.drop("decoded")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import parts, staged
 
 #: White space that is stripped; bits and hashes of the filters.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -53,7 +53,7 @@ def suspects_filter(texts: DataFrame, min_length: int, slice_bits: int) -> np.nd
     def local(batches):
         held, n = [], 0
 
-        def parts():
+        def slices():
             seen, times = np.unique(np.concatenate(held), return_counts=True)
             part, bits = places(seen, slice_bits)
             again = times > 1
@@ -62,15 +62,15 @@ def suspects_filter(texts: DataFrame, min_length: int, slice_bits: int) -> np.nd
                 yield {"slice": int(s), "once": np.unique(bits[own]).tobytes(), "twice": np.unique(bits[own & again]).tobytes()}
 
         def rows():
-            out = pd.DataFrame(parts(), columns=["slice", "once", "twice"])
+            out = pd.DataFrame(slices(), columns=["slice", "once", "twice"])
             return pa.RecordBatch.from_pandas(out, pa.schema([("slice", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]), preserve_index=False)
 
-        for b in batches:
+        for b in parts(batches):
             for t in b.column("text").to_pylist():
                 own = [xxhash.xxh3_64_intdigest(k) for k in {*keys(t)} if min_length <= len(k) and (min_length < 2 or len(k.decode()) >= min_length)]
                 held.append(np.array(own, np.uint64))
                 n += len(own)
-            if n > 2_000_000:
+            if n > 1_000_000:
                 yield rows()
                 held, n = [], 0
         if n:
@@ -116,7 +116,7 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_length: int = 1, filter_b
         return {names[i]: first[names[i]] for i in np.flatnonzero(hit.all(1))}
 
     def emit(batches):
-        for b in batches:
+        for b in parts(batches):
             out = []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if found := suspected(t):
@@ -167,13 +167,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_f
         shared = docs.sparkSession.sparkContext.broadcast(firsts)
 
         def here(batches):
-            for b in batches:
+            for b in parts(batches):
                 yield out(b, [cut(t, i, shared.value) for t, i in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), strict=True)])
 
         return docs.mapInArrow(here, schema)
 
     def own_digests(batches):
-        for b in batches:
+        for b in parts(batches):
             rows = [(i, md5((t or "").encode()).digest(), digest(k)) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for k in suspected(t)]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["own_id", "own_md5", "digest"])
@@ -184,7 +184,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_f
     key = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("own_md5"))
 
     def there(batches):
-        for b in batches:
+        for b in parts(batches):
             cuts = []
             for t, i, firsts in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), b.column("_firsts").to_pylist(), strict=True):
                 cuts.append(cut(t, i, {f["digest"]: (f["doc_id"], f["text_md5"], f["line"]) for f in firsts or ()}))

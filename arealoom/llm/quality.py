@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import parts
+
 #: Bytes whose shares are features, each a group of its own.
 GROUPS = [b"!?", b"|", b"#", b"$", b"%", b"&", b"*", b".", b",;:", b"0123456789", b"<>{}[]()=_\\/~^@+", b"\"'-", b"\n", b" \t\r"]
 _OF = np.full(256, len(GROUPS) + 3)
@@ -56,7 +58,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> D
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
     def of(batches):
-        for b in batches:
+        for b in parts(batches):
             rows = [features(t).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "quality", "features"])
 
@@ -96,7 +98,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
     model = fit(x, np.array([r.quality == 1 for r in rows], bool), pairs, ridge, cut, seed)
 
     def score(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = b.column("text").to_pylist()
             if model["weights"] is None:
                 s = np.full(len(texts), model["constant"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, lines, mixing, nearvec, quality, sharding, simhash, topk, warc
-from .shared import shared_folder, table
+from .shared import parts, shared_folder, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,17 +51,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(spark: SparkSession, docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of docs' texts, encoded and decoded."""
     ranks = bpe.load_ranks(ranks_path)
+    shared = spark.sparkContext.broadcast(ranks)
     rows = bpe.encoded(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
 
     def digests(batches):
-        for b in batches:
+        decode = bpe.decoder(shared.value)
+        for b in parts(batches):
             ids = [x.values.to_numpy() for x in b.column("ids")]
             own = [sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-            columns = [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(own, pa.string()), b.column("decoded")]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded"])
+            back = [sha256(decode(x)).hexdigest() for x in ids]
+            columns = [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = bpe.decoded(rows, ranks).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
-    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,10 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
         a, b = a[differ], b[differ]
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+
+
+def parts(batches, rows: int = 128):
+    """Arrow batches in parts of a few rows, for texts can be long."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

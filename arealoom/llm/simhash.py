@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, find, staged, unite
+from .shared import components, find, parts, staged, unite
 
 #: Fixed value: fingerprints under one variant up to which all are compared with all; more go by flipped bits.
 DIRECT = 4096
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, text_md5, fp): the fingerprint as a signed long."""
 
     def of(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = b.column("text").to_pylist()
             fps = np.array([fingerprint(t, width, seed) for t in texts], np.uint64)
             digests = [md5((t or "").encode()).hexdigest() for t in texts]
