@@ -7,9 +7,9 @@ block of queries hands it on from shard to shard.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null
 vec_id; a repeated vec_id counts once, with its smallest vector; a query meets only vectors of its own length;
-sums are exact at any size (past 2^53 they are added as Python integers), and scores past a long are cut to its
-range and tie there; an empty
-table gives an empty result. Other columns are ignored.
+empty vectors score 0 with each other; sums are exact at any size (past 2^53 they are added as Python integers),
+and scores past a long are cut to its range and tie there; an empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class BallTree:
         self.radii.append(float(np.sqrt(((own - centre) ** 2).sum(1).max())))
         self.kids.append(None)
         self.spans.append((low, high))
-        if high - low > LEAF:
+        if high - low > LEAF and x.shape[1]:
             axis = int(np.argmax(own.max(0) - own.min(0)))
             middle = (high - low) // 2
             self.order[low:high] = self.order[low:high][np.argpartition(own[:, axis], middle)]
@@ -97,11 +97,11 @@ def leaf_best(x, ids, q, qid, k) -> list[tuple[int, int]]:
     return [(sum(a * int(b) for a, b in zip(whole, row, strict=True)), int(i)) for row, i in zip(x, ids, strict=True) if i != qid]
 
 
-def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, scale: int = 1024, shard_rows: int = 8192, block_rows: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, scale: int = 1024, shard_rows: int = 8192, block_rows: int = 256, span_blocks: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest scores against all other rows, ties to smaller vec_id.
 
     Queries are rows themselves, chosen by the SQL predicate. They travel in blocks, one row of arrays per block
-    and shard; shards are packed rows too, so nothing is broadcast or collected.
+    and shard; shards are packed rows too, copied once per span_blocks blocks, so nothing is broadcast or collected.
     """
     rows = staged(integers(vectors, scale))
     n = rows.count()
@@ -113,50 +113,62 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, sc
     trees = staged(shard.select("shard", "dim", F.col("rows.vec_id").alias("ids"), F.flatten("rows.v").alias("x")))
     asked = staged(block.select("block", "dim", F.col("rows.vec_id").alias("qids"), F.flatten("rows.v").alias("q")))
 
-    first = asked.withColumn("shard", F.pmod("block", F.lit(shards)))
-    lows = staged(searched(first.join(trees, ["shard", "dim"]).withColumn("floor", F.lit(None).cast("array<long>")), k))
+    first = asked.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("floor", F.lit(None).cast("array<long>"))
+    lows = staged(searched(first, trees, k, span_blocks))
     # the kth score of each query after its first shard, a lower bound for all others
     own = F.when((F.size("scores") >= k) & (F.element_at("scores", -1) > -MOST), F.element_at("scores", -1))
     known = lows.groupBy("block", "dim").agg(F.sort_array(F.collect_list(F.struct("query_id", own.alias("low")))).alias("low"))
     known = known.select("block", "dim", F.col("low.low").alias("floor"))
     others = asked.join(known, ["block", "dim"], "left")
     others = others.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.pmod("block", F.lit(shards)))
-    rest = searched(others.join(trees, ["shard", "dim"]), k)
+    rest = searched(others, trees, k, span_blocks)
     found = lows.union(rest).select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", "x.ids", "x.scores")
     best = F.sort_array(F.collect_list(F.struct((-F.col("scores")).alias("low"), "ids")))
     ranked = found.groupBy("query_id").agg(F.slice(best, 1, k).alias("best")).select("query_id", F.posexplode("best").alias("rank", "x"))
     return ranked.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), (-F.col("x.low")).alias("score"))
 
 
-def searched(pairs: DataFrame, k: int) -> DataFrame:
-    """(block, dim, query_id, ids, scores) of each query in each (block, shard) row: at most k, best first."""
+def searched(asked: DataFrame, trees: DataFrame, k: int, span_blocks: int) -> DataFrame:
+    """(block, dim, query_id, ids, scores) of each query in the shard that its block asks: at most k, best first.
+
+    A shard's rows travel once to each span of blocks that asks it, ahead of these blocks; its tree is built once
+    there and the blocks stream by.
+    """
 
     def of(batches):
-        tree_of, best_of = (None, None), {}
+        key_of, tree, best_of = None, None, {}
         for b in batches:
             out = []
-            for row in b.to_pylist():
-                if tree_of[0] != (row["shard"], row["dim"]):
-                    x = np.array(row["x"], float).reshape(-1, row["dim"])
-                    tree_of = ((row["shard"], row["dim"]), BallTree(np.array(row["ids"]), x) if len(row["ids"]) else None)
-                tree, q = tree_of[1], np.array(row["q"], float).reshape(-1, row["dim"])
-                bounds = q @ tree.centres.T + np.sqrt((q * q).sum(1))[:, None] * tree.radii
-                bounds = bounds + 1 + np.abs(bounds) * 1e-6 + np.sqrt((q * q).sum(1))[:, None] * np.sqrt((tree.centres**2).sum(1)) * 1e-9
-                for i, qid in enumerate(row["qids"]):
-                    floor = row["floor"][i] if row["floor"] else None
-                    floor = max((s for s in (floor, best_of.get(qid)) if s is not None), default=None)
+            for i, (shard, dim, block) in enumerate(zip(*[b.column(c).to_pylist() for c in ("shard", "dim", "block")], strict=True)):
+                ids = b.column("ids")[i].values.to_numpy()
+                x = b.column("x")[i].values.to_numpy().reshape(len(ids), dim)
+                if block is None:
+                    if key_of != (shard, dim):
+                        key_of, tree = (shard, dim), BallTree(ids, x)
+                    continue
+                if key_of != (shard, dim):
+                    continue  # no row of this length in the shard
+                floors, long = b.column("floor")[i].as_py(), np.sqrt((x * x).sum(1))
+                bounds = x @ tree.centres.T + long[:, None] * tree.radii
+                bounds = bounds + 1 + np.abs(bounds) * 1e-6 + long[:, None] * np.sqrt((tree.centres**2).sum(1)) * 1e-9
+                for j, qid in enumerate(ids.tolist()):
+                    floor = max((s for s in (floors and floors[j], best_of.get(qid)) if s is not None), default=None)
                     # rows at the shared score are found too, for ties go to the smaller vec_id
-                    best = [] if floor is None else [(floor - 1, -(1 << 63) - j) for j in range(k)]
+                    best = [] if floor is None else [(floor - 1, -(1 << 63) - n) for n in range(k)]
                     heapq.heapify(best)
-                    tree.search(qid, q[i], bounds[i], k, best)
-                    real = sorted((x for x in best if -x[1] < 1 << 63), reverse=True)
+                    tree.search(qid, x[j], bounds[j], k, best)
+                    real = sorted((r for r in best if -r[1] < 1 << 63), reverse=True)
                     if len(real) == k and real[-1][0] > -MOST:
                         best_of[qid] = max(real[-1][0], best_of.get(qid, real[-1][0]))
-                    out.append((row["block"], row["dim"], qid, [-v for _, v in real], [min(max(s, -MOST), MOST) for s, _ in real]))
+                    out.append((block, dim, qid, [-v for _, v in real], [min(max(s, -MOST), MOST) for s, _ in real]))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["block", "dim", "query_id", "ids", "scores"])
 
-    columns = ["block", "shard", "dim", "qids", "q", "ids", "x", "floor"]
-    dealt = pairs.select(*columns).repartition("block", "shard").sortWithinPartitions("shard", "block")
+    asked = asked.withColumn("span", F.expr(f"cast(block div {span_blocks} as int)"))
+    held = trees.join(asked.select("shard", "dim", "span").distinct(), ["shard", "dim"])
+    place = ["shard", "span", "dim"]
+    rows = held.select(*place, F.lit(None).cast("int").alias("block"), "ids", "x", F.lit(None).cast("array<long>").alias("floor"))
+    rows = rows.union(asked.select(*place, "block", F.col("qids").alias("ids"), F.col("q").alias("x"), "floor"))
+    dealt = rows.repartition("shard", "span").sortWithinPartitions(*place, F.col("block").asc_nulls_first())
     return dealt.mapInArrow(of, "block int, dim int, query_id long, ids array<long>, scores array<long>")

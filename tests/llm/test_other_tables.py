@@ -109,7 +109,7 @@ def brute_top(rows, k=10):
 def test_top_k(spark, small_dir, shard_rows):
     rows = odd_vectors(spark).where("vec_id is null or vec_id < 340 or vec_id > 344")
     for vectors in (rows, spark.read.parquet(f"{small_dir}/embeddings.parquet")):
-        got = sorted(map(tuple, topk.top_k(vectors, shard_rows=shard_rows, block_rows=3).collect()))
+        got = sorted(map(tuple, topk.top_k(vectors, shard_rows=shard_rows, block_rows=3, span_blocks=2).collect()))
         assert got == sorted(brute_top(vectors.collect()))
 
 
@@ -121,6 +121,12 @@ def test_top_k_of_large_numbers(spark):
     assert [r for r in got if r[0] == 0] == [(0, 1, 200, topk.MOST), (0, 2, 100, -topk.MOST)]
 
 
+def test_top_k_of_empty_vectors(spark):
+    vectors = spark.createDataFrame([(i, []) for i in range(200)] + [(300, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(vectors, shard_rows=150).collect()))
+    assert got == [(q, r + 1, v, 0) for q in (0, 100) for r, v in enumerate(i for i in range(11) if i != q) if r < 10]
+
+
 def brute_links(rows, least=0.9):
     good = [(i, np.array(r.embedding, float)) for i, r in enumerate(rows) if r.embedding and all(c is not None and math.isfinite(c) for c in r.embedding) and any(r.embedding)]
     unit = {i: (v / np.abs(v).max()) / np.linalg.norm(v / np.abs(v).max()) for i, v in good}
