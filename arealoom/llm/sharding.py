@@ -20,11 +20,12 @@ from .shared import staged
 ADDED = ["size", "text_crc32", "shard", "slot"]
 
 
-def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_bytes: int = 8 << 20) -> DataFrame:
+def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_bytes: int = 8 << 20, most_tasks: int = 100_000) -> DataFrame:
     """The whole records of docs plus size, text_crc32, shard and slot: a seeded random order in `shards` parts.
 
     Counts of shards differ by one at most, slots have no gaps. bucket_bytes bounds what one task holds at once
-    (a single longer record is a bucket by itself).
+    (a single longer record is a bucket by itself). Past most_tasks buckets a task takes several, one after the other
+    in order; Spark holds at most 128 of them before it goes over to sorting.
     """
     kept = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(*kept).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
@@ -35,7 +36,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_by
     rows = rows.withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     starts = staged(rows.groupBy("_bucket").count()).select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    scattered = rows.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_key")
+    scattered = rows.repartition(min(buckets, most_tasks), "_bucket").sortWithinPartitions("_bucket", "_key")
     record = F.struct(*kept, "size", "text_crc32")
     walked = scattered.groupBy("_bucket").agg(F.collect_list(record).alias("_all")).select("_bucket", F.shuffle("_all", F.lit(seed)).alias("_all"))
     walked = walked.join(starts, "_bucket").select("_start", F.posexplode("_all").alias("_at", "_record"))

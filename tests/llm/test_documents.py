@@ -107,7 +107,7 @@ def test_quality_learns_the_order_of_pairs():
 
 def test_shards(spark, small_dir, odd_docs, tmp_path):
     for docs in (documents(spark, small_dir), odd_docs):
-        made = sharding.shuffled_shards(docs, bucket_bytes=20_000)
+        made = sharding.shuffled_shards(docs, bucket_bytes=20_000, most_tasks=5)
         rows = made.collect()
         own = lambda r: (r.doc_id, r.text, r.lang, r.source, r.n_chars)
         assert sorted(map(str, map(own, rows))) == sorted(map(str, map(own, docs.collect())))
