@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import valid
+from ..sources.scratch import staged
 
 #: Buckets of values per group.
 BUCKETS = 64
@@ -16,12 +17,13 @@ def group_breaks(rows: DataFrame, keys: list[str], value: str, classes: int = 4)
 
     Groups with fewer than `classes` values have empty breaks. Different values are counted first; approximate
     quantiles deal them into buckets, bucket counts give the bucket of each wanted place, and only these buckets
-    are sorted. So no task holds a whole group.
+    are sorted. So no task holds a whole group. The approximate edges differ from one evaluation to the next with the
+    order in which partial digests arrive, so they are staged once: bucket starts and rows must use the same ones.
     """
     good = rows.where(valid(F.col(value))).select(*keys, F.col(value).cast("double").alias("v"))
     counts = good.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     spots = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    sums = counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.percentile_approx("v", spots, F.lit(1000)).alias("edges"))
+    sums = staged(counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.percentile_approx("v", spots, F.lit(1000)).alias("edges")))
     dealt = counts.join(sums, keys).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v"))))
     per = dealt.groupBy(*keys, "bucket").agg(F.sum("n").alias("own"), F.first("total").alias("total"))
     per = per.withColumn("start", F.sum("own").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("own"))

@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -72,6 +74,32 @@ def test_breaks_and_classes(spark):
         assert r.breaks == [own[min((i + 1) * len(own) // 4, len(own) - 1)] for i in range(3)]
 
 
+def test_break_edges_are_evaluated_once(spark):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = breaks.group_breaks(rows, ["g"], "v")._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan and "parquet" in plan.lower()
+
+
+SEVERAL_EXECUTORS = """
+from pyspark.sql import SparkSession, functions as F
+from arealoom.operators import breaks
+conf = {"spark.master": "local-cluster[3,1,1024]", "spark.sql.shuffle.partitions": "40", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": FOLDER}
+conf |= {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+n = 2_000_003
+rows = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+print("BREAKS", breaks.group_breaks(rows, ["g"], "v").first().breaks == [float((i + 1) * n // 4) for i in range(3)])
+"""
+
+
+def test_breaks_on_several_executors(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"FOLDER = 'file://{tmp_path}'{SEVERAL_EXECUTORS}"
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "BREAKS True" in done.stdout, done.stderr[-2000:]
+
+
 def test_ratios_and_rounding(spark):
     on = [("a",), ("b",), ("c",)]
     work = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "k string, work int")
