@@ -48,11 +48,17 @@ def touching(layer: DataFrame, clip: DataFrame, key: str, tile: float) -> DataFr
 def dissolve(layer: DataFrame, by: str, snap: int = 6) -> DataFrame:
     """(by, rings): the union of each group's polygons, for layers whose neighbours share vertices.
 
-    A side between two polygons of a group occurs twice and cancels; what is left is chained into rings, one task
-    per group, on the border alone.
+    Rows of a group that repeat a polygon (the same sides, whatever their start or direction) count once. Then a side
+    between two polygons of a group occurs twice and cancels; what is left is chained into rings, one task per group,
+    on the border alone.
     """
     near = lambda p: F.struct(F.bround(p["x"], snap).alias("x"), F.bround(p["y"], snap).alias("y"))
-    sides = layer.select(by, F.explode(F.flatten(F.transform("rings", edges))).alias("e")).select(by, near(F.col("e.a")).alias("a"), near(F.col("e.b")).alias("b")).where("a <> b")
+    ends = lambda e: F.struct(near(e["a"]).alias("a"), near(e["b"]).alias("b"))
+    whole = layer.select(F.col(by).alias("_group"), F.filter(F.transform(F.flatten(F.transform("rings", edges)), ends), lambda e: e["a"] != e["b"]).alias("_sides"))
+    flat_side = lambda e: F.struct(F.least(e["a"], e["b"]).alias("low"), F.greatest(e["a"], e["b"]).alias("high"))
+    same = F.sha2(F.to_json(F.struct(F.array_sort(F.transform("_sides", flat_side)).alias("s"))), 256)
+    once = whole.withColumn("_same", same).dropDuplicates(["_group", "_same"])
+    sides = once.select(F.col("_group").alias(by), F.explode("_sides").alias("e")).select(by, "e.a", "e.b")
     keyed = sides.select(by, "a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     border = keyed.groupBy(by, "low", "high").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where("n = 1")
     flat = border.select(by, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))

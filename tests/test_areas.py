@@ -176,3 +176,20 @@ def test_shapes(spark):
     assert tuple(got) == (2, 8.0)
     report = scales.shape_report(shape(spark, [SQUARE], code="a"), "code").first()
     assert report.closed and report.has_area
+
+
+def test_dissolve_counts_a_repeated_polygon_once(spark):
+    point = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    turned = [*SQUARE[2:], *SQUARE[1:3]]
+    beside = [(x + 4, y) for x, y in SQUARE]
+    inner = [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)]
+    groups = {
+        "twice": [[SQUARE], [SQUARE]], "three": [[SQUARE]] * 3, "turned": [[SQUARE], [turned]], "reversed": [[SQUARE], [SQUARE[::-1]]],
+        "beside": [[SQUARE], [beside], [SQUARE]], "filled": [[SQUARE, HOLE], [inner], [SQUARE, HOLE]],
+    }
+    rows = [(g, [point(r) for r in rings]) for g, polygons in groups.items() for rings in polygons]
+    made = spatial.dissolve(spark.createDataFrame(rows, f"g string, rings {geo.RINGS}"), "g")
+    got = {r.g: (r.n, r.area) for r in made.select("g", F.size("rings").alias("n"), geo.area(F.col("rings")).alias("area")).collect()}
+    assert got == {g: (1, 32.0 if g == "beside" else 16.0) for g in groups}
+    codes = scales.boundary_levels(spark.createDataFrame([("a", [point(SQUARE)])], f"code string, rings {geo.RINGS}"), spark.createDataFrame([(1, "a"), (1, "a")], "level int, code string"), "code")
+    assert codes.count() == 1
