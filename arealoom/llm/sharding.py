@@ -31,6 +31,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_by
     rows = docs.select(*kept).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
     rows = rows.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), *[F.col(c) for c in kept if c != "text"], "text_crc32"))
+    rows = _spread(rows, bucket_bytes // 4)
     total = rows.agg(F.count("*"), F.sum("size")).first()
     n, buckets = total[0], max(1, math.ceil((total[1] or 0) / bucket_bytes))
     rows = rows.withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
@@ -46,6 +47,21 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_by
     return walked.withColumn("slot", F.col("_place") - first).drop("_place")
 
 
+def _spread(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """rows, where records under one _key that take over most_bytes get keys by their number among equal records.
+
+    Equal records are interchangeable, so they are counted (in part before the shuffle) and numbered from the count:
+    the same rows have the same keys at each evaluation, in whatever order they come.
+    """
+    heavy = rows.groupBy("_key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > 1) & (F.col("bytes") > most_bytes))
+    heavy = staged(heavy.select("_key"))  # as many as a few for each bucket
+    if heavy.isEmpty():
+        return rows
+    equal = rows.join(F.broadcast(heavy), "_key", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    numbered = equal.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_key", F.xxhash64("_key", "_i"))
+    return rows.join(F.broadcast(heavy), "_key", "left_anti").select(*rows.columns).union(numbered.select(*rows.columns))
+
+
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in order of slot; files of a shard are in order of slot too."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard; each file holds the rows of a task's buckets in order of slot, which stays a column."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

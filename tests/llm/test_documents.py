@@ -1,5 +1,6 @@
 """Operators on documents against brute force."""
 
+import glob
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from arealoom.llm import bpe, lines, mixing, quality, queries, sharding, simhash
+from arealoom.llm.shared import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,6 +125,21 @@ def test_shards(spark, small_dir, odd_docs, tmp_path):
     assert back.count() == len(rows)
 
 
+def test_shards_spread_equal_rows_and_are_written(spark, small_dir, tmp_path):
+    docs = spark.range(6000).selectExpr("cast(7 as long) as doc_id", "if(id < 5000, repeat('same ', 20), string(id)) as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    made = sharding.shuffled_shards(docs, bucket_bytes=20_000)
+    sharding.write_shards(made, str(tmp_path / "shards"))
+    rows = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(r.text for r in rows.collect()) == Counter(r.text for r in docs.collect())
+    files = rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()
+    assert len(files) >= 16 and max(r.bytes for r in files) < 100_000
+    assert sorted((r.shard, r.slot) for r in rows.collect()) == [(s, i) for s in range(16) for i in range(375)]
+    files = lambda: set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/shards/*/shard=*/*.parquet"))
+    before = files()
+    got = queries.op3_shuffled_shards(spark, small_dir)
+    assert got.count() == documents(spark, small_dir).count() and len(files() - before) >= 16
+
+
 def brute_lines(docs, min_docs, keep_first):
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     df = Counter(k for d in docs for k in {key(x) for x in (d.text or "").split("\n")})
