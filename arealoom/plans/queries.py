@@ -399,8 +399,8 @@ def quantile_breaks_by_group(spark, d):
 @query(over(f"select unnest([0, 1, 2, 3, 4]) as i, unnest([round_even(x, 6) for x in quantile_cont(income, [0, 0.25, 0.5, 0.75, 1])]) as value from fx_stats where income > 0 and income not in {SENTINELS}", "fx_stats"))
 def quantile_breaks_doc(spark, d):
     rows = stand_in(spark, d, "fx_stats").where("income > 0").where(unsuppressed(F.col("income")).isNotNull())
-    spots = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    return rows.agg(F.percentile("income", spots).alias("q")).select(F.posexplode("q").alias("i", "value")).withColumn("value", F.bround("value", 6))
+    made = breaks.group_quantiles(rows.withColumn("g", F.lit(1)), ["g"], "income", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return made.select("i", F.bround("value", 6).alias("value"))
 
 
 @query(over(CLASSED, "fx_stats", steps=break_steps(f"select id, {PER_1000} as value from {CLEANED}")))

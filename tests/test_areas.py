@@ -100,6 +100,15 @@ def test_breaks_on_several_executors(tmp_path):
     assert "BREAKS True" in done.stdout, done.stderr[-2000:]
 
 
+def test_quantiles_hold_no_whole_column(spark, small_dir):
+    assert "percentile(" not in queries.QUERIES["quantile_breaks_doc"](spark, small_dir)._jdf.queryExecution().toString()
+    rows = spark.range(3001).select((F.col("id") % 3 % 2).alias("g"), (F.col("id") * 7919 % 1013 / 7).alias("v"))
+    spots = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    want = {r.g: r.q for r in rows.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, spots))).alias("q")).collect()}
+    got = {(r.g, r.i): r.value for r in breaks.group_quantiles(rows, ["g"], "v", spots).collect()}
+    assert got == pytest.approx({(g, i): v for g, q in want.items() for i, v in enumerate(q)})
+
+
 def test_ratios_and_rounding(spark):
     on = [("a",), ("b",), ("c",)]
     work = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "k string, work int")
