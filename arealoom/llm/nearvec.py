@@ -72,7 +72,7 @@ def bucket_keys(x: np.ndarray, tables: int, depth: int, probes: int, seed: int)
     return out
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 6, depth: int = 2, probes: int = 3, bucket_rows: int = 2048, seed: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 8, depth: int = 2, probes: int = 7, bucket_rows: int = 2048, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors (vec_id, embedding)."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))) | ~F.exists("v", lambda c: c != 0)

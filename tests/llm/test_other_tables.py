@@ -1,5 +1,6 @@
 """Operators on conversations, embeddings and pages against brute force."""
 
+import inspect
 import math
 from collections import defaultdict
 from hashlib import sha256
@@ -170,6 +171,20 @@ def test_hash_recall():
     assert near.sum() > 300 and met.mean() > 0.9
 
 
+@pytest.mark.parametrize("dim", [24, 64, 256, 768])
+def test_recall_of_borderline_links(dim):
+    own = {k: p.default for k, p in inspect.signature(nearvec.near_vectors).parameters.items()}
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(800, dim)))
+    z = rng.normal(size=x.shape)
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    cos = rng.uniform(0.9, 0.905, (len(x), 1))
+    a, b = (nearvec.bucket_keys(v, own["tables"], own["depth"], own["probes"], own["seed"]) for v in (x, cos * x + np.sqrt(1 - cos * cos) * z))
+    met = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1)
+    assert met.mean() >= 0.99
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     y = nearvec.hadamard(x)
