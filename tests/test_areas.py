@@ -1,5 +1,6 @@
 """Area operators: every query against DuckDB on the smallest tables, and the traps on small frames."""
 
+import json
 import math
 import os
 import subprocess
@@ -13,6 +14,7 @@ from arealoom.functions import geometry as geo
 from arealoom.functions import values
 from arealoom.operators import breaks, clean, cube, flows, spatial
 from arealoom.plans import maps, queries, scales
+from arealoom.sources import layers
 
 
 @pytest.fixture(scope="module")
@@ -202,3 +204,11 @@ def test_dissolve_counts_a_repeated_polygon_once(spark):
     assert got == {g: (1, 32.0 if g == "beside" else 16.0) for g in groups}
     codes = scales.boundary_levels(spark.createDataFrame([("a", [point(SQUARE)])], f"code string, rings {geo.RINGS}"), spark.createDataFrame([(1, "a"), (1, "a")], "level int, code string"), "code")
     assert codes.count() == 1
+
+
+def test_feature_collection(spark, tmp_path):
+    ring = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 0.0]]
+    made = [{"type": "Feature", "id": c, "properties": {"name": n}, "geometry": {"type": "Polygon", "coordinates": [ring]}} for c, n in (("a", "A"), ("b", None))]
+    (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": made}, indent=1))
+    rows = layers.read_collection(spark, str(tmp_path / "c.json"), "name string", "struct<type:string,coordinates:array<array<array<double>>>>")
+    assert sorted((r.id, r.name, r.geometry.type, r.geometry.coordinates) for r in rows.collect()) == [("a", "A", "Polygon", [ring]), ("b", None, "Polygon", [ring])]
