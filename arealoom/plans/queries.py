@@ -12,6 +12,7 @@ from ..functions import geometry as geo
 from ..functions.values import AGE, format_code, label, normalise, unsuppressed
 from ..operators import breaks, clean, cube, flows, spatial
 from ..sources import layers
+from ..sources.scratch import shared_folder
 from . import maps, scales
 from .stand_ins import areas, over, stand_in
 
@@ -33,9 +34,8 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or the warehouse without one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/arealoom/{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/arealoom/{uuid.uuid4().hex}"
 
 
 # Scans, projections and filters
