@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .shared import parts
+from .shared import nested, parts
 
 NONE = 1 << 60
 #: Children of a node of the tree; a piece of up to FAN + 1 bytes has one node.
@@ -124,13 +125,13 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     def of(batches):
         encoder = kept_encoder(key, shared.value, pattern)
         for b in parts(batches):
-            ids = [np.frombuffer(encoder.encode(t.as_py() or ""), "<i4") for t in b.column(text)]
+            ids = [np.frombuffer(encoder.encode(t.as_py() or ""), "<i4") for t in b.column("row").field(text)]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "ids"])
 
-    rows = docs.drop("ids")
-    return rows.mapInArrow(of, _schema(rows) + ", ids array<int>")
+    rows = nested(docs, ("ids",))
+    return rows.mapInArrow(of, StructType([*rows.schema.fields]).add("ids", ArrayType(IntegerType()))).select("row.*", "ids")
 
 
 def decoder(ranks: dict[bytes, int]):
@@ -146,12 +147,8 @@ def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def of(batches):
         decode = decoder(shared.value)
         for b in parts(batches):
-            texts = [decode(x.values.to_numpy()) if x.is_valid else b"" for x in b.column("ids")]
+            texts = [decode(x.values.to_numpy()) if x.is_valid else b"" for x in b.column("row").field("ids")]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
 
-    rows = rows.drop("decoded")
-    return rows.mapInArrow(of, _schema(rows) + ", decoded binary")
-
-
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = nested(rows, ("decoded",))
+    return rows.mapInArrow(of, StructType([*rows.schema.fields]).add("decoded", "binary")).select("row.*", "decoded")

@@ -108,7 +108,8 @@ def windows(rows, budget: int, history: int):
 
     def close():
         repeated = [(r, t) for r, t, _ in head]
-        return (window_text(repeated + now, len(repeated))[0], len(repeated), *window_text(repeated + now, len(repeated))[1:])
+        text, starts, ends = window_text(repeated + now, len(repeated))
+        return text, len(repeated), starts, ends
 
     for _, _, role, text, tokens, before, _, kind in rows:
         if kind == 0:

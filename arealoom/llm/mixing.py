@@ -6,7 +6,8 @@ integer that its interval crosses. So a document is taken floor or ceil of its e
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; a source without words
 has target 0 and none of its documents is taken; an empty table gives an empty result; repeated rows are documents
-of their own. Input columns named like an added one are replaced.
+of their own, and the mix takes rows that are equal in every column as one total; columns of any name come through
+the mix unchanged.
 """
 
 from __future__ import annotations
@@ -14,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import running_total, staged
+from .shared import content, quoted, running_total, staged
 
 #: A word, and the fixed point of expected copies (copies sum up exactly, in any order).
 WORD = r"[^\x20\x09-\x0D]+"
 POINT = 26
-ADDED = ["size", "source_size", "target", "copies"]
 
 
 def words(text: Column) -> Column:
@@ -60,7 +60,12 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     A source's documents lie in hashed buckets of about bucket_rows and in order of size within each, so the
     copies taken follow the sizes and one hot source spreads over many tasks.
     """
-    sizes = staged(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    return _planned(docs.select("doc_id", "source", words(F.col("text")).alias("size")), weights, share, most, seed, bucket_rows).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def _planned(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 1000) -> DataFrame:
+    """sizes (doc_id, source, size and more) with source_size, target and copies."""
+    sizes = staged(sizes)
     targets = staged(source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_source")
     rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     n_buckets = F.ceil(F.col("n_docs") / bucket_rows).cast("long")
@@ -71,20 +76,22 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     offset = F.pmod(digest_number(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\0")))), F.lit(1 << POINT))
     low = F.col("_before") + offset
     copies = F.shiftright(low + F.col("_units"), POINT) - F.shiftright(low, POINT)
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return rows.select(*sizes.columns, "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with docs' own columns.
 
-    The plan joins the rows by doc_id and source. Rows that share both share a total: it is dealt among them in
-    order of their other columns, so the mix has exactly the planned copies.
+    The plan joins the rows by their content. Rows that are equal in every column share a total: each is taken as
+    often as that divides, and one of them again for the rest, so the mix has exactly the planned copies and no
+    window or group holds the texts of equal rows.
     """
-    plan = mix_plan(docs, **options)
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("source", F.lit("\0")))
-    plan = plan.groupBy(key.alias("_planned")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.withColumn("_key", key).join(staged(plan.where("_copies > 0")), F.col("_key") == F.col("_planned"))
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c) for c in docs.columns])) - 1
-    take = F.expr("_copies div _rows") + (turn < F.col("_copies") % F.col("_rows")).cast("long")
-    rows = rows.withColumn("_take", take).where("_take > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take").cast("int")))).select(*docs.columns)
+    key = F.md5(content(docs))
+    plan = _planned(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key")), **options)
+    plan = staged(plan.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), key.alias("key"))
+    each = rows.join(plan.select("key", F.expr("cast(copies div n as int)").alias("take")).where("take > 0"), "key")
+    rest = plan.select("key", F.expr("cast(copies % n as int)").alias("take")).where("take > 0")
+    if not rest.isEmpty():
+        each = each.union(rows.join(rest, "key").groupBy("key").agg(F.first("row").alias("row"), F.first("take").alias("take")).select("key", "row", "take"))
+    return each.select("row", F.explode(F.sequence(F.lit(1), "take"))).select("row.*")

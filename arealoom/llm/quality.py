@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import parts
+from .shared import nested, parts
 
 #: Bytes whose shares are features, each a group of its own.
 GROUPS = [b"!?", b"|", b"#", b"$", b"%", b"&", b"*", b".", b",;:", b"0123456789", b"<>{}[]()=_\\/~^@+", b"\"'-", b"\n", b" \t\r"]
@@ -99,7 +100,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
 
     def score(batches):
         for b in parts(batches):
-            texts = b.column("text").to_pylist()
+            texts = b.column("row").field("text").to_pylist()
             if model["weights"] is None:
                 s = np.full(len(texts), model["constant"])
             else:
@@ -107,7 +108,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
                 s = 1 / (1 + np.exp(-np.clip((x * model["weights"]).sum(1) - model["shift"], -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
 
-    rows = docs.drop("held_out", "score", "predicted")
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema), "score double"])
-    scored = rows.mapInArrow(score, schema)
+    rows = nested(docs, ("held_out", "score", "predicted"))
+    scored = rows.mapInArrow(score, StructType([*rows.schema.fields]).add("score", "double")).select("row.*", "score")
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= cut).cast("int"))

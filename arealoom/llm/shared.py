@@ -31,16 +31,33 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
     return joined.select(*df.columns, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).alias(out))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def nested(df: DataFrame, leave: tuple[str, ...] = ()) -> DataFrame:
+    """One column `row` that holds df's columns, so that columns added beside it clash with none of them."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns if c not in leave]).alias("row"))
+
+
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def content(df: DataFrame) -> Column:
+    """A text that rows share only if they are equal in every column (texts by MD5)."""
+    others = [quoted(c) for c in df.columns if c != "text"]
+    return F.concat(F.coalesce(F.md5("text"), F.lit("null")), F.to_json(F.struct(*others)) if others else F.lit(""))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), component the smallest node.
 
     Alternating large-star and small-star steps: each node's neighbours move to its smallest neighbour until
-    every component is a star. All steps are joins and partial aggregates on (a); nothing is collected.
+    every component is a star, which takes about as many rounds as the logarithm of the longest path. All steps are
+    joins and partial aggregates on (a); nothing is collected.
     Nodes are longs; nodes without an edge to another node do not appear.
     """
     now = staged(_pairs(edges.where("a <> b")))
     mark = _mark(now)
-    for _ in range(max_rounds):
+    last = None
+    while mark != last:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
@@ -49,10 +66,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = staged(_pairs(small.select("e.*").where("a <> b")))
         last, mark = mark, _mark(now)
-        if mark == last:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

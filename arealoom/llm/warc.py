@@ -166,9 +166,9 @@ def payloads(spark: SparkSession, path: str, rows: DataFrame, wanted: DataFrame)
     owner = staged(owner.join(wanted, ["file", "at"]))
     files = owner.select("file").distinct()
     texts = scanned(spark, path).join(files, "file", "left_semi").withColumn("span", F.col("bytes") + len(MAGIC))
-    texts = running_total(texts, ["file"], "block", [F.col("nth")], "span", "start").select("file", (F.col("start") - len(MAGIC)).alias("row_at"), F.col("value").cast("binary").alias("value"))
+    texts = running_total(texts, ["file"], "block", [F.col("nth")], "span", "start").select("file", (F.col("start") - len(MAGIC)).alias("row_at"), "value")
     put = texts.join(owner, ["file", "row_at"]).groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("row_at", "value"))).alias("v"))
-    whole = put.select("file", "at", F.aggregate("v.value", F.lit(b"").cast("binary"), lambda a, v: F.when(F.length(a) == 0, v).otherwise(F.concat(a, F.lit(MAGIC).cast("binary"), v))).alias("value"))
+    whole = put.select("file", "at", F.array_join("v.value", MAGIC).cast("binary").alias("value"))
     sizes = rows.where("on_chain").select("file", "at", "body", "length")
     return whole.join(sizes, ["file", "at"]).select("file", "at", F.substring("value", (F.col("body") + 1).cast("int"), F.col("length").cast("int")).alias("payload"))
 

@@ -76,6 +76,32 @@ def test_empty_tables(spark, odd_docs, tmp_path):
         assert made.collect() == []
 
 
+def test_columns_of_any_name_are_kept(spark, clashing_docs):
+    ranks = {bytes([i]): i for i in range(256)}
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    own = {r.mark: r.asDict() for r in clashing_docs.collect()}
+    made = {
+        "mix": (mixing.mixed(clashing_docs), []), "shards": (sharding.shuffled_shards(clashing_docs), sharding.ADDED),
+        "lines": (lines.dedup_lines(clashing_docs), ["n_lines", "n_dropped", "text"]), "joined": (lines.dedup_lines(clashing_docs, broadcast_rows=-1), ["n_lines", "n_dropped", "text"]),
+        "near": (simhash.without_near_copies(clashing_docs), []), "quality": (quality.quality_scores(clashing_docs, labels), ["held_out", "score", "predicted"]),
+        "bpe": (bpe.decoded(bpe.encoded(clashing_docs, ranks, public_tokenizers.PATTERN), ranks), ["ids", "decoded"]),
+    }
+    for name, (df, added) in made.items():
+        rows = [r.asDict() for r in df.collect()]
+        assert rows and set(rows[0]) == set(clashing_docs.columns) | set(added), name
+        for r in rows:
+            assert {k: v for k, v in r.items() if k not in added} == {k: v for k, v in own[r["mark"]].items() if k not in added}, name
+
+
+def test_equal_rows_in_the_mix_and_the_near_copies(spark):
+    docs = spark.createDataFrame([(None, "same words in each row", "en", "s", 1)] * 50 + [(i, f"word {i} " * (i % 7 + 1), "en", "st"[i % 2], 1) for i in range(90)], "doc_id long, text string, lang string, source string, n_chars long")
+    copies = Counter()
+    for r in mixing.mix_plan(docs).collect():
+        copies[r.doc_id] += r.copies
+    assert copies[None] % 50 and Counter(r.doc_id for r in mixing.mixed(docs).collect()) == +copies
+    assert sum(r.doc_id is None for r in simhash.without_near_copies(docs).collect()) == 1
+
+
 def test_quality(spark, small_dir, odd_docs):
     docs, labels = documents(spark, small_dir), spark.read.parquet(f"{small_dir}/labels.parquet")
     rows = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
@@ -159,7 +185,7 @@ def brute_lines(docs, min_docs, keep_first):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": -1}, {"filter_bits": 1 << 15}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": -1}, {"bits_per_key": 1}, {"broadcast_bits": 0}])
 def test_lines(spark, small_dir, odd_docs, keep_first, options):
     for docs in (documents(spark, small_dir), odd_docs):
         made = lines.dedup_lines(docs, min_docs=10 if docs is odd_docs else 3, keep_first=keep_first, **options)
@@ -168,6 +194,22 @@ def test_lines(spark, small_dir, odd_docs, keep_first, options):
         assert rows == brute_lines(docs.collect(), 10 if docs is odd_docs else 3, keep_first)
 
 
+def test_filters_are_sized_by_the_table(spark):
+    assert lines.filter_size(0, 8) == (16, 4096) and lines.filter_size(10**6, 8) == (16, 1 << 19)
+    slices, bits = lines.filter_size(4 * 10**11, 8)
+    assert bits == 1 << 25 and slices * bits >= 32 * 10**11
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    packed = lines.line_keys(docs, 1)
+    n = packed.agg(F.sum("n")).first()[0]
+    times = Counter(d.digest for d in lines.suspects(packed, 1, 8, 1 << 28).where("line >= 0").select("digest").collect())
+    once = sum(v == 1 for v in times.values())  # a filter of 8 bits suspects every key
+    assert sum(times.values()) == n
+    for slices, bits, most in ((*lines.filter_size(n, 8), 1 << 28), (64, 1 << 14, 0)):
+        found = Counter(d.digest for d in lines.suspects(packed, slices, bits, most).select("digest").collect())
+        assert {d for d, v in times.items() if v > 1} <= set(found) and all(found[d] == times[d] for d in found)
+        assert sum(v == 1 for v in found.values()) < 0.05 * once
+
+
 def brute_fingerprint(text):
     found = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(found[i : i + 3]) for i in range(len(found) - 2)] or ([" ".join(found)] if found else [])
@@ -223,6 +265,22 @@ def test_simhash_links_of_close_fingerprints(spark):
     got = brute_components(fps, lambda a, b: (a, b) in edges or (b, a) in edges)
     parts = lambda d: sorted(sorted(k for k in d if d[k] == r) for r in set(d.values()))
     assert parts(got) == parts(want)
+    hot = [(int(base[0]) & ~0xFFFFFFFF | int(x),) for x in np.unique(rng.integers(0, 1 << 12, 300))]
+    hot = [(f - (1 << 64) if f >> 63 else f,) for (f,) in hot]
+    for direct in (50, 1):  # variants of more fingerprints go by a second index
+        of = spark.createDataFrame(signed + hot, "fp long").distinct()
+        edges = {(e.a % (1 << 64), e.b % (1 << 64)) for e in simhash.links(of, direct=direct).collect()}
+        whole = {f % (1 << 64) for (f,) in signed + hot}
+        root = {f: f for f in whole}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        assert parts({f: find(f) for f in whole}) == parts(brute_components(whole, lambda a, b: (a ^ b).bit_count() <= 3))
     low = np.array(sorted({int(base[0]) ^ sum(1 << int(x) for x in rng.choice(24, rng.integers(1, 6), replace=False)) for _ in range(400)}), np.uint64)
     want = parts(brute_components(low.tolist(), lambda a, b: (a ^ b).bit_count() <= 3))
     for made in (simhash.flipped(low, 3), simhash.forest(low, 3)):
@@ -253,6 +311,14 @@ def test_bpe(spark, small_dir, odd_docs, ranks, library):
         assert sorted(str(tuple(r)) for r in digests) == want
 
 
+def test_steps_of_long_texts(ranks, library):
+    """Texts that cross the steps of the fingerprint (2^16 shingles) and of the encoder (50,000 pieces)."""
+    text = " ".join(f"w{i * 7919 % 1013}x{i % 17}" for i in range(70_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN, most=500)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_bpe_every_character_and_long_pieces(ranks, library):
     encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN, most=500)
     ids = lambda text: np.frombuffer(encoder.encode(text), "<u4").tolist()
