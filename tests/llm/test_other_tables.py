@@ -120,6 +120,35 @@ def test_top_k_of_large_numbers(spark):
     vectors = spark.createDataFrame([(i * 100, [s * 1e30]) for i, s in enumerate((1.0, -1.0, 2.0))], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk.top_k(vectors, shard_rows=1).collect()))
     assert [r for r in got if r[0] == 0] == [(0, 1, 200, topk.MOST), (0, 2, 100, -topk.MOST)]
+    # past a long the exact score ranks, in and across shards
+    size = {100: 3.0, 200: 9.0, 300: 5.0, 400: -2.0, 500: -8.0, 600: 9.0, 601: 1e-9, 0: 1.0}
+    vectors = spark.createDataFrame([(i, [s * 1e200]) for i, s in size.items()], "vec_id long, embedding array<double>")
+    for rows in (1, 3, 100):
+        got = sorted(map(tuple, topk.top_k(vectors, shard_rows=rows).collect()))
+        assert [r[2] for r in got if r[0] == 0] == [200, 600, 300, 100, 601, 400, 500]
+    edge = spark.createDataFrame([(0, [1.7e308]), (100, [1.7e308]), (200, [1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[:3] for r in sorted(topk.top_k(edge).collect()) if r.query_id == 0] == [(0, 1, 100), (0, 2, 200)]
+
+
+def visited_share(vectors, **options):
+    rows = topk.shard_results(vectors, **options).agg(F.sum("visited"), F.sum("leaves")).first()
+    return rows[0] / rows[1]
+
+
+def test_clusters_are_pruned(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32)) * 4
+    rows = [(i, (centres[rng.integers(60)] + rng.normal(size=32) * 0.3).tolist()) for i in range(8000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(vectors, shard_rows=4000).collect()))
+    x = np.floor(np.array([r[1] for r in rows]) * 1024)
+    want = []
+    for q in range(0, 8000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want += [(q, n + 1, int(v), int(s[v])) for n, v in enumerate(np.lexsort((np.arange(8000), -s))[:10])]
+    assert got == want
+    assert visited_share(vectors, shard_rows=4000) < 0.3
 
 
 def test_top_k_of_empty_vectors(spark):
