@@ -15,6 +15,8 @@ their own; an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +74,29 @@ def bucket_keys(x: np.ndarray, tables: int, depth: int, probes: int, seed: int)
     return out
 
 
+def packed_keys(keys: np.ndarray, dim: int, depth: int) -> list[bytes]:
+    return [k.tobytes() for k in keys.reshape(len(keys), -1).astype(key_type(dim, depth))]
+
+
+def key_type(dim: int, depth: int) -> str:
+    """The narrowest type that holds every key: there are (2 * padded) ** depth."""
+    most = (2 * rotations(dim, 0, 0)[0]) ** depth
+    return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+
+
+def packed_vector(v: np.ndarray) -> bytes:
+    """Single precision if that loses nothing."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = v.astype("<f4")
+    return short.tobytes() if (short.astype(float) == v).all() else v.astype("<f8").tobytes()
+
+
+def units(vs: list[bytes], dim: int) -> np.ndarray:
+    v = np.array([np.frombuffer(b, "<f4" if len(b) == 4 * dim else "<f8") for b in vs], float)
+    v = v / np.abs(v).max(1, keepdims=True)  # scaled first, so that squares neither overflow nor vanish
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 8, depth: int = 2, probes: int = 7, bucket_rows: int = 2048, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of vectors (vec_id, embedding)."""
     x = F.col("embedding").cast("array<double>")
@@ -80,10 +105,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 8, depth:
     # classes of equal vectors; the key is the text of the vector's numbers, hashed
     rows = rows.withColumn("class_key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
     classes = rows.where("class_key is not null").groupBy("class_key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.min("v").alias("v"))
-    node = F.conv(F.substring("class_key", 1, 15), 16, 10).cast("long")
-    classes = staged(classes.select("class_key", node.alias("node"), "copies", "least", "v"))
+    for attempt in count():  # until no two classes share a number
+        numbered = staged(classes.select("class_key", F.xxhash64(F.lit(attempt), "class_key").alias("node"), "copies", "least", "v"))
+        if numbered.groupBy("node").count().where("count > 1").isEmpty():
+            break
+    classes = numbered
     met = buckets(classes, tables, depth, probes, seed)
-    seen = staged(pair_counts(met, least, tables, bucket_rows))
+    seen = staged(pair_counts(met, least, tables, depth, bucket_rows))
     counts = seen.groupBy("node").agg(F.sum("links").alias("links"))
     of = components(seen.where("hub is not null").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("node", "_node")
     labelled = classes.select("class_key", "node", "copies", "least").join(of, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("component", "node"))
@@ -96,21 +124,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, tables: int = 8, depth:
 
 
 def buckets(classes: DataFrame, tables: int, depth: int, probes: int, seed: int) -> DataFrame:
-    """(tab, bucket, own, node, copies, keys, v): a row for each bucket where a class lies (own) or probes.
-    keys are all its bucket keys, table by table."""
+    """(tab, bucket, own, node, copies, dim, keys, v): a row for each bucket where a class lies (own) or probes.
+    keys are all its bucket keys, table by table, and v its numbers, both packed."""
 
     def of(batches):
         for b in batches:
             vs, ids, copies = b.column("v").to_pylist(), b.column("node").to_numpy(), b.column("copies").to_numpy()
             for dim in {len(v) for v in vs}:
                 at = [i for i, v in enumerate(vs) if len(v) == dim]
-                v = np.array([vs[i] for i in at], float)
-                # scaled first, so that squares neither overflow nor vanish
-                v = v / np.abs(v).max(1, keepdims=True)
-                unit = v / np.sqrt((v * v).sum(1, keepdims=True))
-                keys = bucket_keys(unit, tables, depth, probes, seed)
-                for i, u, k in zip(at, unit, keys, strict=True):
-                    yield int(ids[i]), int(copies[i]), k.ravel().tolist(), u.tolist()
+                own = [packed_vector(np.array(vs[i], float)) for i in at]
+                keys = bucket_keys(units(own, dim), tables, depth, probes, seed)
+                for i, v, k, p in zip(at, own, keys, packed_keys(keys, dim, depth), strict=True):
+                    yield int(ids[i]), int(copies[i]), dim, k.ravel().tolist(), p, v
 
     def batches_of(batches):
         out = []
@@ -123,16 +148,16 @@ def buckets(classes: DataFrame, tables: int, depth: int, probes: int, seed: int)
             yield frame(out)
 
     def frame(out):
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["node", "copies", "keys", "v"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["node", "copies", "dim", "buckets", "keys", "v"])
 
-    rows = staged(classes.select("node", "copies", "v").mapInArrow(batches_of, "node long, copies long, keys array<long>, v array<double>"))
-    rows = rows.select("node", "copies", "keys", "v", F.posexplode("keys").alias("place", "bucket")).where("bucket >= 0")
+    rows = staged(classes.select("node", "copies", "v").mapInArrow(batches_of, "node long, copies long, dim int, buckets array<long>, keys binary, v binary"))
+    rows = rows.select("node", "copies", "dim", "keys", "v", F.posexplode("buckets").alias("place", "bucket")).where("bucket >= 0")
     width = 1 + probes
-    return rows.select(F.expr(f"cast(place div {width} as int)").alias("tab"), "bucket", (F.col("place") % width == 0).alias("own"), "node", "copies", "keys", "v")
+    return rows.select(F.expr(f"cast(place div {width} as int)").alias("tab"), "bucket", (F.col("place") % width == 0).alias("own"), "node", "copies", "dim", "keys", "v")
 
 
-def pair_counts(met: DataFrame, least: float, tables: int, bucket_rows: int) -> DataFrame:
+def pair_counts(met: DataFrame, least: float, tables: int, depth: int, bucket_rows: int) -> DataFrame:
     """(node, links, hub): links found first in one bucket, and a node that it links to, by bucket and block pair."""
     large = staged(met.groupBy("tab", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
     large = large.select(F.col("tab").alias("_tab"), F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks"))
@@ -158,25 +183,25 @@ def pair_counts(met: DataFrame, least: float, tables: int, bucket_rows: int) ->
         for (tab, bucket, low, high), rows in cells():
             if len(rows) < 2:
                 continue
-            out = linked(tab, bucket, low, high, rows, least, tables)
+            out = linked(tab, bucket, low, high, rows, least, tables, depth)
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["node", "links", "hub"])
 
-    columns = [*cell, "block", "own", "node", "copies", "keys", "v"]
+    columns = [*cell, "block", "own", "node", "copies", "dim", "keys", "v"]
     dealt = rows.select(*columns).repartition(*cell).sortWithinPartitions(*cell, "node")
     return dealt.mapInArrow(of, "node long, links long, hub long")
 
 
-def linked(tab, bucket, low, high, rows, least, tables):
-    """node, links and hub arrays of one cell; rows: (block, own, node, copies, keys, v)."""
-    block, own, node, copies = (np.array([r[i] for r in rows]) for i in range(4))
+def linked(tab, bucket, low, high, rows, least, tables, depth):
+    """node, links and hub arrays of one cell; rows: (block, own, node, copies, dim, keys, v)."""
+    block, own, node, copies, lengths = (np.array([r[i] for r in rows]) for i in range(5))
     links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-    lengths = np.array([len(r[5]) for r in rows])
     for dim in set(lengths.tolist()):
         at = np.flatnonzero(lengths == dim)
         if len(at) < 2 or not own[at].any():
             continue
-        v, keys = np.array([rows[i][5] for i in at]), np.array([rows[i][4] for i in at]).reshape(len(at), tables, -1)
+        v = units([rows[i][6] for i in at], dim)
+        keys = np.frombuffer(b"".join(rows[i][5] for i in at), key_type(dim, depth)).reshape(len(at), tables, -1)
         for start in range(0, len(at), 512):
             part = slice(start, start + 512)
             near = v[part] @ v.T >= least
@@ -200,5 +225,5 @@ def linked(tab, bucket, low, high, rows, least, tables):
             np.add.at(links, j, copies[i])
             unite(root, i, j)
     top, found = find(root, np.arange(len(rows))), links > 0
-    hub = np.where(top != np.arange(len(rows)), node[top], -1)[found]
-    return node[found], links[found], [None if h < 0 else h for h in hub.tolist()]
+    hub = [int(node[t]) if t != i else None for i, t in enumerate(top.tolist()) if found[i]]
+    return node[found], links[found], hub

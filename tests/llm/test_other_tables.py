@@ -214,6 +214,28 @@ def test_recall_of_borderline_links(dim):
     assert met.mean() >= 0.99
 
 
+@pytest.mark.parametrize("dim", [8, 64, 768])
+def test_recall_of_borderline_links_end_to_end(spark, dim):
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(150, dim)))
+    z = rng.normal(size=x.shape)
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    cos = rng.uniform(0.9001, 0.91, (len(x), 1))
+    y = cos * x + np.sqrt(1 - cos * cos) * z
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    want = brute_links(rows.collect())
+    found = sum(r.n_links for r in nearvec.near_vectors(rows).collect()) / 2
+    assert len(want) >= 150 and 0.97 * len(want) <= found <= len(want)
+
+
+def test_packing_loses_nothing():
+    assert [nearvec.key_type(d, n) for d, n in ((64, 2), (65, 2), (768, 2), (1 << 14, 3))] == ["<i2", "<i4", "<i4", "<i8"]
+    for v in ([0.5, -3.0, 1e30], [0.1, 2.0, 3.0], [1e300, 1.0, 0.0], [1e-310, 1e-320, 0.0]):
+        own = nearvec.packed_vector(np.array(v))
+        assert np.frombuffer(own, "<f4" if len(own) == 12 else "<f8").tolist() == v
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     y = nearvec.hadamard(x)
