@@ -1,4 +1,5 @@
-"""Planar geometry on array<array<struct<x, y>>> columns: closed rings, holes turning the other way."""
+"""Planar geometry on `parts` columns: array<array<array<struct<x, y>>>>, the polygons of a shape, each an outer ring
+and its holes. Rings are closed (the first point comes again at the end) and may turn either way."""
 
 from __future__ import annotations
 
@@ -6,15 +7,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
-RINGS = f"array<array<{POINT}>>"
+PARTS = f"array<array<array<{POINT}>>>"
 
 
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def polygon(*rings: Column) -> Column:
+    """A shape of one part."""
+    return F.array(F.array(*rings))
+
+
 def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0)))
+    return polygon(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0)))
+
+
+def rings(parts: Column) -> Column:
+    return F.flatten(parts)
 
 
 def edges(ring: Column) -> Column:
@@ -23,72 +33,91 @@ def edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def all_edges(rings: Column) -> Column:
-    return F.flatten(F.transform(rings, edges))
+def all_edges(parts: Column) -> Column:
+    return F.flatten(F.transform(rings(parts), edges))
 
 
 def _sum(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, e: acc + term(e["a"], e["b"]))
 
 
-def signed_area(rings: Column) -> Column:
-    return _sum(all_edges(rings), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]) / 2
+def signed_area(ring: Column) -> Column:
+    """Positive where the ring turns left; from its first vertex, so that large offsets lose no digits."""
+    o = ring[0]
+    return _sum(edges(ring), lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])) / 2
 
 
-def area(rings: Column) -> Column:
-    return F.abs(signed_area(rings))
+def oriented(parts: Column) -> Column:
+    """Outer rings turn left and holes right."""
+    turned = lambda r, i: F.when((signed_area(r) >= 0) == (i == 0), r).otherwise(F.reverse(r))
+    return F.transform(parts, lambda p: F.transform(p, turned))
 
 
-def centroid(rings: Column) -> Column:
-    """Area-weighted; coordinates are taken from the first vertex, so that large offsets lose no digits."""
-    o = rings[0][0]
+def area(parts: Column) -> Column:
+    """Outer rings less holes."""
+    own = lambda p: F.aggregate(F.transform(p, lambda r, i: F.abs(signed_area(r)) * F.when(i == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda a, v: a + v)
+    return F.aggregate(F.transform(parts, own), F.lit(0.0), lambda a, v: a + v)
+
+
+def centroid(parts: Column) -> Column:
+    """Area-weighted over all parts; coordinates are taken from the first vertex, so that large offsets lose no digits."""
+    o = parts[0][0][0]
     cross = lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
-    e = all_edges(rings)
+    e = all_edges(oriented(parts))
     twice = _sum(e, cross)
     mean = lambda c: o[c] + F.try_divide(_sum(e, lambda a, b: (a[c] + b[c] - 2 * o[c]) * cross(a, b)), 3 * twice)
     return F.struct(mean("x").alias("x"), mean("y").alias("y"))
 
 
-def bounds(rings: Column) -> Column:
-    xs, ys = F.transform(F.flatten(rings), lambda p: p["x"]), F.transform(F.flatten(rings), lambda p: p["y"])
+def points(parts: Column) -> Column:
+    return F.flatten(rings(parts))
+
+
+def bounds(parts: Column) -> Column:
+    xs, ys = F.transform(points(parts), lambda p: p["x"]), F.transform(points(parts), lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
-def on_border(rings: Column, x: Column, y: Column) -> Column:
-    def on(e):
-        a, b = e["a"], e["b"]
-        straight = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
-        return straight & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+def is_on(e: Column, x: Column, y: Column) -> Column:
+    """Whether a side holds the point."""
+    a, b = e["a"], e["b"]
+    straight = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
+    return straight & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
-    return F.exists(all_edges(rings), on)
 
+def is_right_of(e: Column, x: Column, y: Column) -> Column:
+    """Whether the ray from the point to the right crosses a side."""
+    a, b = e["a"], e["b"]
+    at = a["x"] + F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"])
+    return F.coalesce(((a["y"] > y) != (b["y"] > y)) & (x < at), F.lit(False))
 
-def within(rings: Column, x: Column, y: Column) -> Column:
-    """Strictly inside: an odd number of sides to the right, and not on the border."""
 
-    def crosses(e):
-        a, b = e["a"], e["b"]
-        at = a["x"] + F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"])
-        return ((a["y"] > y) != (b["y"] > y)) & (x < at)
+def inside(sides: Column, x: Column, y: Column) -> Column:
+    """Strictly inside, from sides (a, b) that include all at the height of the point: an odd number of them to the
+    right, and none that holds the point."""
+    odd = F.size(F.filter(sides, lambda e: is_right_of(e, x, y))) % 2 == 1
+    return F.when(F.exists(sides, lambda e: is_on(e, x, y)), F.lit(False)).otherwise(odd)
 
-    odd = F.size(F.filter(all_edges(rings), crosses)) % 2 == 1
-    return F.when(on_border(rings, x, y), F.lit(False)).otherwise(F.coalesce(odd, F.lit(False)))
 
+def within(parts: Column, x: Column, y: Column) -> Column:
+    return inside(all_edges(parts), x, y)
 
-def intersects(one: Column, two: Column) -> Column:
-    """Polygons that share any point: bounds first, then a side that meets a side, or one inside the other."""
-    a, b = bounds(one), bounds(two)
-    apart = (a["xmax"] < b["xmin"]) | (b["xmax"] < a["xmin"]) | (a["ymax"] < b["ymin"]) | (b["ymax"] < a["ymin"])
+
+def meet(e: Column, f: Column) -> Column:
+    """Whether two sides share a point."""
     turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
-    overlap = lambda e, f, c: (F.greatest(e["a"][c], e["b"][c]) >= F.least(f["a"][c], f["b"][c])) & (F.greatest(f["a"][c], f["b"][c]) >= F.least(e["a"][c], e["b"][c]))
+    overlap = lambda c: (F.greatest(e["a"][c], e["b"][c]) >= F.least(f["a"][c], f["b"][c])) & (F.greatest(f["a"][c], f["b"][c]) >= F.least(e["a"][c], e["b"][c]))
+    across = lambda g, h: F.signum(turn(g["a"], g["b"], h["a"])) * F.signum(turn(g["a"], g["b"], h["b"])) <= 0
+    return overlap("x") & overlap("y") & across(e, f) & across(f, e)
 
-    def meet(e, f):
-        sides = (turn(e["a"], e["b"], f["a"]) * turn(e["a"], e["b"], f["b"]) <= 0) & (turn(f["a"], f["b"], e["a"]) * turn(f["a"], f["b"], e["b"]) <= 0)
-        return overlap(e, f, "x") & overlap(e, f, "y") & sides
 
+def intersects(one: Column, two: Column) -> Column:
+    """Shapes that share any point: bounds first, then a side that meets a side, or a ring of one inside the other."""
+    a, b = bounds(one), bounds(two)
+    apart = (a["xmax"] < b["xmin"]) | (b["xmax"] < a["xmin"]) | (a["ymax"] < b["ymin"]) | (b["ymax"] < a["ymin"])
     crossing = F.exists(all_edges(one), lambda e: F.exists(all_edges(two), lambda f: meet(e, f)))
-    inside = within(two, one[0][0]["x"], one[0][0]["y"]) | within(one, two[0][0]["x"], two[0][0]["y"])
-    return F.when(apart, F.lit(False)).otherwise(crossing | inside)
+    holds = lambda outer, inner: F.exists(rings(inner), lambda r: within(outer, r[0]["x"], r[0]["y"]))
+    return F.when(apart, F.lit(False)).otherwise(crossing | holds(two, one) | holds(one, two))
 
 
 def number_text(value: Column) -> Column:
@@ -96,18 +125,21 @@ def number_text(value: Column) -> Column:
     return F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
 
 
-def to_wkt(rings: Column) -> Column:
+def to_wkt(parts: Column) -> Column:
+    """POLYGON for one part, MULTIPOLYGON for more."""
     ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", number_text(p["x"]), number_text(p["y"]))), ", "), F.lit(")"))
-    return F.concat(F.lit("POLYGON ("), F.array_join(F.transform(rings, ring), ", "), F.lit(")"))
+    bodies = F.transform(parts, lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, ring), ", "), F.lit(")")))
+    return F.when(F.size(parts) == 1, F.concat(F.lit("POLYGON "), bodies[0])).otherwise(F.concat(F.lit("MULTIPOLYGON ("), F.array_join(bodies, ", "), F.lit(")")))
 
 
 def from_wkt(text: Column) -> Column:
-    """Rings of a POLYGON or MULTIPOLYGON text; numbers that cannot be read are null."""
-    body = F.regexp_extract(text, r"^\s*(?:MULTI)?POLYGON\s*\(+(.*?)\)+\s*$", 1)
-    xy = lambda p: F.split(F.trim(p), r"\s+")
+    """Parts of a POLYGON or MULTIPOLYGON text; numbers that cannot be read are null, other texts too."""
+    body = F.regexp_extract(text, r"(?i)^\s*(?:MULTI)?POLYGON\s*(?:Z\s*)?(\(.*\))\s*$", 1)
+    bare = F.regexp_replace(F.regexp_replace(body, r"\s*([(),])\s*", "$1"), r"^\(+|\)+$", "")
+    xy = lambda p: F.split(p, r"\s+")
     read = lambda p: point(F.get(xy(p), F.lit(0)).try_cast("double"), F.get(xy(p), F.lit(1)).try_cast("double"))
-    rings = F.transform(F.split(body, r"\)+\s*,\s*\(+"), lambda r: F.transform(F.split(r, ","), read))
-    return F.when(body != "", rings)
+    part = lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.split(r, ","), read))
+    return F.when(bare != "", F.transform(F.split(bare, r"\)\),\(\("), part))
 
 
 #: Coefficients (power of the first, of the second, factor) of the published approximation between the
@@ -147,5 +179,5 @@ def wgs84_to_rd(lng: Column, lat: Column) -> tuple[Column, Column]:
     return BASE_X + _poly(X, f, g), BASE_Y + _poly(Y, f, g)
 
 
-def reproject(rings: Column) -> Column:
-    return F.transform(rings, lambda r: F.transform(r, lambda p: point(*rd_to_wgs84(p["x"], p["y"]))))
+def reproject(parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.transform(p, lambda r: F.transform(r, lambda v: point(*rd_to_wgs84(v["x"], v["y"])))))

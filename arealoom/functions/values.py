@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Codes that stand for suppressed numbers; those that make a whole column useless; the guard below
@@ -13,10 +13,6 @@ SUPPRESSED = (-99995, -99997, -99994, -99993, -99999)
 COLUMN_SUPPRESSED = (-99995, -99997)
 LEAST_VALID = -99990
 
-#: Labels of coded dimensions.
-AGE = {1: "age 1", 2: "age 2", 3: "age 3", 4: "age 4", 5: "age 5", 6: "age 6"}
-
-
 def unsuppressed(value: Column, codes=SUPPRESSED) -> Column:
     return F.when(~value.isin(*codes), value)
 
@@ -28,17 +24,28 @@ def valid(value: Column) -> Column:
 
 
 def format_code(value: Column, prefix: str = "GM", digits: int = 4) -> Column:
-    """363, "363", "GM363" and "gm0363" become GM0363; longer numbers are not cut, other texts become null."""
-    bare = F.regexp_replace(F.trim(value.cast("string")), f"(?i)^{prefix}", "")
-    number = bare.try_cast("double").cast("long")
+    """363, "363", "GM363", "gm0363" and 363.7 become GM0363; longer numbers are not cut. Anything but digits, and
+    digits past a long, become null."""
+    text = F.when(value.isNotNull(), F.trim(value.cast("string")))
+    number = F.regexp_extract(text, rf"(?i)^(?:{prefix})?(\d+)(?:\.\d*)?$", 1).try_cast("long")
     return F.when(number.isNotNull(), F.format_string(f"{prefix}%0{digits}d", number))
 
 
 def label(code: Column, labels: Mapping) -> Column:
+    """The label of a code, compared as text; null for codes without one. Label maps are the caller's data: those of
+    a layer come with it, as a table (labels_of) or a dict."""
     pairs = [F.lit(str(x)) for kv in labels.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), code.cast("string"))
 
 
+def labels_of(table: DataFrame, code: str, text: str, most: int = 1000) -> dict[str, str]:
+    """A code list of up to `most` rows as a label map."""
+    rows = table.select(F.col(code).cast("string"), F.col(text).cast("string")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a code list of more than {most} rows: join it instead")
+    return {r[0]: r[1] for r in rows if r[0] is not None}
+
+
 def at_least_one(value: Column) -> Column:
     """A divisor that is never zero; null stays null."""
     return F.when(value.isNotNull(), F.greatest(value, F.lit(1)))

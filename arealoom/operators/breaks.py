@@ -15,7 +15,7 @@ BUCKETS = 64
 def group_breaks(rows: DataFrame, keys: list[str], value: str, classes: int = 4) -> DataFrame:
     """(keys, breaks): per group the elements at 0-based place floor((i + 1) / classes * n) of the sorted valid values.
 
-    Groups with fewer than `classes` values have empty breaks. Different values are counted first; approximate
+    A null key is a group of its own. Groups with fewer than `classes` values have empty breaks. Different values are counted first; approximate
     quantiles deal them into buckets, bucket counts give the bucket of each wanted place, and only these buckets
     are sorted. So no task holds a whole group. The approximate edges differ from one evaluation to the next with the
     order in which partial digests arrive, so they are staged once: bucket starts and rows must use the same ones.
@@ -24,7 +24,7 @@ def group_breaks(rows: DataFrame, keys: list[str], value: str, classes: int = 4)
     sums, found = _order_statistics(rows, keys, value, places, classes)
     breaks = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
     made = found.groupBy(*keys).agg(breaks.alias("breaks"))
-    return sums.select(*keys).join(made, keys, "left").withColumn("breaks", F.coalesce("breaks", F.array().cast("array<double>")))
+    return null_safe(sums.select(*keys), made, keys, "left").withColumn("breaks", F.coalesce("breaks", F.array().cast("array<double>")))
 
 
 def group_quantiles(rows: DataFrame, keys: list[str], value: str, spots: list[float]) -> DataFrame:
@@ -35,7 +35,14 @@ def group_quantiles(rows: DataFrame, keys: list[str], value: str, spots: list[fl
     ends = found.select(*keys, F.expr("i div 2").alias("i"), (F.col("i") % 2).alias("end"), "v")
     ends = ends.groupBy(*keys, "i").agg(F.min(F.when(F.col("end") == 0, F.col("v"))).alias("low"), F.min(F.when(F.col("end") == 1, F.col("v"))).alias("high"))
     part = spot * (F.col("total") - 1) - F.floor(spot * (F.col("total") - 1))
-    return ends.join(sums, keys).select(*keys, F.col("i").cast("int").alias("i"), ((1 - part) * F.col("low") + part * F.col("high")).alias("value"))
+    return null_safe(ends, sums, keys).select(*keys, F.col("i").cast("int").alias("i"), ((1 - part) * F.col("low") + part * F.col("high")).alias("value"))
+
+
+def null_safe(one: DataFrame, two: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi join in which null keys are equal; two's keys go."""
+    other = two.select(*[F.col(c).alias(f"_other_{c}" if c in keys else c) for c in two.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return one.join(other, on, how).drop(*[f"_other_{k}" for k in keys])
 
 
 def _order_statistics(rows: DataFrame, keys: list[str], value: str, places: list[Column], least: int) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +51,7 @@ def _order_statistics(rows: DataFrame, keys: list[str], value: str, places: list
     counts = good.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     spots = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     sums = staged(counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.percentile_approx("v", spots, F.lit(1000)).alias("edges")))
-    dealt = counts.join(sums, keys).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v"))))
+    dealt = null_safe(counts, sums, keys).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v"))))
     per = dealt.groupBy(*keys, "bucket").agg(F.sum("n").alias("own"), F.first("total").alias("total"))
     per = per.withColumn("start", F.sum("own").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("own"))
     wanted = per.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(len(places))])))
@@ -52,9 +59,9 @@ def _order_statistics(rows: DataFrame, keys: list[str], value: str, places: list
     wanted = wanted.where((F.col("total") >= least) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("own")))
     wanted = wanted.select(*keys, "bucket", "i", (F.col("place") - F.col("start")).alias("offset"))
     inside = Window.partitionBy(*keys, "bucket").orderBy("v")
-    ranked = dealt.join(wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
+    ranked = null_safe(dealt, wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
     ranked = ranked.select(*keys, "bucket", "v", "n", F.sum("n").over(inside).alias("upto"))
-    found = ranked.join(wanted, [*keys, "bucket"]).where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
+    found = null_safe(ranked, wanted, [*keys, "bucket"]).where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
     return sums.select(*keys, "total"), found.select(*keys, "i", "v")
 
 

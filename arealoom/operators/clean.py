@@ -61,14 +61,21 @@ def populated(df: DataFrame, column: str, wanted: bool = True) -> DataFrame:
     return df.where(F.col(column) > 0) if wanted and column in df.columns else df
 
 
-def require_codes(df: DataFrame, code: str, wanted: DataFrame, strict: bool = False) -> DataFrame:
-    """Codes of `wanted` (its first column) that df lacks; with strict their presence is an error."""
-    missing = wanted.select(F.col(wanted.columns[0]).alias(code)).distinct().join(df.select(code), code, "left_anti")
-    if strict and (some := missing.orderBy(code).limit(20).collect()):
-        raise ValueError(f"codes not found: {', '.join(str(r[0]) for r in some)}")
+def require_codes(df: DataFrame, code: str, wanted: DataFrame, strict: bool = False, shown: int = 1000) -> DataFrame:
+    """Codes of `wanted` (its first column) that df lacks; with strict their presence is an error, which gives their
+    number and, in order, the codes (the first `shown` of them, and says so)."""
+    missing = wanted.toDF(code, *wanted.columns[1:]).select(code).distinct().join(df.select(code), code, "left_anti")
+    if strict and (n := missing.count()):
+        first = [str(r[0]) for r in missing.orderBy(code).limit(shown).collect()]
+        raise ValueError(f"{n} codes not found{f', the first {shown} of them' if n > shown else ''}: {', '.join(first)}")
     return missing
 
 
+def schema_difference(one: DataFrame, two: DataFrame) -> tuple[list[str], list[str]]:
+    """Column names that only the first frame has, and only the second, each in its own order."""
+    return [c for c in one.columns if c not in two.columns], [c for c in two.columns if c not in one.columns]
+
+
 def join_stats(areas: DataFrame, stats: DataFrame, left: str, right: str) -> DataFrame:
     """Left equi join; the key stays from the left, other clashing names get _x and _y."""
     clash = (set(areas.columns) & set(stats.columns)) - {right}

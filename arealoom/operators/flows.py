@@ -43,11 +43,16 @@ def validate_flows(flows: DataFrame, nodes: DataFrame, node_id: str) -> tuple[Da
     """The flows as they are, and one row of counts: null values, and rows whose ends are no nodes."""
     if missing := [c for c in REQUIRED if c not in flows.columns]:
         raise ValueError(f"flows lack columns: {', '.join(missing)}")
-    known = nodes.select(F.col(node_id).alias("_node")).where("_node is not null").distinct()
-    rows = flows.join(known.select(F.col("_node").alias("_o")), F.col("origin_id") == F.col("_o"), "left").join(known.select(F.col("_node").alias("_d")), F.col("destination_id") == F.col("_d"), "left")
+    # rows are counted by pair first, so the joins with the nodes take one row a pair of ends
+    pairs = flows.groupBy("origin_id", "destination_id").agg(F.count("*").alias("n"), F.count_if(F.col("flow_value").isNull()).alias("n_null"))
+    ends = pairs.unpivot(["n", "n_null"], ["origin_id", "destination_id"], "end", "_id")
+    ends = ends.groupBy("end", "_id").agg(F.sum("n").alias("n"), F.sum("n_null").alias("n_null"))
+    known = nodes.select(F.col(node_id).cast("string").alias("_node")).where("_node is not null").distinct()
+    rows = ends.join(known, F.col("_id") == F.col("_node"), "left")
+    of = lambda end, what: F.coalesce(F.sum(F.when((F.col("end") == end) & (F.col("_node").isNull() if what == "unmatched" else F.lit(True)), F.col("n_null" if what == "n_null" else "n"))), F.lit(0)).cast("long")
     report = rows.agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("flow_value").isNull()).alias("n_null"),
-        F.count_if(F.col("_o").isNull()).alias("unmatched_origins"), F.count_if(F.col("_d").isNull()).alias("unmatched_destinations"),
+        of("origin_id", "n").alias("n_rows"), of("origin_id", "n_null").alias("n_null"),
+        of("origin_id", "unmatched").alias("unmatched_origins"), of("destination_id", "unmatched").alias("unmatched_destinations"),
     )
     return flows, report
 
@@ -86,6 +91,15 @@ def herfindahl(flows: DataFrame) -> DataFrame:
     return sums.withColumn("share", share).groupBy("origin_id").agg(F.bround(F.sum(F.col("share") * F.col("share")), 6).alias("herfindahl"))
 
 
+def gravity_fit(flows: DataFrame, points: DataFrame) -> DataFrame:
+    """(beta, scale, n): the gravity model's exponent and factor by least squares on logarithms, over pairs with a
+    positive flow and distance: log(flow / (outflow * inflow)) = log(scale) - beta * log(distance)."""
+    rows = gravity(flows, points).where("flow_value > 0 and outflow > 0 and inflow > 0")
+    y, x = F.log(F.col("flow_value") / (F.col("outflow") * F.col("inflow"))), F.log("distance")
+    made = rows.select(y.alias("y"), x.alias("x")).agg((-F.regr_slope("y", "x")).alias("beta"), F.exp(F.regr_intercept("y", "x")).alias("scale"), F.count("*").alias("n"))
+    return made.select("beta", "scale", "n")
+
+
 def gravity(flows: DataFrame, points: DataFrame, beta: float = 2.0) -> DataFrame:
     """Flows by pair and what a gravity model gives: outflow * inflow * distance ** -beta; pairs with a distance."""
     sums = flows.groupBy("origin_id", "destination_id").agg(F.sum("flow_value").alias("flow_value"))

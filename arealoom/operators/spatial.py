@@ -1,20 +1,20 @@
-"""Spatial joins and shapes of whole layers."""
+"""Spatial joins and shapes of whole layers. Layers hold their shapes in a column `parts` (see functions.geometry)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.geometry import POINT, RINGS, bounds, edges, intersects, within
+from ..functions.geometry import PARTS, all_edges, bounds, inside, meet, oriented, rings
+from ..sources.scratch import staged
 
 
-def bbox(df: DataFrame, rings: str = "rings") -> Row:
+def bbox(df: DataFrame, parts: str = "parts") -> Row:
     """xmin, ymin, xmax, ymax of a layer: one row."""
-    b = bounds(F.col(rings))
+    b = bounds(F.col(parts))
     return df.agg(F.min(b["xmin"]).alias("xmin"), F.min(b["ymin"]).alias("ymin"), F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax")).first()
 
 
@@ -22,73 +22,159 @@ def in_bbox(df: DataFrame, box: Row, buffer: float = 0.0, x: str = "x", y: str =
     return df.where(F.col(x).between(box.xmin - buffer, box.xmax + buffer) & F.col(y).between(box.ymin - buffer, box.ymax + buffer))
 
 
-def tiles(rings, size: float):
-    """The tiles (i, j) that a polygon's bounds meet."""
-    b = bounds(rings)
-    span = lambda lo, hi: F.sequence(F.floor(b[lo] / size), F.floor(b[hi] / size))
-    return F.flatten(F.transform(span("xmin", "xmax"), lambda i: F.transform(span("ymin", "ymax"), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+def side_tiles(e: Column, tile: float, slack: float = 0.0) -> Column:
+    """The tiles (i, j) that a side (a, b) meets, column by column: about as many as it is tiles long."""
+    a, b = e["a"], e["b"]
+    low, high = F.least(a["x"], b["x"]) - slack, F.greatest(a["x"], b["x"]) + slack
+    steep = F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
+
+    def column(i):
+        left, right = F.greatest(i * tile, low), F.least((i + 1) * tile, high)
+        at = lambda x: F.greatest(F.least(a["y"] + (x - a["x"]) * steep, F.greatest(a["y"], b["y"])), F.least(a["y"], b["y"]))
+        one, two = F.when(steep.isNull(), a["y"]).otherwise(at(left)), F.when(steep.isNull(), b["y"]).otherwise(at(right))
+        span = F.sequence(F.floor((F.least(one, two) - slack - tile * 1e-9) / tile), F.floor((F.greatest(one, two) + slack + tile * 1e-9) / tile))
+        return F.transform(span, lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low / tile), F.floor(high / tile)), column))
 
 
-def points_in_areas(points: DataFrame, areas: DataFrame, tile: float, x: str = "x", y: str = "y", rings: str = "rings") -> DataFrame:
-    """Each point with the areas that it lies strictly within: an equi join on tiles, then the exact test."""
-    dealt = areas.withColumn("_t", F.explode(tiles(F.col(rings), tile))).select("*", F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j")).drop("_t")
+def area_tiles(areas: DataFrame, key: str, tile: float, parts: str = "parts") -> DataFrame:
+    """(key, _i, _j, _whole, _sides): the tiles that an area covers. Of tiles that a side touches, the sides from there
+    to the right at the tile's height; other tiles lie inside as a whole.
+
+    Sides are dealt to rows of tiles, so no task holds an area's whole ring and no tile repeats it.
+    """
+    shapes = areas.select(F.col(key), F.xxhash64(parts).alias("_shape"), F.col(parts).alias("_parts")).dropDuplicates([key, "_shape"])
+    sides = shapes.select(key, "_shape", F.explode(all_edges(F.col("_parts"))).alias("_e"))
+    low, high = (lambda e, c: F.least(e["a"][c], e["b"][c])), (lambda e, c: F.greatest(e["a"][c], e["b"][c]))
+    e = F.col("_e")
+    bands = sides.withColumn("_j", F.explode(F.sequence(F.floor(low(e, "y") / tile), F.floor(high(e, "y") / tile))))
+    bands = bands.groupBy(key, "_shape", "_j").agg(F.collect_list("_e").alias("_all"), F.min(low(e, "x")).alias("_low"), F.max(high(e, "x")).alias("_high"))
+    tiles = bands.withColumn("_i", F.explode(F.sequence(F.floor(F.col("_low") / tile), F.floor(F.col("_high") / tile))))
+    tiles = tiles.withColumn("_right", F.filter("_all", lambda s: high(s, "x") >= F.col("_i") * tile))
+    touched = F.exists("_right", lambda s: low(s, "x") <= (F.col("_i") + 1) * tile)
+    tiles = tiles.withColumn("_touched", touched).withColumn("_whole", ~F.col("_touched") & inside(F.col("_right"), (F.col("_i") + 0.5) * tile, (F.col("_j") + 0.5) * tile))
+    return tiles.where(F.col("_touched") | F.col("_whole")).select(key, "_i", "_j", "_whole", F.when(F.col("_touched"), F.col("_right")).alias("_sides"))
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float, x: str = "x", y: str = "y", parts: str = "parts") -> DataFrame:
+    """Each point with the key of every area that it lies strictly within: an equi join on tiles, then the exact test
+    against the sides at the tile's height."""
     rows = points.withColumn("_i", F.floor(F.col(x) / tile)).withColumn("_j", F.floor(F.col(y) / tile))
-    return rows.join(dealt, ["_i", "_j"]).where(within(F.col(rings), F.col(x), F.col(y))).drop("_i", "_j")
+    met = rows.join(area_tiles(areas, key, tile, parts), ["_i", "_j"])
+    return met.where(F.col("_whole") | inside(F.col("_sides"), F.col(x), F.col(y))).drop("_i", "_j", "_whole", "_sides")
 
 
 def touching(layer: DataFrame, clip: DataFrame, key: str, tile: float) -> DataFrame:
-    """Rows of layer that share a point with any polygon of clip, by tiles and the exact test."""
-    deal = lambda df, names: df.withColumn("_t", F.explode(tiles(F.col("rings"), tile))).select(*names, "_t.i", "_t.j")
-    one = deal(layer, [F.col(key).alias("_key"), "rings"])
-    two = deal(clip, [F.col("rings").alias("_clip")])
-    hit = one.join(two, ["i", "j"]).where(intersects(F.col("rings"), F.col("_clip"))).select("_key").distinct()
-    return layer.join(hit, layer[key] == hit["_key"], "left_semi")
+    """Rows of layer that share a point with any shape of clip: sides that meet within a tile, or a ring of one that
+    starts inside the other."""
+    layer_, clip_ = layer.select(F.col(key).alias("_key"), "parts"), clip.select(F.xxhash64("parts").alias("_clip"), "parts")
+    dealt = lambda df, *names: df.select(*names, F.explode(all_edges(F.col("parts"))).alias("e")).select(*names, "e", F.explode(side_tiles(F.col("e"), tile)).alias("t")).select(*names, "e", "t.i", "t.j")
+    sides = dealt(layer_, "_key").join(dealt(clip_).withColumnRenamed("e", "f"), ["i", "j"]).where(meet(F.col("e"), F.col("f"))).select("_key")
+    starts = lambda df, name: df.select(name, F.explode(rings(F.col("parts"))).alias("r")).select(name, F.col("r")[0]["x"].alias("x"), F.col("r")[0]["y"].alias("y"))
+    held = points_in_areas(starts(layer_, "_key"), clip_, "_clip", tile).select("_key")
+    holding = points_in_areas(starts(clip_, "_clip"), layer_, "_key", tile).select("_key")
+    return layer.join(sides.union(held).union(holding).distinct(), F.col(key) == F.col("_key"), "left_semi")
 
 
 def dissolve(layer: DataFrame, by: str, snap: int = 6) -> DataFrame:
-    """(by, rings): the union of each group's polygons, for layers whose neighbours share vertices.
+    """(by, parts): the union of each group's polygons, for layers whose neighbours share their borders.
 
-    Rows of a group that repeat a polygon (the same sides, whatever their start or direction) count once. Then a side
-    between two polygons of a group occurs twice and cancels; what is left is chained into rings, one task per group,
-    on the border alone.
+    Rows of a group that repeat a shape count once. A side cancels against its opposite; sides left over are cut at
+    the group's vertices that lie on them (a neighbour with more vertices on the same border) and cancel again. What
+    remains is chained into rings, one task per group, on the border alone. Points are snapped to 10^-snap. Shapes
+    that overlap are not resolved.
     """
     near = lambda p: F.struct(F.bround(p["x"], snap).alias("x"), F.bround(p["y"], snap).alias("y"))
     ends = lambda e: F.struct(near(e["a"]).alias("a"), near(e["b"]).alias("b"))
-    whole = layer.select(F.col(by).alias("_group"), F.filter(F.transform(F.flatten(F.transform("rings", edges)), ends), lambda e: e["a"] != e["b"]).alias("_sides"))
-    flat_side = lambda e: F.struct(F.least(e["a"], e["b"]).alias("low"), F.greatest(e["a"], e["b"]).alias("high"))
-    same = F.sha2(F.to_json(F.struct(F.array_sort(F.transform("_sides", flat_side)).alias("s"))), 256)
-    once = whole.withColumn("_same", same).dropDuplicates(["_group", "_same"])
-    sides = once.select(F.col("_group").alias(by), F.explode("_sides").alias("e")).select(by, "e.a", "e.b")
-    keyed = sides.select(by, "a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    border = keyed.groupBy(by, "low", "high").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where("n = 1")
-    flat = border.select(by, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    own = F.filter(F.transform(all_edges(oriented(F.col("parts"))), ends), lambda e: e["a"] != e["b"])
+    whole = layer.select(F.col(by).alias("_group"), own.alias("_sides"))
+    once = whole.withColumn("_same", F.sha2(F.to_json(F.struct(F.array_sort("_sides").alias("s"))), 256)).dropDuplicates(["_group", "_same"])
+    sides = staged(_cancelled(once.select("_group", F.explode("_sides").alias("e"))))
+    border = _cancelled(_cut(sides, 10.0**-snap))
+    flat = border.select("_group", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
     kind = dict(layer.dtypes)[by]
-    return flat.withColumnRenamed(by, "_group").groupBy("_group").applyInPandas(_chain, f"_group {kind}, rings {RINGS}").withColumnRenamed("_group", by)
+    return flat.groupBy("_group").applyInPandas(_chain, f"_group {kind}, parts {PARTS}").withColumnRenamed("_group", by)
+
+
+def _cancelled(sides: DataFrame) -> DataFrame:
+    """(_group, e) without the sides that occur as often in each direction; others once, the way that is left over."""
+    a, b = F.col("e.a"), F.col("e.b")
+    keyed = sides.select("_group", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.when(a < b, 1).otherwise(-1).alias("way"))
+    left = keyed.groupBy("_group", "low", "high").agg(F.sum("way").alias("way")).where("way <> 0")
+    on = F.col("way") > 0
+    return left.select("_group", F.struct(F.when(on, F.col("low")).otherwise(F.col("high")).alias("a"), F.when(on, F.col("high")).otherwise(F.col("low")).alias("b")).alias("e"))
+
+
+def _cut(sides: DataFrame, slack: float) -> DataFrame:
+    """Sides cut at the vertices of their group that lie on them, found by tiles of twice the mean side."""
+    dx, dy = F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")
+    mean = sides.agg(F.avg(F.greatest(F.abs(dx), F.abs(dy)))).first()[0]
+    if not mean:
+        return sides
+    tile = 2.0 * mean
+    dealt = sides.select("_group", "e", F.explode(side_tiles(F.col("e"), tile, slack)).alias("t"))
+    points = sides.select("_group", F.explode(F.array("e.a", "e.b")).alias("p")).distinct()
+    points = points.select("_group", "p", F.struct(F.floor(F.col("p.x") / tile).alias("i"), F.floor(F.col("p.y") / tile).alias("j")).alias("t"))
+    px, py = F.col("p.x") - F.col("e.a.x"), F.col("p.y") - F.col("e.a.y")
+    long, along = dx * dx + dy * dy, px * dx + py * dy
+    on = (F.abs(px * dy - py * dx) <= slack * F.sqrt(long)) & (along > 0) & (along < long) & (F.col("p") != F.col("e.a")) & (F.col("p") != F.col("e.b"))
+    found = dealt.join(points.withColumnRenamed("_group", "_of"), (F.col("_group").eqNullSafe(F.col("_of"))) & (dealt["t"] == points["t"])).where(on)
+    found = found.groupBy("_group", "e").agg(F.sort_array(F.collect_set(F.struct((along / long).alias("at"), "p"))).alias("cuts"))
+    found = found.select(F.col("_group").alias("_of"), F.col("e").alias("_e"), "cuts")
+    rows = sides.join(found, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("e") == F.col("_e")), "left")
+    stops = F.concat(F.array("e.a"), F.coalesce(F.transform("cuts", lambda c: c["p"]), F.array().cast("array<struct<x:double,y:double>>")), F.array("e.b"))
+    pieces = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return rows.select("_group", F.explode(pieces).alias("e"))
 
 
 def _chain(sides: pd.DataFrame) -> pd.DataFrame:
-    """Rings of the directed sides; at a vertex with several ways on, the sharpest left turn closes rings apart."""
+    """Parts from the directed sides. At a vertex with several ways on, the sharpest left turn closes rings apart; a
+    ring that turns right is a hole of the smallest ring around it."""
     following: dict[tuple, list[tuple]] = {}
     for a, b in zip(zip(sides.ax, sides.ay), zip(sides.bx, sides.by)):
         following.setdefault(a, []).append(b)
-    rings = []
-    while following:
-        start = min(following)
-        ring, here, before = [start], start, None
-        while here in following:
-            ways = sorted(following[here])
-            if before is not None and len(ways) > 1:
-                back = np.arctan2(before[1] - here[1], before[0] - here[0])
-                ways.sort(key=lambda w: (back - np.arctan2(w[1] - here[1], w[0] - here[0])) % (2 * np.pi) or 2 * np.pi)
-            following[here].remove(ways[0])
-            if not following[here]:
-                del following[here]
-            before, here = here, ways[0]
-            ring.append(here)
-            if here == start:
-                break
-        rings.append([{"x": float(x), "y": float(y)} for x, y in ring])
-    return pd.DataFrame({"_group": [sides["_group"].iloc[0]], "rings": [rings]})
+    found = []
+    for start in sorted(following):
+        while start in following:
+            ring, here, before = [start], start, None
+            while here in following:
+                ways = sorted(following[here])
+                if before is not None and len(ways) > 1:
+                    back = np.arctan2(before[1] - here[1], before[0] - here[0])
+                    ways.sort(key=lambda w: (back - np.arctan2(w[1] - here[1], w[0] - here[0])) % (2 * np.pi) or 2 * np.pi)
+                following[here].remove(ways[0])
+                if not following[here]:
+                    del following[here]
+                before, here = here, ways[0]
+                ring.append(here)
+                if here == start:
+                    break
+            found.append(np.array(ring))
+    areas = [float(((r[:-1, 0] - r[0, 0]) * (r[1:, 1] - r[0, 1]) - (r[1:, 0] - r[0, 0]) * (r[:-1, 1] - r[0, 1])).sum() / 2) for r in found]
+    outer = sorted((i for i, s in enumerate(areas) if s > 0), key=lambda i: areas[i])
+    holes = {i: [] for i in outer}
+    for i, s in enumerate(areas):
+        if s <= 0:
+            around = next((o for o in outer if areas[o] > -s and _holds(found[o], found[i])), None)
+            holes[around].append(i) if around is not None else holes.setdefault(i, [])
+    points = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    parts = [[points(found[i]), *(points(found[h]) for h in holes[i])] for i in sorted(holes)]
+    return pd.DataFrame({"_group": [sides["_group"].iloc[0]], "parts": [parts]})
+
+
+def _holds(ring: np.ndarray, other: np.ndarray) -> bool:
+    """Whether most of the middles of other's sides lie inside ring."""
+    if (other.min(0) < ring.min(0)).any() or (other.max(0) > ring.max(0)).any():
+        return False
+    a, b = ring[:-1], ring[1:]
+    hits = 0
+    middles = ((other[1:] + other[:-1]) / 2)[:101]
+    for x, y in middles:
+        crosses = (a[:, 1] > y) != (b[:, 1] > y)
+        at = a[crosses, 0] + (b[crosses, 0] - a[crosses, 0]) * (y - a[crosses, 1]) / (b[crosses, 1] - a[crosses, 1])
+        hits += int((at > x).sum() % 2)
+    return hits * 2 > len(middles)
 
 
 def simplify(layer: DataFrame, tolerance: float) -> DataFrame:
@@ -97,23 +183,43 @@ def simplify(layer: DataFrame, tolerance: float) -> DataFrame:
 
 
 def clip_to_box(layer: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
-    """Polygons cut to a rectangle; what lies outside has no rings left and goes."""
+    """Polygons cut to a rectangle; what lies outside has no parts left and goes."""
     sides = [(0, xmin, 1), (0, xmax, -1), (1, ymin, 1), (1, ymax, -1)]
-    return _shaped(layer, lambda ring: _half_planes(ring, sides)).where(F.size("rings") > 0)
+    return _shaped(layer, lambda ring: _half_planes(ring, sides)).where(F.size("parts") > 0)
 
 
 def _shaped(layer: DataFrame, shape) -> DataFrame:
+    """layer with each ring of its parts reshaped; rings of fewer than four points go, with an outer ring its part."""
     names = layer.columns
 
-    def of(batches: Iterator[pd.DataFrame]):
+    def of(batches):
         for b in batches:
-            made = []
-            for rings in b["rings"]:
-                own = [shape(np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)) for ring in ([] if rings is None else rings)]
-                made.append([[{"x": float(x), "y": float(y)} for x, y in ring] for ring in own if len(ring) >= 4])
-            yield b.assign(rings=pd.Series(made, index=b.index, dtype=object))[names]
-
-    return layer.mapInPandas(of, layer.schema)
+            column = b.column("parts")
+            flat = column.flatten()
+            own, per_part, per_ring = (x.value_lengths().fill_null(0).to_numpy() for x in (column, flat, flat.flatten()))
+            x, y = (c.to_numpy(zero_copy_only=False) for c in flat.flatten().flatten().flatten())
+            xy, ends, made, at, ring = np.stack([x, y], 1), np.cumsum(per_ring), [], 0, 0
+            shapes = []  # of all rings, by part
+            for n in per_part:
+                rings_ = [shape(xy[ends[r] - per_ring[r] : ends[r]]) for r in range(ring, ring + n)]
+                ring += n
+                shapes.append([r for i, r in enumerate(rings_) if len(r) >= 4] if n and len(rings_[0]) >= 4 else [])
+            for n in own:
+                made.append([p for p in shapes[at : at + n] if p])
+                at += n
+            yield pa.RecordBatch.from_arrays([_arrow_parts(made) if c == "parts" else b.column(c) for c in names], names)
+
+    return layer.mapInArrow(of, layer.schema)
+
+
+def _arrow_parts(made: list) -> pa.Array:
+    ends = lambda lengths: pa.array(np.cumsum([0, *lengths]), pa.int32())
+    parts = [p for row in made for p in row]
+    rings_ = [r for p in parts for r in p]
+    xy = np.concatenate([np.zeros((0, 2)), *rings_])
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    deep = pa.ListArray.from_arrays(ends(map(len, rings_)), points)
+    return pa.ListArray.from_arrays(ends(map(len, made)), pa.ListArray.from_arrays(ends(map(len, parts)), deep))
 
 
 def _peucker(ring: np.ndarray, tolerance: float) -> np.ndarray:
@@ -145,26 +251,18 @@ def _distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _half_planes(ring: np.ndarray, sides) -> np.ndarray:
-    points = [tuple(p) for p in ring[:-1]]
+    """The ring cut at each side in turn: points inside stay, and each crossing adds the point where it happens."""
+    p = ring[:-1]
     for axis, at, sign in sides:
-        made = []
-        for i, q in enumerate(points):
-            p = points[i - 1]
-            p_in, q_in = (p[axis] - at) * sign >= 0, (q[axis] - at) * sign >= 0
-            if p_in != q_in:
-                t = (at - p[axis]) / (q[axis] - p[axis])
-                cut = [p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])]
-                cut[axis] = at
-                made.append(tuple(cut))
-            if q_in:
-                made.append(q)
-        points = made
-    points = [p for i, p in enumerate(points) if p != points[i - 1]]
-    return np.array([*points, points[0]]) if len(points) >= 3 else np.zeros((0, 2))
-
-
-def cell_square(half: float):
-    """The square around (x, y), as rings."""
-    x, y = F.col("x"), F.col("y")
-    corner = lambda i, j: F.struct((x + i * half).cast("double").alias("x"), (y + j * half).cast("double").alias("y"))
-    return F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))).cast(f"array<array<{POINT}>>")
+        if not len(p):
+            break
+        before = np.roll(p, 1, 0)
+        inner, was = (p[:, axis] - at) * sign >= 0, (before[:, axis] - at) * sign >= 0
+        step = p[:, axis] - before[:, axis]
+        t = np.divide(at - before[:, axis], step, out=np.zeros(len(p)), where=step != 0)
+        cut = before + t[:, None] * (p - before)
+        cut[:, axis] = at
+        both = np.stack([cut, p], 1).reshape(-1, 2)
+        p = both[np.stack([inner != was, inner], 1).ravel()]
+    p = p[(p != np.roll(p, 1, 0)).any(1)] if len(p) else p
+    return np.concatenate([p, p[:1]]) if len(p) >= 3 else np.zeros((0, 2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import ast
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,22 @@ def choropleth_many(df: DataFrame, id_column: str, variables: list[str], scale:
     return made.select("scale", "variable", "id", "value", classify(F.col("value"), F.col("breaks")).alias("cls"))
 
 
+def two_layers(inner: tuple[DataFrame, str, str], outer: tuple[DataFrame, str, str], shared: bool = False, value=lambda c: c, **options) -> DataFrame:
+    """(layer, variable, id, value, cls) of an inner and an outer (table, id column, variable), each with its own
+    breaks; `shared` shows the inner layer's variable on both. A layer without the variable has no rows."""
+    made = []
+    for name, (df, id_column, variable) in (("inner", inner), ("outer", outer)):
+        variable = inner[2] if shared else variable
+        rows = stats_choropleth(df, id_column, variable, value, **options)
+        made.append(rows.select(F.lit(name).alias("layer"), F.lit(variable).alias("variable"), "id", "value", "cls"))
+    return made[0].union(made[1])
+
+
+def available(variables: DataFrame, scale: str) -> DataFrame:
+    """Rows of a variable registry (key, label, group, can_normalise, available_at array<string>) for one scale."""
+    return variables.where(F.array_contains("available_at", scale))
+
+
 def feature_states(features: DataFrame, id_column: str, classed: DataFrame) -> DataFrame:
     """Every feature with its class; -1 for those without a row."""
     rows = features.select(F.col(id_column).cast("string").alias("id"))
@@ -42,14 +58,18 @@ def feature_states(features: DataFrame, id_column: str, classed: DataFrame) -> D
 
 
 def computed(df: DataFrame, name: str, formula: str, allowed: list[str]) -> DataFrame:
-    """df plus a column of plain arithmetic over allowed columns; division by zero gives null."""
-    tokens = re.findall(r"[A-Za-z_]\w*|\d+(?:\.\d+)?|[-+*/()]|\S", formula)
-    for t in tokens:
-        if not (t in allowed or re.fullmatch(r"\d+(\.\d+)?|[-+*/()]", t)):
-            raise ValueError(f"not allowed in a formula: {t}")
-    if "/" in tokens:
-        if tokens.count("/") > 1 or "(" in tokens:
-            raise ValueError("one division without brackets")
-        above, below = formula.split("/")
-        return df.withColumn(name, F.try_divide(F.expr(above).cast("double"), F.expr(below).cast("double")))
-    return df.withColumn(name, F.expr(formula).cast("double"))
+    """df plus a column of plain arithmetic (+ - * / and brackets) over allowed columns; division by zero gives null."""
+    means = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide}
+
+    def column(node) -> Column:
+        if isinstance(node, ast.BinOp) and type(node.op) in means:
+            return means[type(node.op)](column(node.left), column(node.right))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            return -column(node.operand)
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.Name) and node.id in allowed:
+            return F.col(node.id).cast("double")
+        raise ValueError(f"not allowed in a formula: {ast.unparse(node)}")
+
+    return df.withColumn(name, column(ast.parse(formula, mode="eval").body))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -9,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.values import AGE, format_code, label, normalise, unsuppressed
+from ..functions.values import format_code, label, labels_of, normalise, unsuppressed
 from ..operators import breaks, clean, cube, flows, spatial
 from ..sources import layers
 from ..sources.scratch import shared_folder
 from . import maps, scales
-from .stand_ins import areas, over, stand_in
+from .registry import AGE
+from .stand_ins import areas, over, shape_wkt_sql, shapes, stand_in
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,8 +51,8 @@ def scan_parquet(spark, d):
 @query(over("select code, 5 as n_points from fx_areas", "fx_areas"))
 def scan_layer(spark, d):
     base = scratch(spark)
-    layers.write_layers(areas(spark, d).select(F.lit("gemeenten").alias("layer"), "code", "rings"), base)
-    return layers.scan_layer(spark, base, "gemeenten").select("code", F.size(F.col("rings")[0]).alias("n_points"))
+    layers.write_layers(areas(spark, d).select(F.lit("gemeenten").alias("layer"), "code", "parts"), base)
+    return layers.scan_layer(spark, base, "gemeenten").select("code", F.size(F.col("parts")[0][0]).alias("n_points"))
 
 
 @query(over(f"select {CODE.format('source')} as origin_id, {CODE.format('sink')} as destination_id, sum(cast(count as double)) as flow_value from fx_flows group by 1, 2", "fx_flows"))
@@ -68,24 +70,53 @@ def parquet_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
-@query(over("select code as id, name, x0 as x, y0 as y, 5 as n_points from fx_areas", "fx_areas"))
+@query(over(f"select id, {', '.join(f'case when {c} in {SENTINELS} then null else {c} end as {c}' for c in ('inhabitants', 'income'))} from fx_stats", "fx_stats"))
+def parquet_replace(spark, d):
+    path, rows = scratch(spark), stand_in(spark, d, "fx_stats").select("id", "inhabitants", "income")
+    layers.replace_parquet(rows, path)
+    layers.replace_parquet(clean.null_suppressed(spark.read.parquet(path)), path)
+    return spark.read.parquet(path)
+
+
+@query(over("select periode, count(*) as n, (select count(*) from fx_flows) as held from fx_flows group by 1", "fx_flows"))
+def named_table(spark, d):
+    name = f"flows_{uuid.uuid4().hex}"
+    held = layers.save_table(stand_in(spark, d, "fx_flows"), name, scratch(spark))
+    return spark.table(name).groupBy("periode").agg(F.count("*").alias("n"), F.lit(held).alias("held"))
+
+
+@query(over("select code as id, name, x0 as x, y0 as y, 5 as n_points, 'Polygon' as kind from fx_areas", "fx_areas"))
 def geojson_roundtrip(spark, d):
     path = scratch(spark)
-    layers.write_features(layers.features(areas(spark, d), "code", layers.polygon(F.col("rings")), ["name"]), path)
-    rows = layers.read_features(spark, path, "name:string", "struct<type:string,coordinates:array<array<array<double>>>>")
-    ring = F.col("geometry.coordinates")[0]
-    return rows.select("id", "name", ring[0][0].alias("x"), ring[0][1].alias("y"), F.size(ring).alias("n_points"))
+    layers.write_collection(layers.features(areas(spark, d), "code", layers.geojson(F.col("parts")), ["name"]), path)
+    rows, ring = layers.read_collection(spark, path, "name:string"), F.col("parts")[0][0]
+    return rows.select("id", "name", ring[0]["x"].alias("x"), ring[0]["y"].alias("y"), F.size(ring).alias("n_points"), F.col("geometry_type").alias("kind"))
+
+
+@query(over("select cast(shape_key as varchar) as id, case kind when 2 then 'MultiPolygon' else 'Polygon' end as geometry, case kind when 2 then 2 else 1 end as n_parts, case when kind > 1 then 2 else 1 end as n_rings, case kind when 0 then 2800.0::double when 1 then 2400.0::double when 2 then 1800.0::double else 4800.0::double end as area from fx_shapes", "fx_shapes"))
+def geojson_shapes(spark, d):
+    path = scratch(spark)
+    layers.write_features(layers.features(shapes(spark, d), "shape_key", layers.geojson(F.col("parts")), ["kind"]), path)
+    p = F.col("parts")
+    return layers.read_features(spark, path, "kind:int").select("id", F.col("geometry_type").alias("geometry"), F.size(p).alias("n_parts"), F.size(F.flatten(p)).alias("n_rings"), geo.area(p).alias("area"))
 
 
 @query(over("select code as id, 'Polygon' as kind, name from fx_areas", "fx_areas"))
 def geojson_features(spark, d):
-    made = layers.features(areas(spark, d), "code", layers.polygon(F.col("rings"), 5), ["name"])
+    made = layers.features(areas(spark, d), "code", layers.geojson(F.col("parts"), 5), ["name"])
     return made.select("id", F.get_json_object("feature", "$.geometry.type").alias("kind"), F.get_json_object("feature", "$.properties.name").alias("name"))
 
 
-@query(over("select id, inhabitants, dwellings, income from fx_stats", "fx_stats"))
+@query(over(f"select shape_key, {shape_wkt_sql()} as geometry_wkt from fx_shapes", "fx_shapes"))
+def layer_csv(spark, d):
+    path = scratch(spark)
+    layers.write_layer_csv(shapes(spark, d).select("shape_key", "parts"), path)
+    return spark.read.option("header", True).schema("shape_key long, geometry_wkt string").csv(path)
+
+
+@query(over("select id, inhabitants, dwellings, income, land_ha, all_suppressed, suppressed_or_null from fx_stats", "fx_stats"))
 def drop_cols_regex(spark, d):
-    return clean.drop_columns_like(stand_in(spark, d, "fx_stats")).select("id", "inhabitants", "dwellings", "income")
+    return clean.drop_columns_like(stand_in(spark, d, "fx_stats"))
 
 
 @query(over("select id, inhabitants, dwellings, income, land_ha, suppressed_or_null, raw_12 from fx_stats", "fx_stats"))
@@ -136,27 +167,23 @@ def bbox_prefilter(spark, d):
     return spatial.in_bbox(stand_in(spark, d, "fx_cells"), spatial.bbox(boundary), 2000.0).select("cell_key")
 
 
-@query(over("select code, x0 as x, y0 as y from fx_areas where x0 between 60000 and 90000 and y0 between 420000 and 450000", "fx_areas"))
-def bbox_from_wkt(spark, d):
-    text = F.concat(F.lit("MULTIPOLYGON ((("), F.format_string("%.1f %.1f, 0 0", "x0", "y0"), F.lit(")))"))
-    rows = stand_in(spark, d, "fx_areas").select("code", text.alias("wkt"))
-    number = lambda i: F.regexp_extract("wkt", r"\(\(\(\s*(-?[0-9.]+)\s+(-?[0-9.]+)", i).try_cast("double")
-    return rows.select("code", number(1).alias("x"), number(2).alias("y")).where("x between 60000 and 90000 and y between 420000 and 450000")
-
-
 @query(over("select trim(area_code) as area_code from fx_codes where regexp_matches(area_code, '^BU00(0[6-9]|1[0-2])')", "fx_codes"))
 def filter_regex(spark, d):
     return stand_in(spark, d, "fx_codes").where(F.col("area_code").rlike("^BU00(0[6-9]|1[0-2])")).select(F.trim("area_code").alias("area_code"))
 
 
-@query("select c_custkey, " + CODE.format("c_nationkey") + " as code from customer")
+@query("select c_custkey, case when c_custkey % 10 < 4 then " + CODE.format("c_nationkey") + " end as code from customer")
 def format_code_forms(spark, d):
     rows = spark.read.parquet(f"{d}/customer.parquet")
-    forms = F.array(F.col("c_nationkey").cast("string"), F.concat(F.lit("GM"), "c_nationkey"), F.concat(F.lit("gm0"), "c_nationkey"), F.concat(F.col("c_nationkey").cast("string"), F.lit(".7")))
-    return rows.select("c_custkey", format_code(forms[F.pmod("c_custkey", F.lit(4)).cast("int")]).alias("code"))
+    n = F.col("c_nationkey").cast("string")
+    forms = F.array(n, F.concat(F.lit("GM"), n), F.concat(F.lit("gm0"), n), F.concat(n, F.lit(".7")), F.concat(F.lit("-"), n), F.concat(n, F.lit("e3")), F.lit("NaN"), F.lit("1e300"), F.lit("99999999999999999999"), F.lit("inf"))
+    return rows.select("c_custkey", format_code(forms[F.pmod("c_custkey", F.lit(10)).cast("int")]).alias("code"))
 
 
-@query("select distinct l_linenumber, case when l_linenumber <= 6 then 'age ' || l_linenumber end as age_label from lineitem")
+AGE_SQL = "case {} " + " ".join(f"when {k} then '{v}'" for k, v in AGE.items())
+
+
+@query(f"select distinct l_linenumber, {AGE_SQL.format('l_linenumber')} end as age_label from lineitem")
 def label_lookup(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet").select("l_linenumber", label(F.col("l_linenumber"), AGE).alias("age_label")).distinct()
 
@@ -171,6 +198,12 @@ def column_profile(spark, d):
     return clean.column_profile(stand_in(spark, d, "fx_stats"), "income")
 
 
+@query("select c_custkey, n_name as label from customer left join nation on c_nationkey = n_nationkey and n_nationkey % 4 <> 0")
+def label_table(spark, d):
+    names = labels_of(spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 4 <> 0"), "n_nationkey", "n_name")
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", label(F.col("c_nationkey"), names).alias("label"))
+
+
 # Cubes
 
 
@@ -193,7 +226,7 @@ def cube_build(spark, d):
 _MARGINAL = "select " + CODE.format("gem") + " as code, jaar as year, '{0}' as dim, {1} as label, sum(value) as n from fx_cube where {0} is not null and {2} is null and {3} is null group by 1, 2, 4"
 
 
-@query(over(" union all ".join(_MARGINAL.format(*a) for a in (("age", "case when age <= 6 then 'age ' || age else cast(age as string) end", "opl", "soortbaan"), ("opl", "opl", "age", "soortbaan"), ("soortbaan", "soortbaan", "age", "opl"))), "fx_cube"))
+@query(over(" union all ".join(_MARGINAL.format(*a) for a in (("age", AGE_SQL.format("age") + " else cast(age as string) end", "opl", "soortbaan"), ("opl", "opl", "age", "soortbaan"), ("soortbaan", "soortbaan", "age", "opl"))), "fx_cube"))
 def node_marginals(spark, d):
     return cube.node_marginals(stand_in(spark, d, "fx_cube"), "gem", "jaar", ["age", "opl", "soortbaan"], {"age": AGE | {7: "7"}})
 
@@ -334,6 +367,13 @@ def gravity_flows(spark, d):
     return made.withColumn("distance", F.bround("distance", 6)).withColumn("expected", F.bround("expected", 6))
 
 
+@query(over("select round_even(-regr_slope(ly, lx), 6) as beta, round_even(exp(regr_intercept(ly, lx)), 9) as scale, count(*) as n from (select ln(flow_value / (outflow * inflow)) as ly, ln(sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0))) as lx from s join (select origin_id, sum(flow_value) as outflow from s group by 1) o on s.origin_id = o.origin_id join (select destination_id, sum(flow_value) as inflow from s group by 1) i on s.destination_id = i.destination_id join fx_areas a on a.code = s.origin_id join fx_areas b on b.code = s.destination_id where s.origin_id <> s.destination_id and flow_value > 0)", "fx_flows", "fx_areas", steps=_FLOWS | {"s": "select origin_id, destination_id, sum(flow_value) as flow_value from f group by 1, 2"}))
+def gravity_fit(spark, d):
+    points = stand_in(spark, d, "fx_areas").select(F.col("code").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    made = flows.gravity_fit(raw_flows(spark, d), points)
+    return made.select(F.bround("beta", 6).alias("beta"), F.bround("scale", 9).alias("scale"), "n")
+
+
 # Joins by code
 
 
@@ -396,6 +436,12 @@ def quantile_breaks_by_group(spark, d):
     return breaks.group_breaks(rows, ["c_mktsegment"], "c_acctbal").select("c_mktsegment", F.posexplode("breaks").alias("i", "value"))
 
 
+@query("select seg, value, i from (select case when c_mktsegment <> 'BUILDING' then c_mktsegment end as seg, c_acctbal as value, row_number() over (partition by case when c_mktsegment <> 'BUILDING' then c_mktsegment end order by c_acctbal) - 1 as rn, count(*) over (partition by case when c_mktsegment <> 'BUILDING' then c_mktsegment end) as n from customer), (select unnest([0, 1, 2]) as i) where n >= 4 and rn = least(cast(floor((i + 1) / 4.0::double * n) as bigint), n - 1)")
+def quantile_breaks_of_null_group(spark, d):
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.expr("case when c_mktsegment <> 'BUILDING' then c_mktsegment end").alias("seg"), "c_acctbal")
+    return breaks.group_breaks(rows, ["seg"], "c_acctbal").select("seg", F.posexplode("breaks").alias("i", "value"))
+
+
 @query(over(f"select unnest([0, 1, 2, 3, 4]) as i, unnest([round_even(x, 6) for x in quantile_cont(income, [0, 0.25, 0.5, 0.75, 1])]) as value from fx_stats where income > 0 and income not in {SENTINELS}", "fx_stats"))
 def quantile_breaks_doc(spark, d):
     rows = stand_in(spark, d, "fx_stats").where("income > 0").where(unsuppressed(F.col("income")).isNotNull())
@@ -438,6 +484,21 @@ def choropleth_many(spark, d):
     return maps.choropleth_many(stand_in(spark, d, "fx_stats"), "id", ["inhabitants", "dwellings", "income"], "buurt")
 
 
+def _outer(steps: dict[str, str]) -> dict[str, str]:
+    """break_steps under other names."""
+    other = lambda q: re.sub(r"\b(vals|ranked|brk)\b", r"o\1", q)
+    return {other(k): other(q) for k, q in steps.items()}
+
+
+_BY_GM = "select gm as id, cast(n as double) as value from (select substr(id, 1, 6) as gm, count(*) as n from fx_stats group by 1)"
+
+
+@query(over("select 'inner' as layer, 'dwellings' as variable, * from (" + CLASSED + ") union all select 'outer', 'n', * from (" + re.sub(r"\b(vals|brk)\b", r"o\1", CLASSED) + ")", "fx_stats", steps=break_steps(f"select id, cast(dw as double) as value from {CLEANED}") | _outer(break_steps(_BY_GM))))
+def two_layers(spark, d):
+    stats = stand_in(spark, d, "fx_stats")
+    return maps.two_layers((stats, "id", "dwellings"), (stats.groupBy(F.substring("id", 1, 6).alias("gm")).agg(F.count("*").alias("n")), "gm", "n"))
+
+
 @query(over("select id, case when land_ha > 0 then dw / (land_ha / 100.0::double) end as value from " + CLEANED, "fx_stats"))
 def normalise_per_km2(spark, d):
     return stand_in(spark, d, "fx_stats").select("id", normalise(unsuppressed(F.col("dwellings")), "per_km2", land_ha=F.col("land_ha")).alias("value"))
@@ -448,15 +509,16 @@ def normalise_per_1000(spark, d):
     return stand_in(spark, d, "fx_stats").select("id", per_1000(spark, d)(unsuppressed(F.col("dwellings"))).alias("value"))
 
 
-@query(over("select id, cast(dw as double) / nullif(inh, 0) as ratio from " + CLEANED, "fx_stats"))
+@query(over("select id, 100.0::double * (cast(dw as double) + land_ha) / nullif(cast(inh as double), 0) - land_ha / nullif(cast(dw as double) - land_ha, 0) as ratio from " + CLEANED, "fx_stats"))
 def computed_variable(spark, d):
-    return maps.computed(clean.null_suppressed(stand_in(spark, d, "fx_stats")), "ratio", "dwellings / inhabitants", ["dwellings", "inhabitants"]).select("id", "ratio")
+    formula = "100 * (dwellings + land_ha) / inhabitants - land_ha / (dwellings - land_ha)"
+    return maps.computed(clean.null_suppressed(stand_in(spark, d, "fx_stats")), "ratio", formula, ["dwellings", "inhabitants", "land_ha"]).select("id", "ratio")
 
 
-@query(over("select substr(id, 3, 4) as gm, count(*) as n, sum(case when inh > 0 then inh else 0 end) as inhabitants from " + CLEANED + " group by 1", "fx_stats"))
+@query(over("select a.name, count(s.id) as n, sum(case when inh > 0 then inh else 0 end) as inhabitants from fx_areas a left join " + CLEANED + " s on substr(s.id, 3, 4) = substr(a.code, 3, 4) group by 1", "fx_stats", "fx_areas"))
 def adhoc_sql(spark, d):
-    clean.null_suppressed(stand_in(spark, d, "fx_stats")).createOrReplaceTempView("buurt")
-    return spark.sql("select substr(id, 3, 4) as gm, count(*) as n, sum(case when inhabitants > 0 then inhabitants else 0 end) as inhabitants from buurt group by 1")
+    layers.register_views({"buurt": clean.null_suppressed(stand_in(spark, d, "fx_stats")), "gemeente": stand_in(spark, d, "fx_areas")})
+    return spark.sql("select g.name, count(b.id) as n, sum(case when inhabitants > 0 then inhabitants else 0 end) as inhabitants from gemeente g left join buurt b on substr(b.id, 3, 4) = substr(g.code, 3, 4) group by 1")
 
 
 # Geometry
@@ -464,26 +526,41 @@ def adhoc_sql(spark, d):
 
 @query(over("select code, 'POLYGON ((' || x0::bigint || ' ' || y0::bigint || ', ' || (x0 + 12000)::bigint || ' ' || y0::bigint || ', ' || (x0 + 12000)::bigint || ' ' || (y0 + 12000)::bigint || ', ' || x0::bigint || ' ' || (y0 + 12000)::bigint || ', ' || x0::bigint || ' ' || y0::bigint || '))' as geometry_wkt from fx_areas", "fx_areas"))
 def wkt_encode(spark, d):
-    return areas(spark, d).select("code", geo.to_wkt(F.col("rings")).alias("geometry_wkt"))
+    return areas(spark, d).select("code", geo.to_wkt(F.col("parts")).alias("geometry_wkt"))
 
 
 @query(over("select code, 1 as n_rings, 5 as n_points, x0 + 12000 as x, y0 + 12000 as y from fx_areas", "fx_areas"))
 def wkt_decode(spark, d):
-    rows = areas(spark, d).select("code", geo.from_wkt(geo.to_wkt(F.col("rings"))).alias("rings"))
-    r = F.col("rings")
+    rows = areas(spark, d).select("code", geo.from_wkt(geo.to_wkt(F.col("parts"))).alias("parts"))
+    r = F.col("parts")[0]
     return rows.select("code", F.size(r).alias("n_rings"), F.size(r[0]).alias("n_points"), r[0][2]["x"].alias("x"), r[0][2]["y"].alias("y"))
 
 
+@query(over(f"select shape_key, {shape_wkt_sql()} as geometry_wkt, case kind when 2 then 2 else 1 end as n_parts, case when kind > 1 then 2 else 1 end as n_rings from fx_shapes", "fx_shapes"))
+def wkt_shapes(spark, d):
+    p = F.col("parts")
+    rows = shapes(spark, d).withColumn("parts", geo.from_wkt(geo.to_wkt(p)))
+    return rows.select("shape_key", geo.to_wkt(p).alias("geometry_wkt"), F.size(p).alias("n_parts"), F.size(F.flatten(p)).alias("n_rings"))
+
+
+@query(over("select shape_key, x0 + case kind when 0 then round_even(27 + 1 / 7.0::double, 6) when 1 then round_even(80 / 3.0::double, 6) else 40 end as x, y0 + case kind when 0 then round_even(27 + 1 / 7.0::double, 6) when 1 then 20 else 40 end as y, case kind when 0 then 2800.0::double when 1 then 2400.0::double when 2 then 1800.0::double else 4800.0::double end as area from fx_shapes", "fx_shapes"))
+def shape_measures(spark, d):
+    c = geo.centroid(F.col("parts"))
+    rows = shapes(spark, d).withColumn("c", c)
+    near = lambda n, o: (F.col(o) + F.bround(F.col(f"c.{n}") - F.col(o), 6)).alias(n)
+    return rows.select("shape_key", near("x", "x0"), near("y", "y0"), geo.area(F.col("parts")).alias("area"))
+
+
 @query(over("select min(x0) as xmin, min(y0) as ymin, max(x0) + 12000 as xmax, max(y0) + 12000 as ymax from fx_areas", "fx_areas"))
 def bbox_agg(spark, d):
-    b = geo.bounds(F.col("rings"))
+    b = geo.bounds(F.col("parts"))
     return areas(spark, d).agg(F.min(b["xmin"]).alias("xmin"), F.min(b["ymin"]).alias("ymin"), F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax"))
 
 
 @query(over("select code, x0 + 6000 as x, y0 + 6000 as y, 144000000.0::double as area from fx_areas", "fx_areas"))
 def polygon_centroid(spark, d):
-    rows = areas(spark, d).withColumn("c", geo.centroid(F.col("rings")))
-    return rows.select("code", F.bround("c.x", 3).alias("x"), F.bround("c.y", 3).alias("y"), geo.area(F.col("rings")).alias("area"))
+    rows = areas(spark, d).withColumn("c", geo.centroid(F.col("parts")))
+    return rows.select("code", F.bround("c.x", 3).alias("x"), F.bround("c.y", 3).alias("y"), geo.area(F.col("parts")).alias("area"))
 
 
 def _poly_sql(terms, p, q) -> str:
@@ -511,27 +588,73 @@ def centroids_export(spark, d):
     return spark.read.schema("id string, lng double, lat double").json(path)
 
 
+@query(over(f"select code, x0 as x, y0 as y, round_even({LNG_SQL}, 5) as lng, round_even({LAT_SQL}, 5) as lat from (select code, x0, y0, x0 as x, y0 as y from fx_areas) where x0 between 60000 and 90000 and y0 between 420000 and 450000", "fx_areas"))
+def bbox_from_wkt(spark, d):
+    more = geo.rectangle(F.col("x0") + 1e6, F.col("y0"), F.col("x0") + 1e6 + 1, F.col("y0") + 1)
+    rows = areas(spark, d).select("code", geo.to_wkt(F.concat("parts", more)).alias("geometry_wkt"))
+    rows = scales.old_extract(rows, 60000, 90000, 420000, 450000)
+    first = F.col("parts")[0][0][0]
+    return rows.select("code", "x", "y", F.bround(first["x"], 5).alias("lng"), F.bround(first["y"], 5).alias("lat"))
+
+
+def box(spark, *corners: float) -> DataFrame:
+    return spark.range(1).select(geo.rectangle(*map(F.lit, corners)).alias("parts"))
+
+
 @query(over("select cell_key from fx_cells, (select x0, y0 from fx_areas where code = 'GM0008') where x > x0 and x < x0 + 12000 and y > y0 and y < y0 + 12000", "fx_areas", "fx_cells"))
 def spatial_within(spark, d):
-    one = areas(spark, d).where("code = 'GM0008'").select("rings")
-    return spatial.points_in_areas(stand_in(spark, d, "fx_cells"), one, 12000.0).select("cell_key")
+    one = areas(spark, d).where("code = 'GM0008'").select("code", "parts")
+    return spatial.points_in_areas(stand_in(spark, d, "fx_cells"), one, "code", 2000.0).select("cell_key")
 
 
 @query(over("select code from fx_areas where x0 <= 90000 and x0 + 12000 >= 66000 and y0 <= 450000 and y0 + 12000 >= 426000", "fx_areas"))
 def spatial_intersects(spark, d):
-    corner = [F.lit(v) for v in (66000.0, 426000.0, 90000.0, 450000.0)]
-    clip = areas(spark, d).limit(1).select(geo.rectangle(*corner).alias("rings"))
-    return spatial.touching(areas(spark, d), clip, "code", 12000.0).select("code")
+    return spatial.touching(areas(spark, d), box(spark, 66000.0, 426000.0, 90000.0, 450000.0), "code", 12000.0).select("code")
+
+
+def _overlap(x0, y0, x1, y1) -> str:
+    """Whether a box of fx_boxes meets the closed rectangle between two corners of a shape."""
+    return f"(bx <= x0 + {x1} and bx + side >= x0 + {x0} and b_y <= y0 + {y1} and b_y + side >= y0 + {y0})"
+
+
+@query(over(f"""select distinct shape_key from fx_shapes join fx_boxes on bx <= x0 + 80 and bx + side >= x0 and b_y <= y0 + 80 and b_y + side >= y0 where case kind
+ when 0 then {_overlap(0, 0, 80, 20)} or {_overlap(0, 0, 20, 80)}
+ when 1 then greatest(bx - x0, 0) / 80 + greatest(b_y - y0, 0) / 60 <= 1
+ when 2 then {_overlap(0, 0, 30, 30)} or {_overlap(50, 50, 80, 80)}
+ else not (bx > x0 + 20 and bx + side < x0 + 60 and b_y > y0 + 20 and b_y + side < y0 + 60) end""", "fx_shapes", "fx_boxes"))
+def shapes_touching(spark, d):
+    b = [F.col("bx"), F.col("b_y"), F.col("bx") + F.col("side"), F.col("b_y") + F.col("side")]
+    boxes = stand_in(spark, d, "fx_boxes").select(geo.rectangle(*b).alias("parts"))
+    return spatial.touching(shapes(spark, d), boxes, "shape_key", 500.0).select("shape_key")
+
+
+@query(over("""select spot_key, shape_key from fx_spots join fx_shapes on x > x0 and x < x0 + 80 and y > y0 and y < y0 + 80 where case kind
+ when 0 then x < x0 + 20 or y < y0 + 20 when 1 then (x - x0) * 60 + (y - y0) * 80 < 4800
+ when 2 then (x < x0 + 30 and y < y0 + 30) or (x > x0 + 50 and y > y0 + 50)
+ else x < x0 + 20 or x > x0 + 60 or y < y0 + 20 or y > y0 + 60 end""", "fx_spots", "fx_shapes"))
+def points_in_shapes(spark, d):
+    return spatial.points_in_areas(stand_in(spark, d, "fx_spots"), shapes(spark, d), "shape_key", 25.0).select("spot_key", "shape_key")
 
 
 @query(over("select cell_key, code from fx_cells join fx_areas on x > x0 and x < x0 + 12000 and y > y0 and y < y0 + 12000", "fx_areas", "fx_cells"))
 def spatial_join_tiled(spark, d):
-    return spatial.points_in_areas(stand_in(spark, d, "fx_cells"), areas(spark, d).select("code", "rings"), 5000.0).select("cell_key", "code")
+    return spatial.points_in_areas(stand_in(spark, d, "fx_cells"), areas(spark, d), "code", 1500.0).select("cell_key", "code")
 
 
 def outline(df: DataFrame, by: str) -> DataFrame:
-    r = F.col("rings")
-    return df.select(by, F.size(r).alias("n_rings"), (F.size(r[0]) - 1).alias("n_vertices"), geo.area(r).alias("area"))
+    p = F.col("parts")
+    return df.select(by, F.size(F.flatten(p)).alias("n_rings"), (F.size(p[0][0]) - 1).alias("n_vertices"), geo.area(p).alias("area"))
+
+
+@query("select s_suppkey, 2 as n_parts, 2 as n_rings, 7 as n_vertices, 30000.0::double as area from supplier")
+def dissolve_junctions(spark, d):
+    """A square given twice, beside it two halves that meet it at a vertex it lacks, and a square apart."""
+    x, y = F.col("s_suppkey") % 1000 * 1000.0, F.col("s_suppkey") % 7 * 1000.0
+    boxes = [(0, 0, 100, 100), (0, 0, 100, 100), (100, 0, 200, 50), (100, 50, 200, 100), (500, 0, 600, 100)]
+    pieces = F.array(*[geo.rectangle(x + a, y + b, x + c, y + e) for a, b, c, e in boxes])
+    made = spatial.dissolve(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(pieces).alias("parts")), "s_suppkey")
+    p = F.col("parts")
+    return made.select("s_suppkey", F.size(p).alias("n_parts"), F.size(F.flatten(p)).alias("n_rings"), (F.size(p[0][0]) - 1).alias("n_vertices"), geo.area(p).alias("area"))
 
 
 @query(over("select province, 1 as n_rings, 12 as n_vertices, count(*) * 144000000.0::double as area from fx_areas group by 1", "fx_areas"))
@@ -546,7 +669,7 @@ def simplify_rings(spark, d):
 
 @query(over("select code, (least(x0 + 12000, 100000) - greatest(x0, 65000)) * (least(y0 + 12000, 455000) - greatest(y0, 421000)) as area from fx_areas where least(x0 + 12000, 100000) > greatest(x0, 65000) and least(y0 + 12000, 455000) > greatest(y0, 421000)", "fx_areas"))
 def clip_to_bbox(spark, d):
-    return spatial.clip_to_box(areas(spark, d), 65000.0, 421000.0, 100000.0, 455000.0).select("code", geo.area(F.col("rings")).alias("area"))
+    return spatial.clip_to_box(areas(spark, d), 65000.0, 421000.0, 100000.0, 455000.0).select("code", geo.area(F.col("parts")).alias("area"))
 
 
 @query(over("select level, count(*) * 144000000.0::double as area from (select unnest(range(1, 6)) as level) join fx_areas on province < level group by 1", "fx_areas"))
@@ -554,7 +677,7 @@ def boundary_levels(spark, d):
     rows = areas(spark, d)
     levels = rows.select("code", F.explode(F.sequence(F.col("province").cast("int") + 1, F.lit(5))).alias("level"))
     made = scales.boundary_levels(rows, levels, "code", (0.0, 0.0, 1e6, 1e6), 0.5)
-    return made.select(F.col("level").cast("long").alias("level"), geo.area(F.col("rings")).alias("area"))
+    return made.select(F.col("level").cast("long").alias("level"), geo.area(F.col("parts")).alias("area"))
 
 
 # Whole scales
@@ -571,26 +694,38 @@ def process_grid(spark, d):
     return scales.process_grid(cells, boundary, "cell_key", "people", tile=60000.0)
 
 
-@query(over("select a.code, a.name, s.n from fx_areas a join (select " + CODE.format("c_nationkey + 1") + " as k, case when count(*) % 5 = 0 then null else count(*) end as n from customer where c_nationkey <> 7 group by 1) s on a.code = s.k where a.x0 <= 90000 and a.y0 <= 440000 and (a.water is null or a.water <> 'WATER')", "fx_areas"))
+@query(over("select 'grid' as scale, count(*) as n_rows, 1 as n_columns, 1 as n_dropped from cells where x > 60000 and x < 96000 and y > 420000 and y < 444000 and people > 0", "fx_cells", steps=_CELLS))
+def export_grid(spark, d):
+    people = F.expr("case when cell_key % 9 = 0 then -99997 when cell_key % 8 = 0 then 0 else cell_key % 50 end")
+    cells = stand_in(spark, d, "fx_cells").withColumn("people", people).withColumn("nothing", F.lit(-99995))
+    boundary = scales.build_boundary(areas(spark, d), "code", ["GM0001", "GM0002", "GM0003", "GM0006", "GM0007", "GM0008"])
+    rows = scales.process_grid(cells, boundary, "cell_key", "people", tile=6000.0)
+    return spark.createDataFrame([scales.export_grid(rows, cells, "cell_key", "grid", scratch(spark))], "scale string, n_rows long, n_columns int, n_dropped int")
+
+
+_SHAPED = f"5 as n_points, round_even({LNG_SQL}, 5) as lng, round_even({LAT_SQL}, 5) as lat"
+
+
+def shaped(df: DataFrame, *columns: str) -> DataFrame:
+    ring = F.col("parts")[0][0]
+    return df.select(*columns, F.size(ring).alias("n_points"), F.bround(ring[0]["x"], 5).alias("lng"), F.bround(ring[0]["y"], 5).alias("lat"))
+
+
+@query(over(f"select a.code, a.name, s.n, {_SHAPED} from (select *, x0 as x, y0 as y from fx_areas) a join (select " + CODE.format("c_nationkey + 1") + " as k, case when count(*) % 5 = 0 then null else count(*) end as n from customer where c_nationkey <> 7 group by 1) s on a.code = s.k where a.x0 <= 90000 and a.y0 <= 440000 and (a.water is null or a.water <> 'WATER')", "fx_areas"))
 def process_admin_scale(spark, d):
     stats = spark.read.parquet(f"{d}/customer.parquet").where("c_nationkey <> 7").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     stats = stats.select(format_code(F.col("c_nationkey") + 1).alias("k"), F.when(F.col("n") % 5 == 0, -99997).otherwise(F.col("n")).alias("n"), F.lit(1).alias("raw_7"))
-    corner = [F.lit(v) for v in (61000.0, 421000.0, 90000.0, 440000.0)]
-    clip = areas(spark, d).limit(1).select(geo.rectangle(*corner).alias("rings"))
-    return scales.process_admin_scale(stats, areas(spark, d), "k", "code", clip).select("code", "name", "n")
+    return shaped(scales.process_admin_scale(stats, areas(spark, d), "k", "code", box(spark, 61000.0, 421000.0, 90000.0, 440000.0)), "code", "name", "n")
 
 
-@query(over("select code, name from fx_areas where x0 <= 80000 and y0 <= 470000", "fx_areas"))
+@query(over(f"select code, name, {_SHAPED} from (select *, x0 as x, y0 as y from fx_areas) where x0 <= 80000 and y0 <= 470000", "fx_areas"))
 def process_postcodes(spark, d):
-    corner = [F.lit(v) for v in (61000.0, 421000.0, 80000.0, 470000.0)]
-    clip = areas(spark, d).limit(1).select(geo.rectangle(*corner).alias("rings"))
-    return scales.process_postcodes(areas(spark, d), clip, "code").select("code", "name")
+    return shaped(scales.process_postcodes(areas(spark, d), box(spark, 61000.0, 421000.0, 80000.0, 470000.0), "code"), "code", "name")
 
 
-@query(over("select code, name, province, 5 as n_points from fx_areas", "fx_areas"))
+@query(over("select code, name, province, 5 as n_points, (select count(*) from fx_areas) as n_rows, 2 as n_columns from fx_areas", "fx_areas"))
 def export_split_stats(spark, d):
     folder = scratch(spark)
-    layers.split_export(areas(spark, d).select("code", "name", "province", "rings"), "code", folder)
-    shapes = layers.read_features(spark, f"{folder}/geometry", "code:string", "struct<type:string,coordinates:array<array<array<double>>>>")
-    shapes = shapes.select(F.col("code"), F.size(F.col("geometry.coordinates")[0]).alias("n_points"))
-    return spark.read.parquet(f"{folder}/stats").join(shapes, "code")
+    report = layers.export_scale(areas(spark, d).select("code", "name", "province", "parts"), "code", "gemeente", folder, tolerance=1.0)
+    made = layers.read_features(spark, f"{folder}/gemeente.geojson", "code:string").select("code", F.size(F.col("parts")[0][0]).alias("n_points"))
+    return spark.read.parquet(f"{folder}/gemeente_stats").join(made, "code").withColumns({k: F.lit(report[k]) for k in ("n_rows", "n_columns")})

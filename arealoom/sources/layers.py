@@ -1,21 +1,64 @@
-"""Spatial layers as Parquet with WKT, GeoJSON, CSV and JDBC; every path goes through Spark's own readers."""
+"""Spatial layers as Parquet with WKT, GeoJSON, CSV and JDBC, and tables that are replaced as a whole; every path goes
+through Spark's own readers and writers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import from_wkt, to_wkt
+from ..functions.geometry import PARTS, from_wkt, oriented, point, to_wkt
+from ..operators.spatial import simplify
 
 
 def scan_layer(spark: SparkSession, base: str, layer: str) -> DataFrame:
-    """One layer of a folder that is partitioned by layer, with its rings."""
-    return spark.read.parquet(base).where(F.col("layer") == layer).withColumn("rings", from_wkt(F.col("geometry_wkt")))
+    """One layer of a folder that is partitioned by layer, with its parts."""
+    return spark.read.parquet(base).where(F.col("layer") == layer).withColumn("parts", from_wkt(F.col("geometry_wkt")))
 
 
 def write_layers(df: DataFrame, base: str) -> None:
-    """df with layer and rings, as WKT by layer."""
-    df.withColumn("geometry_wkt", to_wkt(F.col("rings"))).drop("rings").write.partitionBy("layer").parquet(base)
+    """df with layer and parts, as WKT by layer."""
+    df.withColumn("geometry_wkt", to_wkt(F.col("parts"))).drop("parts").write.partitionBy("layer").parquet(base)
+
+
+def write_layer_csv(df: DataFrame, path: str) -> None:
+    """A layer as CSV with a header, its shapes as WKT."""
+    df.withColumn("geometry_wkt", to_wkt(F.col("parts"))).drop("parts").write.option("header", True).csv(path)
+
+
+def replace_parquet(df: DataFrame, path: str) -> None:
+    """df at path in place of what was there: written beside it first, then renamed, so that readers meet the old or
+    the new table and a failed job leaves the old one."""
+    jvm = df.sparkSession.sparkContext._jvm
+    old = jvm.org.apache.hadoop.fs.Path(path)
+    new, away = (jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.{x}") for x in ("new", "old"))
+    df.write.parquet(new.toString())
+    files = old.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(old) and not files.rename(old, away):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(new, old):
+        files.rename(away, old)
+        raise OSError(f"cannot put the new table at {path}")
+    files.delete(away, True)
+
+
+def save_table(df: DataFrame, name: str, path: str | None = None) -> int:
+    """df as a table of the session's catalog in place of one of that name, its files at path or in the warehouse. The rows that the table holds, which must
+    be as many as were written."""
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    held = df.sparkSession.table(name).count()
+    if held != seen.get["n"]:
+        raise RuntimeError(f"{name} holds {held} rows of {seen.get['n']} written")
+    return held
+
+
+def register_views(scales: dict[str, DataFrame]) -> None:
+    """Each scale's table as a view of its name, for SQL."""
+    for name, df in scales.items():
+        df.createOrReplaceTempView(name)
 
 
 def scan_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
@@ -23,41 +66,66 @@ def scan_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
-def scan_flows_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).schema("source string, sink string, count string").csv(path)
+def scan_flows_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("source", "sink", "count")) -> DataFrame:
+    """Columns of a CSV file with a header, as texts."""
+    return spark.read.option("header", True).csv(path).select(*columns)
 
 
-def features(df: DataFrame, id_column: str, geometry: Column, properties: list[str]) -> DataFrame:
-    """(id, feature): each row as one GeoJSON feature, a line of newline-delimited GeoJSON."""
-    body = F.struct(F.lit("Feature").alias("type"), F.col(id_column).cast("string").alias("id"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
-    return df.select(F.col(id_column).cast("string").alias("id"), F.to_json(body).alias("feature"))
+def geojson(parts: Column, digits: int | None = None) -> Column:
+    """The geometry as JSON text: Polygon for one part, MultiPolygon for more; outer rings turn left."""
+    near = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
+    made = F.transform(oriented(parts), lambda p: F.transform(p, lambda r: F.transform(r, lambda v: F.array(near(v["x"]), near(v["y"])))))
+    text = lambda kind, c: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), F.to_json(c), F.lit("}"))
+    return F.when(F.size(parts) == 1, text("Polygon", made[0])).otherwise(text("MultiPolygon", made))
 
 
-def polygon(rings: Column, digits: int | None = None) -> Column:
-    near = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
-    return F.struct(F.lit("Polygon").alias("type"), F.transform(rings, lambda r: F.transform(r, lambda p: F.array(near(p["x"]), near(p["y"])))).alias("coordinates"))
+def features(df: DataFrame, id_column: str, geometry: Column, properties: list[str]) -> DataFrame:
+    """(id, feature): each row as one GeoJSON feature with a top-level id, a line of newline-delimited GeoJSON."""
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col(id_column).cast("string").alias("id"), F.struct(*properties).alias("properties")))
+    body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"))
+    return df.select(F.col(id_column).cast("string").alias("id"), body.alias("feature"))
 
 
 def write_features(made: DataFrame, path: str) -> None:
     made.select("feature").write.text(path)
 
 
-def read_features(spark: SparkSession, path: str, properties: str, geometry: str) -> DataFrame:
-    """Properties and geometry of newline-delimited features."""
-    shape = f"type string, id string, properties struct<{properties}>, geometry {geometry}"
-    rows = spark.read.text(path).select(F.from_json("value", shape).alias("f"))
-    return rows.select("f.id", "f.properties.*", "f.geometry")
+def write_collection(made: DataFrame, path: str, most: int = 100_000) -> None:
+    """One FeatureCollection document. A document is one task: layers of more than `most` features are refused."""
+    if (n := made.count()) > most:
+        raise ValueError(f"{n} features in one document: write newline-delimited features instead")
+    whole = made.coalesce(1).agg(F.array_join(F.collect_list("feature"), ",").alias("f"))
+    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}"))).write.text(path)
 
 
-def read_collection(spark: SparkSession, path: str, properties: str, geometry: str) -> DataFrame:
-    """A FeatureCollection document (small layers: one document is one task)."""
-    shape = f"type string, features array<struct<id:string,properties:struct<{properties}>,geometry:{geometry}>>"
-    rows = spark.read.option("multiLine", True).schema(shape).json(path)
-    return rows.select(F.explode("features").alias("f")).select("f.id", "f.properties.*", "f.geometry")
+def _shapes(rows: DataFrame) -> DataFrame:
+    """Features f as id, properties, geometry_type and parts; other geometries have null parts."""
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    read = F.when(kind == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.from_json(text, "array<array<array<array<double>>>>"))
+    parts = F.transform(read, lambda p: F.transform(p, lambda r: F.transform(r, lambda v: point(v[0], v[1]))))
+    return rows.select("f.id", "f.properties.*", kind.alias("geometry_type"), parts.cast(PARTS).alias("parts"))
+
 
+def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """id, properties, geometry_type and parts of newline-delimited features."""
+    shape = f"type string, id string, properties struct<{properties}>, geometry struct<type:string,coordinates:string>"
+    return _shapes(spark.read.text(path).select(F.from_json("value", shape).alias("f")))
 
-def split_export(df: DataFrame, id_column: str, folder: str) -> None:
-    """Geometry as features, and attributes without it; both share the id."""
-    attributes = [c for c in df.columns if c not in (id_column, "rings")]
-    write_features(features(df, id_column, polygon(F.col("rings")), [id_column]), f"{folder}/geometry")
-    df.select(id_column, *attributes).write.parquet(f"{folder}/stats")
+
+def read_collection(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """The same of FeatureCollection documents (one document is one task)."""
+    shape = f"type string, features array<struct<id:string,properties:struct<{properties}>,geometry:struct<type:string,coordinates:string>>>"
+    rows = spark.read.option("multiLine", True).schema(shape).json(path)
+    return _shapes(rows.select(F.explode("features").alias("f")))
+
+
+def export_scale(df: DataFrame, id_column: str, name: str, folder: str, tolerance: float = 0.0, digits: int | None = None) -> Row:
+    """Geometry as features (the id, and parts simplified by tolerance) at folder/name.geojson, and all attributes
+    at folder/name_stats; both share the id. The numbers of rows, features and attribute columns written."""
+    shapes = df.select(id_column, "parts")
+    shapes = simplify(shapes, tolerance) if tolerance else shapes
+    stats, geometry = Observation(), Observation()
+    made = features(shapes, id_column, geojson(F.col("parts"), digits), [id_column])
+    write_features(made.observe(geometry, F.count(F.lit(1)).alias("n")), f"{folder}/{name}.geojson")
+    df.drop("parts").observe(stats, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{name}_stats")
+    return Row(scale=name, n_rows=stats.get["n"], n_features=geometry.get["n"], n_columns=len(df.columns) - 2)

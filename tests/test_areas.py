@@ -5,6 +5,7 @@ import math
 import os
 import subprocess
 import sys
+import time
 
 import duckdb
 import pytest
@@ -44,9 +45,9 @@ def test_query(spark, small_dir, con, name):
 
 
 def test_codes(spark):
-    df = spark.createDataFrame([("363",), ("GM363",), ("gm0363",), ("12345",), ("x",), (None,), ("363.7",)], "c string")
+    df = spark.createDataFrame([("363",), ("GM363",), ("gm0363",), ("12345",), ("x",), (None,), ("363.7",), ("NaN",), ("1e3",), ("-5",), ("inf",), ("1e300",), ("9" * 30,), ("",)], "c string")
     got = [r[0] for r in df.select(values.format_code(F.col("c"))).collect()]
-    assert got == ["GM0363", "GM0363", "GM0363", "GM12345", None, None, "GM0363"]
+    assert got == ["GM0363", "GM0363", "GM0363", "GM12345", None, None, "GM0363"] + [None] * 7
     assert spark.range(363, 364).select(values.format_code(F.col("id"))).first()[0] == "GM0363"
 
 
@@ -144,9 +145,12 @@ def test_missing_codes_and_formulas(spark):
     assert scales.postcodes_of(layer, wanted, "code", "pc", "province", "x").count() == 2
 
 
-def shape(spark, rings, **columns):
-    row = [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
-    return spark.createDataFrame([(row,)], f"rings {geo.RINGS}").withColumns({k: F.lit(v) for k, v in columns.items()})
+def ring(points):
+    return [{"x": float(x), "y": float(y)} for x, y in points]
+
+
+def shape(spark, *parts, **columns):
+    return spark.createDataFrame([([[ring(r) for r in p] for p in parts],)], f"parts {geo.PARTS}").withColumns({k: F.lit(v) for k, v in columns.items()})
 
 
 SQUARE = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
@@ -154,61 +158,181 @@ HOLE = [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]
 L_SHAPE = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4), (0, 0)]
 
 
+def move(points, x, y):
+    return [(a + x, b + y) for a, b in points]
+
+
 def test_measures_and_predicates(spark):
-    r = F.col("rings")
-    holed = shape(spark, [SQUARE, HOLE])
-    assert holed.select(geo.area(r)).first()[0] == 12.0
-    assert tuple(holed.select(geo.centroid(r)).first()[0]) == (2.0, 2.0)
-    point = lambda df, x, y: df.select(geo.within(r, F.lit(float(x)), F.lit(float(y)))).first()[0]
+    for hole in (HOLE, HOLE[::-1]):  # rings may turn either way
+        holed = shape(spark, [SQUARE, hole])
+        assert holed.select(geo.area(F.col("parts"))).first()[0] == 12.0
+        assert tuple(holed.select(geo.centroid(F.col("parts"))).first()[0]) == (2.0, 2.0)
+    two = shape(spark, [SQUARE], [move(SQUARE, 10, 0)[::-1]])
+    assert two.select(geo.area(F.col("parts"))).first()[0] == 32.0 and tuple(two.select(geo.centroid(F.col("parts"))).first()[0]) == (7.0, 2.0)
+    point = lambda df, x, y: df.select(geo.within(F.col("parts"), F.lit(float(x)), F.lit(float(y)))).first()[0]
     assert [point(holed, *p) for p in ((0.5, 2), (2, 2), (0, 2), (1, 2), (5, 2), (4, 4))] == [True, False, False, False, False, False]
+    assert [point(two, *p) for p in ((2, 2), (12, 2), (7, 2))] == [True, True, False]
     l_shape = shape(spark, [L_SHAPE])
     assert [point(l_shape, *p) for p in ((0.5, 3), (3, 3), (3, 0.5))] == [True, False, True]
-    pair = lambda other: shape(spark, [SQUARE]).crossJoin(shape(spark, [other]).withColumnRenamed("rings", "o")).select(geo.intersects(r, F.col("o"))).first()[0]
-    move = lambda ring, x, y: [(a + x, b + y) for a, b in ring]
-    assert [pair(move(SQUARE, *p)) for p in ((4, 0), (4, 4), (5, 0), (1, 1))] == [True, True, False, True]
-    assert pair([(1, 1), (2, 1), (2, 2), (1, 1)]) and not pair(move(L_SHAPE, 4.5, 0))
-    text = holed.select(geo.to_wkt(r).alias("t"))
-    assert text.first()[0] == "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"
-    assert text.select(geo.from_wkt(F.col("t")).alias("rings")).first() == holed.first()
+
+
+def test_intersects(spark):
+    def pair(one, two):
+        both = shape(spark, *one).crossJoin(shape(spark, *two).withColumnRenamed("parts", "o"))
+        ways = both.select(geo.intersects(F.col("parts"), F.col("o")), geo.intersects(F.col("o"), F.col("parts"))).first()
+        tiled = [spatial.touching(shape(spark, *a, k=1), shape(spark, *b), "k", t).count() for a, b in ((one, two), (two, one)) for t in (1.5, 100.0)]
+        assert ways[0] == ways[1] and set(tiled) == {int(ways[0])}
+        return ways[0]
+
+    assert [pair([[SQUARE]], [[move(SQUARE, *p)]]) for p in ((4, 0), (4, 4), (5, 0), (1, 1))] == [True, True, False, True]
+    small = [(1.5, 1.5), (2.5, 1.5), (2.5, 2.5), (1.5, 1.5)]
+    assert pair([[SQUARE]], [[small]]) and not pair([[SQUARE]], [[move(L_SHAPE, 4.5, 0)]])
+    assert not pair([[SQUARE, HOLE]], [[small]])
+    # only the second part lies wholly inside the other shape
+    assert pair([[move(SQUARE, 50, 50)], [small]], [[SQUARE]]) and not pair([[move(SQUARE, 50, 50)], [small]], [[SQUARE, HOLE]])
+
+
+def test_texts_keep_parts(spark):
+    two = shape(spark, [SQUARE, HOLE], [move(SQUARE, 10, 0)])
+    text = two.select(geo.to_wkt(F.col("parts")).alias("t"))
+    assert text.first()[0] == "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1)), ((10 0, 14 0, 14 4, 10 4, 10 0)))"
+    assert text.select(geo.from_wkt(F.col("t")).alias("parts")).first() == two.first()
+    of = lambda t: spark.createDataFrame([(t,)], "t string").select(geo.from_wkt(F.col("t")).alias("parts")).first().parts
+    assert of(" polygon((0 0,4 0 , 4 4,0 0),( 1 1, 2 1, 2 2, 1 1 ) ) ") == [[[tuple(map(float, p)) for p in r] for r in ([(0, 0), (4, 0), (4, 4), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)])]]
+    assert of("POINT (1 2)") is None and of(None) is None and of("POLYGON EMPTY") is None
+    made = json.loads(layers.features(two.withColumn("id", F.lit('a"}')), "id", layers.geojson(F.col("parts")), ["id"]).first().feature)
+    assert made["id"] == made["properties"]["id"] == 'a"}' and made["geometry"]["type"] == "MultiPolygon"
+    assert [len(p) for p in made["geometry"]["coordinates"]] == [2, 1]
 
 
 def test_shapes(spark):
-    clipped = spatial.clip_to_box(shape(spark, [L_SHAPE]), 0.5, 0.5, 10, 10).select(geo.area(F.col("rings"))).first()[0]
+    clipped = spatial.clip_to_box(shape(spark, [L_SHAPE]), 0.5, 0.5, 10, 10).select(geo.area(F.col("parts"))).first()[0]
     assert clipped == pytest.approx(7 - 0.5 * 4 - 0.5 * 3.5)
     assert spatial.clip_to_box(shape(spark, [SQUARE]), 10, 10, 20, 20).collect() == []
+    triangle = [(0, 0), (8, 0), (0, 8), (0, 0)]
+    parts = spatial.clip_to_box(shape(spark, [SQUARE, HOLE], [move(SQUARE, 10, 0)], [move(triangle, 0, 20)]), 0, 0, 2, 100)
+    assert parts.select(F.size("parts"), geo.area(F.col("parts"))).first() == (2, 2 * 4 - 2 + 14.0)
     dense = [(math.cos(t / 50) * 10, math.sin(t / 50) * 10) for t in range(314)]
-    ring = spatial.simplify(shape(spark, [[*dense, dense[0]]]), 0.1).first().rings[0]
-    assert 4 <= len(ring) < 60 and ring[0] == ring[-1]
-    assert len(spatial.simplify(shape(spark, [SQUARE]), 100.0).first().rings[0]) >= 4
-    cells = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
-    squares = [(1, [[{"x": float(x + i), "y": float(y + j)} for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]]) for x, y in cells]
-    ringed = spatial.dissolve(spark.createDataFrame(squares, f"g int, rings {geo.RINGS}"), "g")
-    got = ringed.select(F.size("rings"), geo.area(F.col("rings"))).first()
-    assert tuple(got) == (2, 8.0)
+    ring_ = spatial.simplify(shape(spark, [[*dense, dense[0]]]), 0.1).first().parts[0][0]
+    assert 4 <= len(ring_) < 60 and ring_[0] == ring_[-1]
+    assert len(spatial.simplify(shape(spark, [SQUARE]), 100.0).first().parts[0][0]) >= 4
+    rows = spark.createDataFrame([(1, [[ring(SQUARE)]]), (2, None), (3, []), (4, [[ring(SQUARE), ring(HOLE)], [ring(L_SHAPE)]])], f"k int, parts {geo.PARTS}")
+    assert [[len(p) for p in r.parts] for r in spatial.simplify(rows, 0.1).orderBy("k").collect()] == [[1], [], [], [2, 1]]
     report = scales.shape_report(shape(spark, [SQUARE], code="a"), "code").first()
     assert report.closed and report.has_area
 
 
+def dissolved(spark, groups):
+    rows = [(g, [[ring(r) for r in p] for p in s]) for g, shapes in groups.items() for s in shapes]
+    made = spatial.dissolve(spark.createDataFrame(rows, f"g string, parts {geo.PARTS}"), "g")
+    return {r.g: (r.n, r.rings, r.area) for r in made.select("g", F.size("parts").alias("n"), F.size(F.flatten("parts")).alias("rings"), geo.area(F.col("parts")).alias("area")).collect()}
+
+
+def test_dissolve(spark):
+    cells = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
+    unit, half = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], [(0, 0), (4, 0), (4, 2), (0, 2), (0, 0)]
+    slope = [(0, 0), (6, 0), (6, 3), (0, 0)]
+    groups = {
+        "ring": [[[move(unit, x, y)]] for x, y in cells], "turned": [[[move(unit, x, y)[:: -1 if (x + y) % 2 else 1]]] for x, y in cells],
+        "apart": [[[SQUARE]], [[move(SQUARE, 20, 0)]]], "parts": [[[SQUARE], [move(SQUARE, 20, 0)]], [[move(SQUARE, 4, 0)]]],
+        "junction": [[[SQUARE]], [[move(half, 4, 0)]], [[move(half, 4, 2)]]],
+        "island": [[[move(SQUARE, 0, 0), HOLE]], [[[(1.5, 1.5), (2.5, 1.5), (2.5, 2.5), (1.5, 2.5), (1.5, 1.5)]]]],
+        "slopes": [[[slope]], [[[(0, 0), (2, 1), (0, 4), (0, 0)]]], [[[(2, 1), (6, 3), (0, 4), (2, 1)]]]],
+    }
+    assert dissolved(spark, groups) == {
+        "ring": (1, 2, 8.0), "turned": (1, 2, 8.0), "apart": (2, 2, 32.0), "parts": (2, 2, 48.0), "junction": (1, 1, 32.0), "island": (2, 3, 13.0), "slopes": (1, 1, 9.0 + 4.0 + 8.0),
+    }
+
+
 def test_dissolve_counts_a_repeated_polygon_once(spark):
-    point = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
     turned = [*SQUARE[2:], *SQUARE[1:3]]
-    beside = [(x + 4, y) for x, y in SQUARE]
     inner = [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)]
     groups = {
-        "twice": [[SQUARE], [SQUARE]], "three": [[SQUARE]] * 3, "turned": [[SQUARE], [turned]], "reversed": [[SQUARE], [SQUARE[::-1]]],
-        "beside": [[SQUARE], [beside], [SQUARE]], "filled": [[SQUARE, HOLE], [inner], [SQUARE, HOLE]],
+        "twice": [[[SQUARE]]] * 2, "three": [[[SQUARE]]] * 3, "turned": [[[SQUARE]], [[turned]]], "reversed": [[[SQUARE]], [[SQUARE[::-1]]]],
+        "beside": [[[SQUARE]], [[move(SQUARE, 4, 0)]], [[SQUARE]]], "filled": [[[SQUARE, HOLE]], [[inner]], [[SQUARE, HOLE]]],
     }
-    rows = [(g, [point(r) for r in rings]) for g, polygons in groups.items() for rings in polygons]
-    made = spatial.dissolve(spark.createDataFrame(rows, f"g string, rings {geo.RINGS}"), "g")
-    got = {r.g: (r.n, r.area) for r in made.select("g", F.size("rings").alias("n"), geo.area(F.col("rings")).alias("area")).collect()}
-    assert got == {g: (1, 32.0 if g == "beside" else 16.0) for g in groups}
-    codes = scales.boundary_levels(spark.createDataFrame([("a", [point(SQUARE)])], f"code string, rings {geo.RINGS}"), spark.createDataFrame([(1, "a"), (1, "a")], "level int, code string"), "code")
+    assert dissolved(spark, groups) == {g: (1, 1, 32.0 if g == "beside" else 16.0) for g in groups}
+    codes = scales.boundary_levels(spark.createDataFrame([("a", [[ring(SQUARE)]])], f"code string, parts {geo.PARTS}"), spark.createDataFrame([(1, "a"), (1, "a")], "level int, code string"), "code")
     assert codes.count() == 1
 
 
+def test_many_points_in_an_area_of_many_vertices(spark):
+    n = 20_000
+    star = [((r := 40_000 + 9_000 * math.cos(t * 40 * math.tau / n)) * math.cos(t * math.tau / n), r * math.sin(t * math.tau / n)) for t in range(n)]
+    area = shape(spark, [[*star, star[0]]], code="a")
+    points = spark.range(100_000).select("id", (F.pmod(F.col("id") * 7919, F.lit(100_003)) - 50_000.5).alias("x"), (F.pmod(F.col("id") * 104_729, F.lit(100_019)) - 50_000.5).alias("y"))
+    began = time.time()
+    got = {r.id for r in spatial.points_in_areas(points, area, "code", 1000.0).collect()}
+    took = time.time() - began
+    far = lambda x, y: math.hypot(x, y) - (40_000 + 9_000 * math.cos(40 * math.atan2(y, x)))
+    away = {r.id: far(r.x, r.y) for r in points.collect()}
+    assert {i for i, d in away.items() if d < -1} <= got and not got & {i for i, d in away.items() if d > 1}
+    assert 30_000 < len(got) < 70_000 and took < 60
+
+
+def test_exports(spark, tmp_path):
+    path = str(tmp_path / "t")
+    layers.replace_parquet(spark.range(5), path)
+    layers.replace_parquet(spark.read.parquet(path).where("id > 2"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4] and os.listdir(tmp_path) == ["t"]
+    with pytest.raises(Exception, match="boom"):
+        layers.replace_parquet(spark.range(3).select(F.raise_error(F.lit("boom")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 2
+    assert layers.save_table(spark.range(7), "seven", f"file:{tmp_path}/seven") == 7 and layers.save_table(spark.range(3), "seven", f"file:{tmp_path}/three") == 3
+    spark.sql("drop table seven")
+    assert clean.schema_difference(spark.range(1).selectExpr("id", "1 as a", "2 as b"), spark.range(1).selectExpr("id", "3 as c", "2 as b")) == (["a"], ["c"])
+    layer = spark.createDataFrame([("a", 1, 2.5, [[ring(SQUARE)]]), ("b", 2, None, [[ring(SQUARE), ring(HOLE)], [ring(move(SQUARE, 9, 9))]])], f"code string, n int, v double, parts {geo.PARTS}")
+    report = layers.export_scale(layer, "code", "s", str(tmp_path), digits=5)
+    assert report.asDict() == {"scale": "s", "n_rows": 2, "n_features": 2, "n_columns": 2}
+    back = layers.read_features(spark, f"{tmp_path}/s.geojson", "code string")
+    assert sorted((r.id, r.code, r.geometry_type, len(r.parts)) for r in back.collect()) == [("a", "a", "Polygon", 1), ("b", "b", "MultiPolygon", 2)]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/s_stats").collect())) == [("a", 1, 2.5), ("b", 2, None)]
+    whole = str(tmp_path / "c")
+    layers.write_collection(layers.features(layer, "code", layers.geojson(F.col("parts")), ["n"]), whole)
+    rows = layers.read_collection(spark, whole, "n int").orderBy("id").collect()
+    assert [(r.id, r.n, [[len(x) for x in p] for p in r.parts]) for r in rows] == [("a", 1, [[5]]), ("b", 2, [[5, 5], [5]])]
+    with pytest.raises(ValueError, match="2 features"):
+        layers.write_collection(layers.features(layer, "code", layers.geojson(F.col("parts")), ["n"]), whole, most=1)
+
+
+def test_jdbc(spark, tmp_path):
+    """The database that comes with Spark's own libraries: its side filters and sums."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(1, 2012, 5), (1, 2012, 7), (2, 2012, 1), (2, 2017, 9)], "gem int, jaar int, n int")
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows.write.format("jdbc").options(url=url, dbtable="cube", **driver).save()
+    got = layers.scan_jdbc(spark, url, 'select "gem", sum("n") as total from cube where "jaar" = 2012 group by "gem"', **driver)
+    assert sorted(map(tuple, got.collect())) == [(1, 12), (2, 1)]
+
+
 def test_feature_collection(spark, tmp_path):
-    ring = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 0.0]]
-    made = [{"type": "Feature", "id": c, "properties": {"name": n}, "geometry": {"type": "Polygon", "coordinates": [ring]}} for c, n in (("a", "A"), ("b", None))]
+    corners = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 0.0]]
+    made = [{"type": "Feature", "id": c, "properties": {"name": n}, "geometry": {"type": "Polygon", "coordinates": [corners]}} for c, n in (("a", "A"), ("b", None))]
+    made.append({"type": "Feature", "id": "p", "properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}})
     (tmp_path / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": made}, indent=1))
-    rows = layers.read_collection(spark, str(tmp_path / "c.json"), "name string", "struct<type:string,coordinates:array<array<array<double>>>>")
-    assert sorted((r.id, r.name, r.geometry.type, r.geometry.coordinates) for r in rows.collect()) == [("a", "A", "Polygon", [ring]), ("b", None, "Polygon", [ring])]
+    rows = layers.read_collection(spark, str(tmp_path / "c.json"), "name string")
+    of = lambda parts: parts and [[[list(p) for p in r] for r in x] for x in parts]
+    assert sorted((r.id, r.name, r.geometry_type, of(r.parts)) for r in rows.collect()) == [("a", "A", "Polygon", [[corners]]), ("b", None, "Polygon", [[corners]]), ("p", None, "Point", None)]
+
+
+def test_formulas_and_registry(spark):
+    rows = spark.createDataFrame([(6, 3, 0), (1, 0, 2)], "a int, b int, c int")
+    of = lambda f: [r.x for r in maps.computed(rows, "x", f, ["a", "b", "c"]).collect()]
+    assert of("a / b + c") == [2.0, None] and of("2 * (a - b) / (b - c)") == [2.0, -1.0] and of("a / (b / (c + 1))") == [2.0, None] and of("a / 4") == [1.5, 0.25]
+    registry = spark.createDataFrame([("x", ["buurt", "wijk"]), ("y", ["pc4"])], "key string, available_at array<string>")
+    assert [r.key for r in maps.available(registry, "wijk").collect()] == ["x"]
+    layer = spark.createDataFrame([("A", [[ring(SQUARE)]])], f"code string, parts {geo.PARTS}")
+    with pytest.raises(ValueError, match="2 codes not found, the first 1 of them: X"):
+        clean.require_codes(layer, "code", spark.createDataFrame([("A",), ("Y",), ("X",)], "w string"), strict=True, shown=1)
+    with pytest.raises(ValueError, match="1 codes not found: Z"):
+        scales.build_boundary(layer, "code", ["A", "Z"])
+    assert scales.build_boundary(layer, "code", ["A"]).select(geo.area(F.col("parts"))).first()[0] == 16.0
+    shared = maps.two_layers((rows, "a", "b"), (rows, "a", "c"), shared=True)
+    assert {(r.layer, r.variable) for r in shared.collect()} == {("inner", "b"), ("outer", "b")}
+
+
+def test_breaks_of_a_null_group(spark):
+    rows = spark.range(60).select(F.expr("case when id % 3 > 0 then id % 3 end").alias("g"), F.col("id").cast("double").alias("v"))
+    got = {r.g: r.breaks for r in breaks.group_breaks(rows, ["g"], "v").collect()}
+    assert got[None] == [15.0, 30.0, 45.0] and set(map(len, got.values())) == {3}
+    assert {r.g for r in breaks.group_quantiles(rows, ["g"], "v", [0.5]).collect()} == {None, 1, 2}
