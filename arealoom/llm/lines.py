@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import nested, parts, quoted, staged
 
@@ -252,18 +252,19 @@ def suspected_keys(docs: DataFrame, min_length: int, bits_per_key: int = 8, broa
     return suspects(packed, *filter_size(n, bits_per_key), broadcast_bits)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_first: bool = False, broadcast_rows: int = 300_000, **filters) -> DataFrame:
-    """docs with the lines dropped whose key is in at least min_docs documents, plus n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_first: bool = False, broadcast_rows: int = 300_000, counts: bool = True, **filters) -> DataFrame:
+    """docs with the lines dropped whose key is in at least min_docs documents, plus (with counts) n_lines and n_dropped.
 
     keep_first leaves each such line in place where it occurs first, by (doc_id, text_md5, line). Up to
     broadcast_rows repeated keys (some 50 MB) go to every executor; more are joined to the documents that hold them.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    added = ["n_lines", "n_dropped"] if counts else []
+    kept = [c for c in docs.columns if c not in added]
     rows = staged(suspected_keys(docs, min_length, **filters))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text_md5", "line"))
     found = rows.groupBy("digest").agg(F.count("*").alias("n_docs"), first.alias("first")).where(F.col("n_docs") >= min_docs)
     found = staged(found.select("digest", "first.*"))
-    schema = StructType([docs.schema[c] for c in kept]).add("n_lines", "long").add("n_dropped", "long")
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(c, LongType()) for c in added])
 
     def cut(text, doc_id, firsts):
         """The text without its repeated lines; firsts: {digest: first occurrence}."""
@@ -280,7 +281,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_f
     def out(columns, cuts):
         texts, n, dropped = zip(*cuts, strict=True) if cuts else ((), (), ())
         columns = [pa.array(texts, pa.string()) if c == "text" else columns(c) for c in kept]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], [*kept, "n_lines", "n_dropped"])
+        numbers = [pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, *numbers[: len(added)]], [*kept, *added])
 
     if found.count() <= broadcast_rows:
         firsts = {bytes(r.digest): (r.doc_id, bytes(r.text_md5), r.line) for r in found.toLocalIterator()}

@@ -89,14 +89,26 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int, ridge: float, cut: float, s
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, pairs: int = 60_000, ridge: float = 1e-3, cut: float = 0.3, seed: int = 5) -> DataFrame:
-    """docs plus held_out, score (0 to 1) and predicted (score >= cut).
+    """docs plus held_out, score (0 to 1) and predicted (score >= cut); see scored()."""
+    rows = scored(nested(docs, ("held_out", "score", "predicted")), docs, labels, max_labels, pairs, ridge, cut, seed)
+    made = rows.select("row.*", "score", held_out(F.col("row.doc_id")).alias("held_out"))
+    return made.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, pairs: int = 60_000, ridge: float = 1e-3, cut: float = 0.3, seed: int = 5) -> DataFrame:
+    """The rows of docs with a score of cut or more, unchanged."""
+    return scored(nested(docs), docs, labels, max_labels, pairs, ridge, cut, seed).where(F.col("score") >= cut).select("row.*")
+
+
+def scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, max_labels: int, pairs: int, ridge: float, cut: float, seed: int) -> DataFrame:
+    """rows (column `row`, with a text) plus their score, by a model of docs and labels.
 
     max_labels bounds the labelled rows that the model is fitted on (on the driver: max_labels rows of some 40
     numbers); every document is scored.
     """
-    rows = sorted(training_rows(docs, labels, max_labels, seed).collect())
-    x = np.array([r.features for r in rows]).reshape(len(rows), WIDTH)
-    model = fit(x, np.array([r.quality == 1 for r in rows], bool), pairs, ridge, cut, seed)
+    known = sorted(training_rows(docs, labels, max_labels, seed).collect())
+    x = np.array([r.features for r in known]).reshape(len(known), WIDTH)
+    model = fit(x, np.array([r.quality == 1 for r in known], bool), pairs, ridge, cut, seed)
 
     def score(batches):
         for b in parts(batches):
@@ -108,6 +120,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
                 s = 1 / (1 + np.exp(-np.clip((x * model["weights"]).sum(1) - model["shift"], -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
 
-    rows = nested(docs, ("held_out", "score", "predicted"))
-    scored = rows.mapInArrow(score, StructType([*rows.schema.fields]).add("score", "double")).select("row.*", "score")
-    return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return rows.mapInArrow(score, StructType([*rows.schema.fields]).add("score", "double"))

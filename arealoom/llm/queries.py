@@ -50,8 +50,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(spark: SparkSession, docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of docs' texts, encoded and decoded."""
+def bpe_digests(spark: SparkSession, docs: DataFrame, ranks_path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of docs' texts, encoded and decoded; with_ids adds the ids."""
     ranks = bpe.load_ranks(ranks_path)
     shared = spark.sparkContext.broadcast(ranks)
     rows = bpe.encoded(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -63,9 +63,10 @@ def bpe_digests(spark: SparkSession, docs: DataFrame, ranks_path: str) -> DataFr
             own = [sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
             back = [sha256(decode(x)).hexdigest() for x in ids]
             columns = [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*columns, *[b.column("ids")] * with_ids], [*names, *["ids"] * with_ids])
 
-    return rows.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return rows.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on documents against brute force."""
 
 import glob
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,46 @@ def test_quality(spark, small_dir, odd_docs):
     assert {r.score for r in one} == {1.0}
 
 
+def brute_features(text):
+    """The features, a byte at a time."""
+    data, text = (text or "").encode(), (text or "")
+    n, found = max(len(data), 1), [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", data) if w]
+    kind = lambda b: next((i for i, g in enumerate(quality.GROUPS) if bytes([b]) in g), None)
+    groups = Counter(kind(b) if kind(b) is not None else "upper" if 65 <= b <= 90 else "lower" if 97 <= b <= 122 else "high" if b > 127 else "rest" for b in data)
+    shares = [groups[k] / n for k in (*range(len(quality.GROUPS)), "upper", "lower", "high", "rest")]
+    shares.append(groups["upper"] / max(groups["upper"] + groups["lower"], 1))
+    m = max(len(found), 1)
+    own = [math.log(1 + len(found)), n / m / 10, len(set(found)) / m, sum(a == b for a, b in zip(found, found[1:])) / m, 0.0 if found else 1.0]
+    return [*own, *shares, *[math.sqrt(s) for s in shares]]
+
+
+def test_quality_by_brute_force(spark, small_dir):
+    docs, label = documents(spark, small_dir).collect(), {r.doc_id: r.quality for r in spark.read.parquet(f"{small_dir}/labels.parquet").collect()}
+    x = {d.doc_id: brute_features(d.text) for d in docs}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = sorted(i for i in x if i in label and not held(i))
+    good = [i for i in known if label[i] == 1]
+    bad = [i for i in known if label[i] == 0]
+    mean = [sum(x[i][k] for i in known) / len(known) for k in range(quality.WIDTH)]
+    spread = [math.sqrt(sum((x[i][k] - mean[k]) ** 2 for i in known) / len(known)) for k in range(quality.WIDTH)]
+    z = {i: np.array([(x[i][k] - mean[k]) / (spread[k] if spread[k] > 1e-9 else 1.0) for k in range(quality.WIDTH)]) for i in x}
+    rng = np.random.default_rng(5)
+    pairs = list(zip(rng.choice(len(good), 60_000), rng.choice(len(bad), 60_000), strict=True))
+    d = np.array([z[good[a]] - z[bad[b]] for a, b in pairs])
+    w = np.zeros(quality.WIDTH)
+    for _ in range(60):  # the loss's own derivatives, step by step
+        miss = 1 / (1 + np.exp(d @ w))
+        gradient = -(d * miss[:, None]).mean(0) + 1e-3 * w
+        curve = sum(np.einsum("n,ni,nj->ij", (miss * (1 - miss))[at], d[at], d[at]) for at in np.array_split(np.arange(len(d)), 30)) / len(d) + 1e-3 * np.eye(len(w))
+        w = w - np.linalg.solve(curve, gradient)
+    ranked = sorted(float(z[i] @ w) for i in known)
+    cut = (ranked[len(bad) - 1] + ranked[len(bad)]) / 2  # the quantile at the share of bad ones
+    want = {i: 1 / (1 + math.exp(-(float(z[i] @ w) - cut + math.log(0.3 / 0.7)))) for i in x}
+    got = {r.doc_id: r for r in queries.op2_quality(spark, small_dir).collect()}
+    assert set(got) == set(want) and all(abs(got[i].score - want[i]) < 1e-6 and got[i].held_out == held(i) for i in want)
+    assert all(r.predicted == (r.score >= 0.3) for r in got.values()) and sum(r.predicted == 0 for i, r in got.items() if i in known) == len(bad)
+
+
 def test_quality_learns_the_order_of_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
@@ -151,6 +192,18 @@ def test_shards(spark, small_dir, odd_docs, tmp_path):
     assert back.count() == len(rows)
 
 
+def test_shards_query(spark, small_dir):
+    rows, docs = queries.op3_shuffled_shards(spark, small_dir).collect(), {r.doc_id: r.text or "" for r in documents(spark, small_dir).collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs) and {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+    assert all(r.size == len(docs[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in rows)
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert [(r.doc_id, r.shard, r.slot) for r in sorted(rows)] == [(r.doc_id, r.shard, r.slot) for r in sorted(queries.op3_shuffled_shards(spark, small_dir).collect())]
+
+
 def test_shards_spread_equal_rows_and_are_written(spark, small_dir, tmp_path):
     docs = spark.range(6000).selectExpr("cast(7 as long) as doc_id", "if(id < 5000, repeat('same ', 20), string(id)) as text", "'en' as lang", "'s' as source", "1L as n_chars")
     made = sharding.shuffled_shards(docs, bucket_bytes=20_000)

@@ -35,3 +35,41 @@ def test_run(spark, small_dir):
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, small_dir).collect())
     assert got == +want
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def made(spark, folder, docs, labels):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_stages_on_odd_tables(spark, clashing_docs, tmp_path):
+    """Nulls, blanks, long texts, repeated rows and columns of any name, with labels of one kind: all rows are good."""
+    labels = spark.createDataFrame([(0, 1, 0), (24, 1, 0)], "doc_id long, quality int, toxic int")
+    folder = made(spark, tmp_path, clashing_docs, labels)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    own, text = Counter(r.doc_id for r in docs.collect()), {r.doc_id: r.text or "" for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == clashing_docs.columns
+        rows = docs.collect()
+        ids = Counter(r.doc_id for r in rows)
+        if name in ("quality", "line_dedup"):
+            assert ids == own
+        elif name == "simhash":
+            assert max(ids.values()) == 1 and len(ids) > 5
+        assert all(r["own_id"] == f"own_id{-1 if r.doc_id is None else r.doc_id}" for r in rows)
+    assert any(len(r.text) > 8000 for r in spark.read.parquet(f"{tmp_path}/line_dedup").collect())
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in out) == ids and all(r.n_tokens == len(r.ids) for r in out)
+    assert text[24] == "twice"
+
+
+def test_empty_table_and_few_columns(spark, odd_docs, tmp_path):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    empty = made(spark, tmp_path / "empty", odd_docs.where("false"), labels.where("false"))
+    assert corpus_pipeline.run(spark, empty).collect() == []
+    few = made(spark, tmp_path / "few", odd_docs.select("doc_id", "text", "source"), labels)
+    assert corpus_pipeline.run(spark, few).count() > 0
