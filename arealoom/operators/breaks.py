@@ -20,17 +20,22 @@ def group_breaks(rows: DataFrame, keys: list[str], value: str, classes: int = 4)
     are sorted. So no task holds a whole group. The approximate edges differ from one evaluation to the next with the
     order in which partial digests arrive, so they are staged once: bucket starts and rows must use the same ones.
     """
-    places = [F.least(F.floor((i + 1) / classes * F.col("total")), F.col("total") - 1) for i in map(F.lit, range(classes - 1))]
-    sums, found = _order_statistics(rows, keys, value, places, classes)
+    places = break_places(classes)
+    sums, found = order_statistics(rows, keys, value, places, classes)
     breaks = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"])
     made = found.groupBy(*keys).agg(breaks.alias("breaks"))
     return null_safe(sums.select(*keys), made, keys, "left").withColumn("breaks", F.coalesce("breaks", F.array().cast("array<double>")))
 
 
+def break_places(classes: int = 4) -> list[Column]:
+    """The 0-based places of the breaks among `total` sorted values."""
+    return [F.least(F.floor((i + 1) / classes * F.col("total")), F.col("total") - 1) for i in map(F.lit, range(classes - 1))]
+
+
 def group_quantiles(rows: DataFrame, keys: list[str], value: str, spots: list[float]) -> DataFrame:
     """(keys, i, value): per group and spot the quantile of the valid values, interpolated between the two around it."""
     at = [F.lit(float(q)) * (F.col("total") - 1) for q in spots]
-    sums, found = _order_statistics(rows, keys, value, [end(p).cast("long") for p in at for end in (F.floor, F.ceil)], 1)
+    sums, found = order_statistics(rows, keys, value, [end(p).cast("long") for p in at for end in (F.floor, F.ceil)], 1)
     spot = F.element_at(F.array(*[F.lit(float(q)) for q in spots]), (F.col("i") + 1).cast("int"))
     ends = found.select(*keys, F.expr("i div 2").alias("i"), (F.col("i") % 2).alias("end"), "v")
     ends = ends.groupBy(*keys, "i").agg(F.min(F.when(F.col("end") == 0, F.col("v"))).alias("low"), F.min(F.when(F.col("end") == 1, F.col("v"))).alias("high"))
@@ -45,10 +50,11 @@ def null_safe(one: DataFrame, two: DataFrame, keys: list[str], how: str = "inner
     return one.join(other, on, how).drop(*[f"_other_{k}" for k in keys])
 
 
-def _order_statistics(rows: DataFrame, keys: list[str], value: str, places: list[Column], least: int) -> tuple[DataFrame, DataFrame]:
-    """(keys, total) of the valid values, and (keys, i, v): the value at the 0-based places[i], in groups of `least` or more."""
+def order_statistics(rows: DataFrame, keys: list[str], value: str, places: list[Column], least: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, total) of the valid values, and (keys, i, place, v): the value at the 0-based places[i], in groups of
+    `least` or more. rows are evaluated once: their different values and counts are staged."""
     good = rows.where(valid(F.col(value))).select(*keys, F.col(value).cast("double").alias("v"))
-    counts = good.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    counts = staged(good.groupBy(*keys, "v").agg(F.count("*").alias("n")))
     spots = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     sums = staged(counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.percentile_approx("v", spots, F.lit(1000)).alias("edges")))
     dealt = null_safe(counts, sums, keys).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("v"))))
@@ -57,12 +63,12 @@ def _order_statistics(rows: DataFrame, keys: list[str], value: str, places: list
     wanted = per.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(len(places))])))
     wanted = wanted.withColumn("place", F.element_at(F.array(*places), F.col("i") + 1))
     wanted = wanted.where((F.col("total") >= least) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("own")))
-    wanted = wanted.select(*keys, "bucket", "i", (F.col("place") - F.col("start")).alias("offset"))
+    wanted = wanted.select(*keys, "bucket", "i", "place", (F.col("place") - F.col("start")).alias("offset"))
     inside = Window.partitionBy(*keys, "bucket").orderBy("v")
     ranked = null_safe(dealt, wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi")
     ranked = ranked.select(*keys, "bucket", "v", "n", F.sum("n").over(inside).alias("upto"))
     found = null_safe(ranked, wanted, [*keys, "bucket"]).where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
-    return sums.select(*keys, "total"), found.select(*keys, "i", "v")
+    return sums.select(*keys, "total"), found.select(*keys, "i", "place", "v")
 
 
 def breaks_of(rows: DataFrame, value: str, classes: int = 4) -> list[float]:

@@ -425,9 +425,8 @@ def per_1000(spark, d):
 
 @query(over("select cast(rn as bigint) as place, b as value from brk", "fx_stats", steps=break_steps("select id, cast(income as double) as value from fx_stats")))
 def quantile_breaks(spark, d):
-    made = breaks.group_breaks(stand_in(spark, d, "fx_stats").withColumn("g", F.lit(1)), ["g"], "income")
-    n = stand_in(spark, d, "fx_stats").where("income > -99990").count()
-    return made.select(F.posexplode("breaks").alias("i", "value")).select(F.least(F.floor((F.col("i") + 1) / 4 * n), F.lit(n - 1)).alias("place"), "value")
+    rows = stand_in(spark, d, "fx_stats").withColumn("g", F.lit(1))
+    return breaks.order_statistics(rows, ["g"], "income", breaks.break_places(), 4)[1].select("place", F.col("v").alias("value"))
 
 
 @query("select c_mktsegment, value, i from (select c_mktsegment, c_acctbal as value, row_number() over (partition by c_mktsegment order by c_acctbal) - 1 as rn, count(*) over (partition by c_mktsegment) as n from customer), (select unnest([0, 1, 2]) as i) where n >= 4 and rn = least(cast(floor((i + 1) / 4.0::double * n) as bigint), n - 1)")
