@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, mixing, nearvec, quality, sharding, simhash, topk, warc
+from . import align, bpe, chat, language, lines, mixing, nearvec, quality, repair, sharding, simhash, topk, warc
 from .shared import parts, shared_folder, table
 
 
@@ -83,14 +83,74 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_index(spark, path)
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, paths = table(spark, sf_dir, "documents").select("doc_id", "text"), [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    made = align.aligned(docs, align.pair_table(docs, *paths), *paths)
+    return made.select("doc_id", *align.NUMBERS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(turns), turns)[0]
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    made = language.identified(docs.select("doc_id", "text"), language.profiles(docs.where(~held_out)))
+    return made.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     own = [op1_mix_sources, op2_quality, op3_shuffled_shards, op4_top_inner_products, op5_chat_windows, op6_line_dedup, op7_simhash, op8_byte_bpe, op9_near_vectors, op10_warc]
+    own += [op11_align_tokenizers, op12_repair_conversations, op13_language]
     return {f.__name__: f for f in own}
 
 
 _DIGITS = "cast(('0x' || substr(md5({}), 1, 8)) as bigint)"
 
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(key, ''), lambda ch: [ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, (c & 1) * 3988292384) end), 4294967295)"""
+
+
+def _edit(cost: str, edit: str, row: str, after: str, when: str = "true") -> str:
+    """A way on as (cost, audit, repaired lines), at a price beyond all others where it is not allowed."""
+    return f"{{'c': {after}.c + {cost} + case when {when} then 0 else 1000000000 end, 'a': '{edit}' || {after}.a, 't': {row} || {after}.t}}"
+
+
+def _row_edits(own: str, role: str) -> str:
+    """The best of delete, keep and rerole in a state; role: which may follow, and the first state also allows s."""
+    keeps = [("u", "u"), ("s", "s")] if own == "z" else [(role, role)]
+    ways = [_edit("3", "D", "''", own)] + [_edit("late", "K", "chr(10) || role || ':' || text", after, f"initial = '{r}' and not gone") for r, after in keeps]
+    name = {"u": "user", "a": "assistant"}[role]
+    return f"least({', '.join([*ways, _edit('late + 2', 'R', f"chr(10) || '{name}:' || text", role, 'not gone')])})"
+
+
+_INSERT = {"u": "chr(10) || 'user:'", "a": "chr(10) || 'assistant:'"}
+
 ORACLE_SQL = {
+    "op12_repair_conversations": f"""
+with recursive b as (select *, {_CRC32} % 20 as k from (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+   coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations)),
+ d as (select conv_id, turn, case when k = 4 then 'user' else role end as role,
+   case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when k = 3 then [0, 1] else [0] end) as copy from b where k <> 0),
+ o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as pos from d),
+ f as (select *, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by pos) as before,
+   case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+    when regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from o),
+ w as (select conv_id, pos, role, text, initial, fault in ('blank', 'duplicate') as gone, case when fault = 'truncated' then 1 else 0 end as late from f),
+ r as (select conv_id, max(pos) + 1 as pos, {{'c': 0, 'a': '', 't': ''}} as z, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} as s,
+   {{'c': 2, 'a': 'I', 't': chr(10) || 'assistant:'}} as u, {{'c': 0, 'a': '', 't': ''}} as a from w group by conv_id
+  union all
+  select conv_id, pos, least(z, {_edit("2", "I", _INSERT["u"], "u")}) as z, least(s, {_edit("2", "I", _INSERT["u"], "u")}) as s, u, a from (
+   select conv_id, pos, z, s, least(u, {_edit("2", "I", _INSERT["a"], "a")}) as u, least(a, {_edit("2", "I", _INSERT["u"], "u")}) as a from (
+    select r.conv_id, w.pos, {_row_edits("z", "u")} as z, {_row_edits("s", "u")} as s, {_row_edits("u", "a")} as u, {_row_edits("a", "u")} as a
+    from r join w on r.conv_id is not distinct from w.conv_id and w.pos = r.pos - 1))),
+ n as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+   count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+ cast(coalesce(z.c, 0) as bigint) as cost, coalesce(z.a, '') as audit, sha256(coalesce(substr(z.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join r on r.conv_id is not distinct from c.conv_id and r.pos = 1""",
     "op1_mix_sources": f"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
  s0 as (select source, sum(size)::bigint as source_size, count(*) as n from d group by source),
