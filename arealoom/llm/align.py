@@ -3,9 +3,10 @@
 A text with a space before it is encoded by a byte-level BPE (A) and by a piece BPE with byte fallback (B). Offsets
 where tokens of both end cut them into groups; an A and a B token that end together are a link.
 
-Both encoders work on chunks, cut before each single space between two characters that are no space: no token of
-either spans such a place (`Aligner` checks B's vocabulary for it; A's pattern only lets a space lead), so a chunk's
-groups are the same in any text and are remembered.
+Both encoders work on chunks, cut before each single space or newline between two characters that are no space: no
+token of either spans such a place (`Aligner` checks B's vocabulary for it; in A's pattern a space can only lead), so a
+chunk's groups are the same in any text and are remembered. Chunks of common characters are encoded by the ranks of
+A's merges, which give the same ids (checked when A is loaded), others by the library that A's file is made for.
 
 Counts: pairs of linked ids are vocabulary, not corpus, for of two tokens that end together the shorter is a suffix of
 the longer: their number has a bound that `most_pairs` computes from the two vocabularies. The distinct pairs get a
@@ -36,8 +37,10 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from .shared import nested, parts, staged
 
-#: Before a space on its own: neither neighbour is a space to any of the engines involved.
-CUT = re.compile(r"(?<=[^\s\u180e\u200b]) (?=[^\s\u180e\u200b])")
+#: Before a space or newline on its own: neither neighbour is a space to any of the engines involved.
+CUT = re.compile(r"(?<=[^\s\u180e\u200b])(?=[ \n][^\s\u180e\u200b])")
+#: Characters that all engines class alike; chunks with others go to the slower library that the vocabulary is for.
+COMMON = re.compile(r"[\n -~\u00c0-\u024f]+")
 #: Counted for each text; `groups` is the text of its groups.
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: A pair of ids is a * WIDTH + b.
@@ -65,44 +68,55 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         with open(a_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            model = json.load(f)["model"]
+        vocabulary = model["vocab"]
         letter = byte_letters()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(map(letter.__getitem__, token)) if all(c in letter for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.whole = any("▁" in p.lstrip("▁") for p in pieces)  # a piece could span a cut
+        self.space = self.b.piece_to_id("▁")
+        self.whole = any("▁" in p.lstrip("▁") or ("\n" in p and p != "\n") for p in pieces)  # a piece could span a cut
+        self.fast = ranked_encoder(model, self.a_bytes)
+        self.a_text, self.b_text = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
         self.a_sizes, self.b_sizes = ([len(x) for x in t] for t in (self.a_bytes, self.b_bytes))
 
     def chunks(self, text: str) -> list[str]:
-        """Texts to be encoded with a space before each."""
-        return [text] if self.whole else CUT.split(text)
+        """A space and the text, in pieces that begin with a space or newline."""
+        return [f" {text}"] if self.whole else CUT.split(f" {text}")
 
     def groups(self, chunks: list[str]) -> list:
         """Of each chunk (groups as text, linked pairs, number of A's and of B's tokens); None where either tokenizer
         loses a byte of it."""
-        spaced = [f" {c}" for c in chunks]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(chunks, num_threads=1) if chunks else []
-        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        back = lambda data, x, y: b"".join(map(of_a, x)) == data == b"".join(map(of_b, y))
-        return [self.cut(x, y) if back(c.encode(), x, y) else None for c, x, y in zip(spaced, a, b, strict=True)]
+        common = COMMON.fullmatch
+        a = [self.fast(c) if self.fast and common(c) else self.a.encode(c, add_special_tokens=False).ids for c in chunks]
+        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1) if chunks else []
+        of_a, of_b, made = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
+        for c, x, y in zip(chunks, a, b, strict=True):
+            if c[0] != " ":  # B puts a space before each text, which stays a piece of its own before a newline
+                y = y[1:] if y[:1] == [self.space] else []
+            data = c.encode()
+            made.append(self.cut(x, y) if b"".join(map(of_a, x)) == data == b"".join(map(of_b, y)) else None)
+        return made
 
     def cut(self, a: list[int], b: list[int]) -> tuple[str, list[int], int, int]:
+        name_a, name_b = self.a_text, self.b_text
         if len(a) == 1 or len(b) == 1:
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", [a[-1] * WIDTH + b[-1]], len(a), len(b)
+            return f"{','.join([name_a[i] for i in a])}|{','.join([name_b[i] for i in b])}", [a[-1] * WIDTH + b[-1]], len(a), len(b)
         size_a, size_b, text, pairs = self.a_sizes, self.b_sizes, [], []
-        x = y = from_a = from_b = ahead = 0  # ahead: bytes that A's tokens up to x are ahead of B's up to y
-        while x < len(a):
-            ahead += size_a[a[x]]
-            x += 1
+        y = from_a = from_b = ahead = 0  # ahead: bytes that A's tokens so far are ahead of B's up to y
+        for x, token in enumerate(a, 1):
+            ahead += size_a[token]
             while ahead > 0:
                 ahead -= size_b[b[y]]
                 y += 1
             if not ahead:
-                text.append(f"{','.join(map(str, a[from_a:x]))}|{','.join(map(str, b[from_b:y]))}")
-                pairs.append(a[x - 1] * WIDTH + b[y - 1])
+                if x - from_a == 1 == y - from_b:
+                    text.append(f"{name_a[token]}|{name_b[b[from_b]]}")
+                else:
+                    text.append(f"{','.join([name_a[i] for i in a[from_a:x]])}|{','.join([name_b[i] for i in b[from_b:y]])}")
+                pairs.append(token * WIDTH + b[y - 1])
                 from_a, from_b = x, y
         return ";".join(text), pairs, len(a), len(b)
 
@@ -113,7 +127,7 @@ class Aligner:
         made = []
         for own in batched(self.chunks(text), 50_000):
             made += seen.all(own)
-        return None if any(m is None for m in made) and self.groups([text])[0] is None else made
+        return None if any(m is None for m in made) and self.groups([f" {text}"])[0] is None else made
 
     def most_pairs(self) -> int:
         """A bound of the different pairs in any corpus: one token's bytes are a suffix of the other's."""
@@ -127,6 +141,19 @@ class Aligner:
         return longer + sum(of_a.get(s, 0) for t in self.b_bytes for s in suffixes(t) if len(s) < len(t))
 
 
+def ranked_encoder(model: dict, tokens: list[bytes]):
+    """The encoder by ranks of a byte-level vocabulary whose k-th merge makes the k-th id after the bytes; None if it is
+    not of that kind."""
+    import public_tokenizers
+    import tiktoken
+
+    merged = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if [model["vocab"].get(a + b) for a, b in merged] != list(range(256, 256 + len(merged))):
+        return None
+    ranks = {tokens[i]: i for i in range(256 + len(merged))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Recent:
     """What `make` gives for chunks, remembered for the latest `most` to twice as many different ones."""
 
