@@ -157,7 +157,7 @@ def ranked_encoder(model: dict, tokens: list[bytes]):
 class Recent:
     """What `make` gives for chunks, remembered for the latest `most` to twice as many different ones."""
 
-    def __init__(self, make, most: int = 150_000):
+    def __init__(self, make, most: int = 300_000):
         self.make, self.most, self.new, self.old = make, most, {}, {}
 
     def all(self, chunks) -> list:
