@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import PARTS, all_edges, bounds, inside, meet, oriented, rings
-from ..sources.scratch import staged
+from ..functions.geometry import PARTS, all_edges, bounds, is_on, meet, oriented, rings
+from .overlay import gained, passed, side_tiles, union_border
 
 
 def bbox(df: DataFrame, parts: str = "parts") -> Row:
@@ -22,47 +22,32 @@ def in_bbox(df: DataFrame, box: Row, buffer: float = 0.0, x: str = "x", y: str =
     return df.where(F.col(x).between(box.xmin - buffer, box.xmax + buffer) & F.col(y).between(box.ymin - buffer, box.ymax + buffer))
 
 
-def side_tiles(e: Column, tile: float, slack: float = 0.0) -> Column:
-    """The tiles (i, j) that a side (a, b) meets, column by column: about as many as it is tiles long."""
-    a, b = e["a"], e["b"]
-    low, high = F.least(a["x"], b["x"]) - slack, F.greatest(a["x"], b["x"]) + slack
-    steep = F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
-
-    def column(i):
-        left, right = F.greatest(i * tile, low), F.least((i + 1) * tile, high)
-        at = lambda x: F.greatest(F.least(a["y"] + (x - a["x"]) * steep, F.greatest(a["y"], b["y"])), F.least(a["y"], b["y"]))
-        one, two = F.when(steep.isNull(), a["y"]).otherwise(at(left)), F.when(steep.isNull(), b["y"]).otherwise(at(right))
-        span = F.sequence(F.floor((F.least(one, two) - slack - tile * 1e-9) / tile), F.floor((F.greatest(one, two) + slack + tile * 1e-9) / tile))
-        return F.transform(span, lambda j: F.struct(i.alias("i"), j.alias("j")))
-
-    return F.flatten(F.transform(F.sequence(F.floor(low / tile), F.floor(high / tile)), column))
-
-
 def area_tiles(areas: DataFrame, key: str, tile: float, parts: str = "parts") -> DataFrame:
-    """(key, _i, _j, _whole, _sides): the tiles that an area covers. Of tiles that a side touches, the sides from there
-    to the right at the tile's height; other tiles lie inside as a whole.
-
-    Sides are dealt to rows of tiles, so no task holds an area's whole ring and no tile repeats it.
+    """(key, _i, _j, _odd, _sides): the tiles that an area touches or covers. _odd: whether the left end of the tile's
+    middle line lies inside; _sides: the sides that meet the tile, null where none does and the tile is inside as a
+    whole. A side is held once for each tile that it meets, so what is held grows with the sides' length.
     """
     shapes = areas.select(F.col(key), F.xxhash64(parts).alias("_shape"), F.col(parts).alias("_parts")).dropDuplicates([key, "_shape"])
-    sides = shapes.select(key, "_shape", F.explode(all_edges(F.col("_parts"))).alias("_e"))
-    low, high = (lambda e, c: F.least(e["a"][c], e["b"][c])), (lambda e, c: F.greatest(e["a"][c], e["b"][c]))
-    e = F.col("_e")
-    bands = sides.withColumn("_j", F.explode(F.sequence(F.floor(low(e, "y") / tile), F.floor(high(e, "y") / tile))))
-    bands = bands.groupBy(key, "_shape", "_j").agg(F.collect_list("_e").alias("_all"), F.min(low(e, "x")).alias("_low"), F.max(high(e, "x")).alias("_high"))
-    tiles = bands.withColumn("_i", F.explode(F.sequence(F.floor(F.col("_low") / tile), F.floor(F.col("_high") / tile))))
-    tiles = tiles.withColumn("_right", F.filter("_all", lambda s: high(s, "x") >= F.col("_i") * tile))
-    touched = F.exists("_right", lambda s: low(s, "x") <= (F.col("_i") + 1) * tile)
-    tiles = tiles.withColumn("_touched", touched).withColumn("_whole", ~F.col("_touched") & inside(F.col("_right"), (F.col("_i") + 0.5) * tile, (F.col("_j") + 0.5) * tile))
-    return tiles.where(F.col("_touched") | F.col("_whole")).select(key, "_i", "_j", "_whole", F.when(F.col("_touched"), F.col("_right")).alias("_sides"))
+    i, j, e = F.col("_i"), F.col("_j"), F.col("_e")
+    dealt = shapes.select(key, "_shape", F.explode(all_edges(F.col("_parts"))).alias("_e")).withColumn("_t", F.explode(side_tiles(e, tile, tile * 1e-9)))
+    tiles = dealt.select(key, "_shape", "_e", F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j")).groupBy(key, "_shape", "_i", "_j")
+    tiles = tiles.agg(F.collect_list("_e").alias("_sides"), F.sum(F.abs(passed(e, i, j, tile))).alias("_own"))
+    row = Window.partitionBy(key, "_shape", "_j").orderBy("_i")
+    tiles = tiles.withColumns({"_sum": F.sum("_own").over(row), "_next": F.coalesce(F.lead("_i").over(row), i + 1)})
+    touched = tiles.select(key, "_i", "_j", ((F.col("_sum") - F.col("_own")) % 2 == 1).alias("_odd"), "_sides")
+    between = tiles.where((F.col("_sum") % 2 == 1) & (F.col("_next") > i + 1))
+    whole = between.select(key, F.explode(F.sequence(i + 1, F.col("_next") - 1)).alias("_i"), "_j", F.lit(True).alias("_odd"), F.lit(None).cast(tiles.schema["_sides"].dataType).alias("_sides"))
+    return touched.union(whole)
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float, x: str = "x", y: str = "y", parts: str = "parts") -> DataFrame:
-    """Each point with the key of every area that it lies strictly within: an equi join on tiles, then the exact test
-    against the sides at the tile's height."""
+    """Each point with the key of every area that it lies strictly within: an equi join on tiles, then the crossings of
+    the tile's own sides on the way from the left end of its middle line to the point."""
     rows = points.withColumn("_i", F.floor(F.col(x) / tile)).withColumn("_j", F.floor(F.col(y) / tile))
     met = rows.join(area_tiles(areas, key, tile, parts), ["_i", "_j"])
-    return met.where(F.col("_whole") | inside(F.col("_sides"), F.col(x), F.col(y))).drop("_i", "_j", "_whole", "_sides")
+    crossed = F.aggregate("_sides", F.lit(0), lambda n, e: n + F.abs(gained(e, F.col(x), F.col(y), F.col("_i"), F.col("_j"), tile, apart=True)))
+    within = F.when(F.exists("_sides", lambda e: is_on(e, F.col(x), F.col(y))), False).otherwise((crossed + F.col("_odd").cast("int")) % 2 == 1)
+    return met.where(F.col("_sides").isNull() | within).drop("_i", "_j", "_odd", "_sides")
 
 
 def touching(layer: DataFrame, clip: DataFrame, key: str, tile: float) -> DataFrame:
@@ -78,61 +63,31 @@ def touching(layer: DataFrame, clip: DataFrame, key: str, tile: float) -> DataFr
 
 
 def dissolve(layer: DataFrame, by: str, snap: int = 6) -> DataFrame:
-    """(by, parts): the union of each group's polygons, for layers whose neighbours share their borders.
+    """(by, parts): the union of each group's polygons, which may share borders, overlap, repeat or hold each other.
 
-    Rows of a group that repeat a shape count once. A side cancels against its opposite; sides left over are cut at
-    the group's vertices that lie on them (a neighbour with more vertices on the same border) and cancel again. What
-    remains is chained into rings, one task per group, on the border alone. Points are snapped to 10^-snap. Shapes
-    that overlap are not resolved.
+    Sides that occur as often in each direction cancel; the others are cut wherever they meet, and of the pieces those
+    stay that have the union on one side only (see overlay). What remains is chained into rings, one task per group, on
+    the border alone. Points are snapped to 10^-snap. A null shape adds nothing; a group without a side has no row.
     """
     near = lambda p: F.struct(F.bround(p["x"], snap).alias("x"), F.bround(p["y"], snap).alias("y"))
     ends = lambda e: F.struct(near(e["a"]).alias("a"), near(e["b"]).alias("b"))
     own = F.filter(F.transform(all_edges(oriented(F.col("parts"))), ends), lambda e: e["a"] != e["b"])
-    whole = layer.select(F.col(by).alias("_group"), own.alias("_sides"))
-    once = whole.withColumn("_same", F.sha2(F.to_json(F.struct(F.array_sort("_sides").alias("s"))), 256)).dropDuplicates(["_group", "_same"])
-    sides = staged(_cancelled(once.select("_group", F.explode("_sides").alias("e"))))
-    border = _cancelled(_cut(sides, 10.0**-snap))
-    flat = border.select("_group", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
+    sides = layer.select(F.col(by).alias("_group"), F.explode(own).alias("e"), F.lit(1).alias("way"))
     kind = dict(layer.dtypes)[by]
-    return flat.groupBy("_group").applyInPandas(_chain, f"_group {kind}, parts {PARTS}").withColumnRenamed("_group", by)
-
-
-def _cancelled(sides: DataFrame) -> DataFrame:
-    """(_group, e) without the sides that occur as often in each direction; others once, the way that is left over."""
-    a, b = F.col("e.a"), F.col("e.b")
-    keyed = sides.select("_group", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.when(a < b, 1).otherwise(-1).alias("way"))
-    left = keyed.groupBy("_group", "low", "high").agg(F.sum("way").alias("way")).where("way <> 0")
-    on = F.col("way") > 0
-    return left.select("_group", F.struct(F.when(on, F.col("low")).otherwise(F.col("high")).alias("a"), F.when(on, F.col("high")).otherwise(F.col("low")).alias("b")).alias("e"))
-
-
-def _cut(sides: DataFrame, slack: float) -> DataFrame:
-    """Sides cut at the vertices of their group that lie on them, found by tiles of twice the mean side."""
-    dx, dy = F.col("e.b.x") - F.col("e.a.x"), F.col("e.b.y") - F.col("e.a.y")
-    mean = sides.agg(F.avg(F.greatest(F.abs(dx), F.abs(dy)))).first()[0]
-    if not mean:
-        return sides
-    tile = 2.0 * mean
-    dealt = sides.select("_group", "e", F.explode(side_tiles(F.col("e"), tile, slack)).alias("t"))
-    points = sides.select("_group", F.explode(F.array("e.a", "e.b")).alias("p")).distinct()
-    points = points.select("_group", "p", F.struct(F.floor(F.col("p.x") / tile).alias("i"), F.floor(F.col("p.y") / tile).alias("j")).alias("t"))
-    px, py = F.col("p.x") - F.col("e.a.x"), F.col("p.y") - F.col("e.a.y")
-    long, along = dx * dx + dy * dy, px * dx + py * dy
-    on = (F.abs(px * dy - py * dx) <= slack * F.sqrt(long)) & (along > 0) & (along < long) & (F.col("p") != F.col("e.a")) & (F.col("p") != F.col("e.b"))
-    found = dealt.join(points.withColumnRenamed("_group", "_of"), (F.col("_group").eqNullSafe(F.col("_of"))) & (dealt["t"] == points["t"])).where(on)
-    found = found.groupBy("_group", "e").agg(F.sort_array(F.collect_set(F.struct((along / long).alias("at"), "p"))).alias("cuts"))
-    found = found.select(F.col("_group").alias("_of"), F.col("e").alias("_e"), "cuts")
-    rows = sides.join(found, F.col("_group").eqNullSafe(F.col("_of")) & (F.col("e") == F.col("_e")), "left")
-    stops = F.concat(F.array("e.a"), F.coalesce(F.transform("cuts", lambda c: c["p"]), F.array().cast("array<struct<x:double,y:double>>")), F.array("e.b"))
-    pieces = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return rows.select("_group", F.explode(pieces).alias("e"))
+    return union_border(sides, snap).groupBy("_group").applyInPandas(_chain, f"_group {kind}, parts {PARTS}").withColumnRenamed("_group", by)
 
 
 def _chain(sides: pd.DataFrame) -> pd.DataFrame:
-    """Parts from the directed sides. At a vertex with several ways on, the sharpest left turn closes rings apart; a
-    ring that turns right is a hole of the smallest ring around it."""
+    made = chained(sides[["ax", "ay"]].to_numpy(), sides[["bx", "by"]].to_numpy())
+    points = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    return pd.DataFrame({"_group": [sides["_group"].iloc[0]], "parts": [[[points(r) for r in p] for p in made]]})
+
+
+def chained(starts: np.ndarray, ends: np.ndarray) -> list[list[np.ndarray]]:
+    """Parts from directed sides that meet at their ends only, the inner side to the left. At a vertex with several ways
+    on, the sharpest left turn closes rings apart; a ring that turns right is a hole of the smallest ring around it."""
     following: dict[tuple, list[tuple]] = {}
-    for a, b in zip(zip(sides.ax, sides.ay), zip(sides.bx, sides.by)):
+    for a, b in zip(map(tuple, starts.tolist()), map(tuple, ends.tolist())):
         following.setdefault(a, []).append(b)
     found = []
     for start in sorted(following):
@@ -151,45 +106,116 @@ def _chain(sides: pd.DataFrame) -> pd.DataFrame:
                 if here == start:
                     break
             found.append(np.array(ring))
-    areas = [float(((r[:-1, 0] - r[0, 0]) * (r[1:, 1] - r[0, 1]) - (r[1:, 0] - r[0, 0]) * (r[:-1, 1] - r[0, 1])).sum() / 2) for r in found]
+    areas = [_signed(r) for r in found]
     outer = sorted((i for i, s in enumerate(areas) if s > 0), key=lambda i: areas[i])
     holes = {i: [] for i in outer}
     for i, s in enumerate(areas):
         if s <= 0:
             around = next((o for o in outer if areas[o] > -s and _holds(found[o], found[i])), None)
             holes[around].append(i) if around is not None else holes.setdefault(i, [])
-    points = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
-    parts = [[points(found[i]), *(points(found[h]) for h in holes[i])] for i in sorted(holes)]
-    return pd.DataFrame({"_group": [sides["_group"].iloc[0]], "parts": [parts]})
+    return [[found[i], *(found[h] for h in holes[i])] for i in sorted(holes)]
+
+
+def _signed(ring: np.ndarray) -> float:
+    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
 
 
 def _holds(ring: np.ndarray, other: np.ndarray) -> bool:
-    """Whether most of the middles of other's sides lie inside ring."""
+    """Whether other lies inside ring, where their sides only share ends: the middle of any side of other tells."""
     if (other.min(0) < ring.min(0)).any() or (other.max(0) > ring.max(0)).any():
         return False
-    a, b = ring[:-1], ring[1:]
-    hits = 0
-    middles = ((other[1:] + other[:-1]) / 2)[:101]
-    for x, y in middles:
+    return bool(_inside(ring[:-1], ring[1:], (other[:1] + other[1:2]) / 2)[0])
+
+
+def _inside(a: np.ndarray, b: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Whether each point that is on no side (a, b) lies inside: an odd number of sides to its right."""
+    odd = np.zeros(len(spots), bool)
+    for at, (x, y) in enumerate(spots):
         crosses = (a[:, 1] > y) != (b[:, 1] > y)
-        at = a[crosses, 0] + (b[crosses, 0] - a[crosses, 0]) * (y - a[crosses, 1]) / (b[crosses, 1] - a[crosses, 1])
-        hits += int((at > x).sum() % 2)
-    return hits * 2 > len(middles)
+        p, q = a[crosses], b[crosses]
+        odd[at] = ((q[:, 0] - p[:, 0]) * (y - p[:, 1]) / (q[:, 1] - p[:, 1]) + p[:, 0] > x).sum() % 2
+    return odd
 
 
 def simplify(layer: DataFrame, tolerance: float) -> DataFrame:
-    """Douglas-Peucker on each ring; rings keep four points at least and stay closed."""
-    return _shaped(layer, lambda ring: _peucker(ring, tolerance))
+    """Douglas-Peucker on each ring by itself; rings keep four points at least and stay closed. Neighbours can come
+    apart: see outlines.simplify_shared. A null shape stays null."""
+
+    def of(part: list[np.ndarray]) -> list[list[np.ndarray]]:
+        rings_ = [_thinned(r, tolerance) for r in part]
+        return [[r for r in rings_ if len(r) >= 4]] if rings_ and len(rings_[0]) >= 4 else []
+
+    return _shaped(layer, of)
 
 
 def clip_to_box(layer: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
-    """Polygons cut to a rectangle; what lies outside has no parts left and goes."""
-    sides = [(0, xmin, 1), (0, xmax, -1), (1, ymin, 1), (1, ymax, -1)]
-    return _shaped(layer, lambda ring: _half_planes(ring, sides)).where(F.size("parts") > 0)
+    """Polygons cut to a rectangle. A concave shape falls into as many parts as it has inside; what lies outside, or
+    has no shape, goes."""
+    return _shaped(layer, lambda part: _clipped(part, xmin, ymin, xmax, ymax)).where(F.size("parts") > 0)
+
+
+def _clipped(part: list[np.ndarray], xmin: float, ymin: float, xmax: float, ymax: float) -> list[list[np.ndarray]]:
+    """The parts of one polygon inside a box. Its sides are cut at the box's lines; those inside stay, and so do the
+    pieces of the box's border, between all points where a side reaches it, that have the polygon on their inner side."""
+    rings_ = [r if (_signed(r) >= 0) == (n == 0) else r[::-1] for n, r in enumerate(part) if len(r) >= 4]
+    if not rings_:
+        return []
+    a, b = np.concatenate([r[:-1] for r in rings_]), np.concatenate([r[1:] for r in rings_])
+    low, high = np.array([xmin, ymin]), np.array([xmax, ymax])
+    if (np.concatenate([a, b]) > low).all() and (np.concatenate([a, b]) < high).all():
+        return [rings_]
+    from_, to = a, b
+    for axis, at in ((0, xmin), (0, xmax), (1, ymin), (1, ymax)):
+        crosses = (from_[:, axis] < at) != (to[:, axis] < at)
+        crosses &= (from_[:, axis] != at) & (to[:, axis] != at)
+        p, q = from_[crosses], to[crosses]
+        middle_ = p + ((at - p[:, axis]) / (q[:, axis] - p[:, axis]))[:, None] * (q - p)
+        middle_[:, axis] = at
+        from_, to = np.concatenate([from_[~crosses], p, middle_]), np.concatenate([to[~crosses], middle_, q])
+    moved = (from_ != to).any(1)
+    from_, to = from_[moved], to[moved]
+    within = ((from_ >= low) & (from_ <= high) & (to >= low) & (to <= high)).all(1)
+    from_, to = from_[within], to[within]
+    along = np.zeros(len(from_), bool)
+    made = []
+    corners = [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)]
+    for n, (p, q) in enumerate(zip(corners, corners[1:])):
+        axis, at = 1 - n % 2, p[1 - n % 2]  # the border runs along the other axis
+        on = (from_[:, axis] == at) & (to[:, axis] == at)
+        along |= on
+        reached = np.concatenate([from_[from_[:, axis] == at], to[to[:, axis] == at]])[:, 1 - axis]
+        stops = np.unique(np.concatenate([reached, [p[1 - axis], q[1 - axis]]]))
+        stops = stops if n < 2 else stops[::-1]
+        spots = np.empty((len(stops) - 1, 2))
+        spots[:, axis], spots[:, 1 - axis] = at, (stops[:-1] + stops[1:]) / 2
+        way = np.zeros(len(spots), int)  # of the polygon's own sides on the border: 1 the border's way, -1 against it
+        for s, t in zip(from_[on, 1 - axis], to[on, 1 - axis]):
+            way += np.where((spots[:, 1 - axis] > min(s, t)) & (spots[:, 1 - axis] < max(s, t)), 1 if (t > s) == (n < 2) else -1, 0)
+        kept = way > 0
+        free = np.flatnonzero(way == 0)
+        # on no side of the polygon: one ray away from the border decides
+        kept[free] = _inside(a, b, spots[free]) if axis == 0 else _inside(a[:, ::-1], b[:, ::-1], spots[free, ::-1])
+        for s, t in zip(stops[:-1][kept], stops[1:][kept]):
+            ends = np.full((2, 2), at)
+            ends[:, 1 - axis] = s, t
+            made.append(ends)
+    made = np.array(made).reshape(-1, 2, 2)
+    from_, to = np.concatenate([from_[~along], made[:, 0]]), np.concatenate([to[~along], made[:, 1]])
+    return [[_unbent(r) for r in p] for p in chained(from_, to)]
+
+
+def _unbent(ring: np.ndarray) -> np.ndarray:
+    """A ring without the points that the border's pieces left on straight level or upright lines."""
+    p = ring[:-1]
+    before, after = np.roll(p, 1, 0), np.roll(p, -1, 0)
+    straight = ((before == p) & (p == after)).any(1)
+    p = p[~straight] if (~straight).sum() >= 3 else p
+    return np.concatenate([p, p[:1]])
 
 
 def _shaped(layer: DataFrame, shape) -> DataFrame:
-    """layer with each ring of its parts reshaped; rings of fewer than four points go, with an outer ring its part."""
+    """layer with each part (a list of rings) of its shapes replaced by the parts that `shape` makes of it."""
     names = layer.columns
 
     def of(batches):
@@ -199,13 +225,12 @@ def _shaped(layer: DataFrame, shape) -> DataFrame:
             own, per_part, per_ring = (x.value_lengths().fill_null(0).to_numpy() for x in (column, flat, flat.flatten()))
             x, y = (c.to_numpy(zero_copy_only=False) for c in flat.flatten().flatten().flatten())
             xy, ends, made, at, ring = np.stack([x, y], 1), np.cumsum(per_ring), [], 0, 0
-            shapes = []  # of all rings, by part
+            shapes = []  # of all parts
             for n in per_part:
-                rings_ = [shape(xy[ends[r] - per_ring[r] : ends[r]]) for r in range(ring, ring + n)]
+                shapes.append(shape([xy[ends[r] - per_ring[r] : ends[r]] for r in range(ring, ring + n)]))
                 ring += n
-                shapes.append([r for i, r in enumerate(rings_) if len(r) >= 4] if n and len(rings_[0]) >= 4 else [])
-            for n in own:
-                made.append([p for p in shapes[at : at + n] if p])
+            for n, there in zip(own, column.is_valid().to_pylist()):
+                made.append([p for parts in shapes[at : at + n] for p in parts] if there else None)
                 at += n
             yield pa.RecordBatch.from_arrays([_arrow_parts(made) if c == "parts" else b.column(c) for c in names], names)
 
@@ -214,55 +239,42 @@ def _shaped(layer: DataFrame, shape) -> DataFrame:
 
 def _arrow_parts(made: list) -> pa.Array:
     ends = lambda lengths: pa.array(np.cumsum([0, *lengths]), pa.int32())
-    parts = [p for row in made for p in row]
+    parts = [p for row in made for p in row or []]
     rings_ = [r for p in parts for r in p]
     xy = np.concatenate([np.zeros((0, 2)), *rings_])
     points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
     deep = pa.ListArray.from_arrays(ends(map(len, rings_)), points)
-    return pa.ListArray.from_arrays(ends(map(len, made)), pa.ListArray.from_arrays(ends(map(len, parts)), deep))
-
-
-def _peucker(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    if len(ring) <= 4:
-        return ring
-    far = int(np.argmax(((ring - ring[0]) ** 2).sum(1)))
-    keep = np.zeros(len(ring), bool)
-    keep[[0, far, len(ring) - 1]] = True
-    todo = [(0, far), (far, len(ring) - 1)]
+    own = pa.ListArray.from_arrays(ends(map(len, parts)), deep)
+    none = pa.array([row is None for row in made], pa.bool_())
+    return pa.ListArray.from_arrays(ends(len(row or []) for row in made), own, mask=none)
+
+
+def _thinned(line: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker of an open line, or of a ring from its first point and the one farthest from it; a ring keeps
+    four points."""
+    closed = (line[0] == line[-1]).all()
+    if len(line) <= (4 if closed else 2):
+        return line
+    far = int(np.argmax(((line - line[0]) ** 2).sum(1))) if closed else len(line) - 1
+    keep = np.zeros(len(line), bool)
+    keep[[0, far, len(line) - 1]] = True
+    todo = [(0, far), (far, len(line) - 1)]
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        away = _distance(ring[a + 1 : b], ring[a], ring[b])
+        away = _distance(line[a + 1 : b], line[a], line[b])
         at = int(np.argmax(away))
         if away[at] > tolerance:
             keep[a + 1 + at] = True
             todo += [(a, a + 1 + at), (a + 1 + at, b)]
-    if keep.sum() < 4:
+    if closed and keep.sum() < 4:
         out = np.flatnonzero(~keep)
-        keep[out[int(np.argmax(_distance(ring[out], ring[0], ring[far])))]] = True
-    return ring[keep]
+        keep[out[int(np.argmax(_distance(line[out], line[0], line[far])))]] = True
+    return line[keep]
 
 
 def _distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = b - a
     along = np.clip(((p - a) @ d) / max(float(d @ d), 1e-300), 0, 1)
     return np.sqrt(((p - a - along[:, None] * d) ** 2).sum(1))
-
-
-def _half_planes(ring: np.ndarray, sides) -> np.ndarray:
-    """The ring cut at each side in turn: points inside stay, and each crossing adds the point where it happens."""
-    p = ring[:-1]
-    for axis, at, sign in sides:
-        if not len(p):
-            break
-        before = np.roll(p, 1, 0)
-        inner, was = (p[:, axis] - at) * sign >= 0, (before[:, axis] - at) * sign >= 0
-        step = p[:, axis] - before[:, axis]
-        t = np.divide(at - before[:, axis], step, out=np.zeros(len(p)), where=step != 0)
-        cut = before + t[:, None] * (p - before)
-        cut[:, axis] = at
-        both = np.stack([cut, p], 1).reshape(-1, 2)
-        p = both[np.stack([inner != was, inner], 1).ravel()]
-    p = p[(p != np.roll(p, 1, 0)).any(1)] if len(p) else p
-    return np.concatenate([p, p[:1]]) if len(p) >= 3 else np.zeros((0, 2))

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.values import format_code, label, labels_of, normalise, unsuppressed
-from ..operators import breaks, clean, cube, flows, spatial
+from ..operators import breaks, clean, cube, flows, outlines, spatial
 from ..sources import layers
 from ..sources.scratch import shared_folder
 from . import maps, scales
 from .registry import AGE
-from .stand_ins import areas, over, shape_wkt_sql, shapes, stand_in
+from .stand_ins import KINDS, areas, over, shape_wkt_sql, shapes, stand_in
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -679,6 +679,65 @@ def boundary_levels(spark, d):
     return made.select(F.col("level").cast("long").alias("level"), geo.area(F.col("parts")).alias("area"))
 
 
+_TRIO = [("s_suppkey * 7 % 40", "s_suppkey * 11 % 40", "5 + s_suppkey % 13", "5 + s_suppkey % 7"), ("s_suppkey * 13 % 40 + 0.5", "s_suppkey * 3 % 40 + 0.5", "4 + s_suppkey % 17", "6 + s_suppkey % 11"), ("s_suppkey * 5 % 40 + 0.25", "s_suppkey * 17 % 40 + 0.25", "8 + s_suppkey % 5", "3 + s_suppkey % 19")]
+
+
+def _trio_sql() -> dict[str, str]:
+    """Three rectangles per supplier, and the area and parts of their union by inclusion and exclusion."""
+    ends = [f"cast({x} as double) as x{i}, cast({x} + {w} as double) as p{i}, cast({y} as double) as y{i}, cast({y} + {h} as double) as q{i}" for i, (x, y, w, h) in enumerate(_TRIO)]
+    meet = lambda *k: "greatest(0, least({}) - greatest({})) * greatest(0, least({}) - greatest({}))".format(*(", ".join(f"{c}{i}" for i in k) for c in "pxqy"))
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    return {
+        "trio": f"select s_suppkey, {', '.join(ends)} from supplier",
+        "covered": f"select s_suppkey, {' + '.join(meet(i) for i in range(3))} - ({' + '.join(meet(*k) for k in pairs)}) + {meet(0, 1, 2)} as area, 3 - least(2, {' + '.join(f'case when {meet(*k)} > 0 then 1 else 0 end' for k in pairs)}) as n_parts from trio",
+    }
+
+
+@query(over("select s_suppkey, n_parts, n_parts as n_rings, area from covered", steps=_trio_sql()))
+def dissolve_overlaps(spark, d):
+    """Rectangles that overlap, hold each other or lie apart."""
+    boxes = [[F.expr(f"cast({c} as double)") for c in (x, y, f"{x} + {w}", f"{y} + {h}")] for x, y, w, h in _TRIO]
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.explode(F.array(*[geo.rectangle(*b) for b in boxes])).alias("parts"))
+    p = F.col("parts")
+    return spatial.dissolve(rows, "s_suppkey").select("s_suppkey", F.size(p).alias("n_parts"), F.size(F.flatten(p)).alias("n_rings"), geo.area(p).alias("area"))
+
+
+@query(over("select c_custkey, kind, " + ", ".join(f"cast(case kind when 0 then {a} when 1 then {b} when 2 then {c} when 3 then {e} else {f} end as {t}) as {n}" for n, t, a, b, c, e, f in [
+    ("n_parts", "int", "1", "1", "case when h < 30 then 2 else 1 end", "1", "case when h < 30 then 1 else 2 end"),
+    ("n_rings", "int", "1", "1", "case when h < 30 then 2 else 1 end", "case when h < 20 then 2 else 1 end", "case when h < 30 then 1 else 2 end"),
+    ("area", "double", "20 * (80 - h) + 60 * greatest(0, 20 - h)", "round_even((60 - h) * (60 - h) * 2 / 3.0::double, 6)", "30 * greatest(0, 30 - h) + 30 * (80 - greatest(h, 50))", "80 * (80 - h) - 40 * (60 - greatest(h, 20))", "80 * greatest(0, 30 - h) + 60 * (80 - greatest(h, 30))"),
+]) + " from (select c_custkey, c_custkey % 5 as kind, greatest(0, 40 - c_custkey % 7 * 10) as h from customer)"))
+def clip_shapes(spark, d):
+    """An L, a triangle, two squares, a square with a hole and a U, cut at heights from 0 to 40."""
+    at = lambda kind: F.array(*[F.array(*[F.array(*[geo.point(F.col("x") + i, F.col("y") + j) for i, j in ring]) for ring in part]) for part in kind])
+    made = F.when(F.col("kind") == 0, at(KINDS[0]))
+    for i, kind in enumerate([*KINDS[1:], [[[(0, 0), (80, 0), (80, 80), (50, 80), (50, 30), (30, 30), (30, 80), (0, 80), (0, 0)]]]], 1):
+        made = made.when(F.col("kind") == i, at(kind))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 5).cast("int").alias("kind"), (F.col("c_custkey") % 1000 * 100).alias("x"), (F.col("c_custkey") % 7 * 10).alias("y"))
+    p = F.col("parts")
+    clipped = spatial.clip_to_box(rows.withColumn("parts", made), -1.0, 40.0, 1e6, 1e6)
+    return clipped.select("c_custkey", "kind", F.size(p).alias("n_parts"), F.size(F.flatten(p)).alias("n_rings"), F.bround(geo.area(p), 6).alias("area"))
+
+
+@query(over("select s_suppkey, side, case when bulge < 3 then 5 else 14 end as n_points, 5000.0::double + case when bulge < 3 then 0 else 10.0 * bulge * case side when 'left' then 1 else -1 end end as area, case when bulge < 3 then 0 else 9 end as met from (select s_suppkey, case s_suppkey % 5 when 0 then 1 when 1 then 2 else 4 + s_suppkey % 5 end as bulge, unnest(['left', 'right']) as side from supplier)"))
+def simplify_shared(spark, d):
+    """Two neighbours with a zigzag border: small teeth go, large ones stay, on both sides alike. met: inner vertices of
+    the border that both have."""
+    bulge = F.expr("case s_suppkey % 5 when 0 then 1 when 1 then 2 else 4 + s_suppkey % 5 end")
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", bulge.alias("bulge"), (F.col("s_suppkey") % 1000 * 1000.0).alias("x"), (F.col("s_suppkey") % 7 * 1000.0).alias("y"))
+    at = lambda i, j: geo.point(F.col("x") + i, F.col("y") + j)
+    teeth = [at(50 + (F.col("bulge") if k % 2 else -F.col("bulge")), 10 * k) for k in range(1, 10)]
+    left = F.array(at(0, 0), at(50, 0), *teeth, at(50, 100), at(0, 100), at(0, 0))
+    right = F.array(at(50, 100), *teeth[::-1], at(50, 0), at(100, 0), at(100, 100), at(50, 100))
+    pair = F.array(F.struct(F.lit("left").alias("side"), geo.polygon(left).alias("parts")), F.struct(F.lit("right").alias("side"), geo.polygon(right).alias("parts")))
+    made = outlines.simplify_shared(rows.select("s_suppkey", F.explode(pair).alias("s")).select("s_suppkey", "s.*"), 2.5)
+    ring = F.col("parts")[0][0]
+    own = made.select("s_suppkey", "side", F.size(ring).alias("n_points"), geo.area(F.col("parts")).alias("area"), ring.alias("ring"))
+    other = own.select("s_suppkey", F.when(F.col("side") == "left", "right").otherwise("left").alias("side"), F.col("ring").alias("beside"))
+    met = F.size(F.array_intersect("ring", "beside")) - 2  # without the border's two ends
+    return own.join(other, ["s_suppkey", "side"]).select("s_suppkey", "side", "n_points", "area", met.alias("met"))
+
+
 # Whole scales
 
 

@@ -81,6 +81,6 @@ def shape_wkt_sql() -> str:
 
 
 def over(select: str, *names: str, steps: dict[str, str] | None = None) -> str:
-    """A DuckDB statement over stand-ins and further named steps."""
+    """A DuckDB statement over stand-ins and further named steps, if any."""
     parts = {n: SQL[n] for n in names} | (steps or {})
-    return "with " + ", ".join(f"{n} as ({q})" for n, q in parts.items()) + f" {select}"
+    return f"with {', '.join(f'{n} as ({q})' for n, q in parts.items())} {select}" if parts else select
