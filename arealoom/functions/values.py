@@ -39,13 +39,20 @@ def label(code: Column, labels: Mapping) -> Column:
 
 
 def labels_of(table: DataFrame, code: str, text: str, most: int = 1000) -> dict[str, str]:
-    """A code list of up to `most` rows as a label map."""
+    """A code list of up to `most` rows as a label map; longer lists are joined (label_joined)."""
     rows = table.select(F.col(code).cast("string"), F.col(text).cast("string")).limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"a code list of more than {most} rows: join it instead")
+        raise ValueError(f"a code list of more than {most} rows: use label_joined")
     return {r[0]: r[1] for r in rows if r[0] is not None}
 
 
+def label_joined(df: DataFrame, column: str, table: DataFrame, code: str, text: str, out: str) -> DataFrame:
+    """df plus `out`: the label of its column in a code list of any length, null where it has none. A code that is
+    listed twice takes the smallest label."""
+    names = table.where(F.col(code).isNotNull()).groupBy(F.col(code).cast("string").alias("_code")).agg(F.min(F.col(text).cast("string")).alias(out))
+    return df.drop(out).join(names, F.col(column).cast("string") == F.col("_code"), "left").drop("_code")
+
+
 def at_least_one(value: Column) -> Column:
     """A divisor that is never zero; null stays null."""
     return F.when(value.isNotNull(), F.greatest(value, F.lit(1)))

@@ -53,3 +53,14 @@ def year_change(totals: DataFrame, area: str, year: str, first: int, last: int,
     wide = totals.where(F.col(year).isin(first, last)).groupBy(area).pivot(year, [first, last]).agg(F.sum(value))
     a, b = F.col(str(first)), F.col(str(last))
     return wide.select(area, a.alias("before"), b.alias("after"), (b - a).alias("change"), F.bround(F.try_divide(b - a, a), 6).alias("relative"))
+
+
+def write_cube(cube: DataFrame, dims: list[str], path: str) -> None:
+    """A cube (null: all) in folders by grouping set: `kept` names the dims that are not null, in order."""
+    kept = F.concat_ws("+", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in dims])
+    cube.withColumn("kept", F.when(kept == "", "none").otherwise(kept)).write.partitionBy("kept").parquet(path)
+
+
+def stored_set(spark, path: str, dims: list[str], kept: list[str]) -> DataFrame:
+    """The rows of one grouping set of a cube that write_cube wrote; other sets' folders are not read."""
+    return spark.read.parquet(path).where(F.col("kept") == ("+".join(c for c in dims if c in kept) or "none")).drop("kept")

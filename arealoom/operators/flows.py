@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
 from ..functions.values import format_code
 
 REQUIRED = ("origin_id", "destination_id", "flow_value")
@@ -110,3 +112,39 @@ def gravity(flows: DataFrame, points: DataFrame, beta: float = 2.0) -> DataFrame
     dx, dy = F.col("origin_x") - F.col("destination_x"), F.col("origin_y") - F.col("destination_y")
     rows = rows.withColumn("_square", dx * dx + dy * dy).where("_square > 0").withColumn("distance", F.sqrt("_square"))
     return rows.select("origin_id", "destination_id", "flow_value", "outflow", "inflow", "distance", (F.col("outflow") * F.col("inflow") / F.pow("_square", F.lit(beta / 2))).alias("expected"))
+
+
+def balanced(seed: DataFrame, outflow: DataFrame, inflow: DataFrame, tolerance: float = 1e-9, most_rounds: int = 200) -> DataFrame:
+    """(origin_id, destination_id, flow_value): the seed's flows times a factor per origin and one per destination, so
+    that origins sum to outflow (origin_id, total) and destinations to inflow (destination_id, total), by rescaling
+    both in turn until no total is off by more than `tolerance` of itself.
+
+    Pairs that the seed lacks stay empty; origins and destinations without a total have none to reach and are left out.
+    The two lists must have the same sum, and the seed must leave a way to meet them: else the rounds run out, which is
+    an error. Each round is two joins and sums; only the factors are staged, one row per area.
+    """
+    pairs = seed.groupBy("origin_id", "destination_id").agg(F.sum("flow_value").alias("seed")).where("seed > 0")
+    pairs = staged(pairs.join(outflow.select("origin_id"), "origin_id", "left_semi").join(inflow.select("destination_id"), "destination_id", "left_semi"))
+    rows, columns = (staged(df.where("total > 0").groupBy(k).agg(F.sum("total").alias("total"))) for df, k in ((outflow, "origin_id"), (inflow, "destination_id")))
+    sums = [df.agg(F.sum("total")).first()[0] or 0.0 for df in (rows, columns)]
+    if abs(sums[0] - sums[1]) > 1e-6 * max(sums):
+        raise ValueError(f"origins sum to {sums[0]}, destinations to {sums[1]}")
+    to = columns.select("destination_id", F.lit(1.0).alias("into"))
+    for _ in range(most_rounds):
+        reached = pairs.join(to, "destination_id").groupBy("origin_id").agg(F.sum(F.col("seed") * F.col("into")).alias("reached"))
+        of = staged(rows.join(reached, "origin_id").select("origin_id", (F.col("total") / F.col("reached")).alias("out_of")))
+        reached = pairs.join(of, "origin_id").groupBy("destination_id").agg(F.sum(F.col("seed") * F.col("out_of")).alias("reached"))
+        last, to = to, staged(columns.join(reached, "destination_id").select("destination_id", (F.col("total") / F.col("reached")).alias("into"), "total"))
+        # destinations are met by these factors; origins are as far off as the factors have moved
+        moved = to.join(last.select("destination_id", F.col("into").alias("before")), "destination_id").agg(F.max(F.abs(F.col("into") / F.col("before") - 1))).first()[0]
+        if moved is None or moved <= tolerance:
+            return pairs.join(of, "origin_id").join(to, "destination_id").select("origin_id", "destination_id", (F.col("seed") * F.col("out_of") * F.col("into")).alias("flow_value"))
+    raise ValueError(f"totals not met after {most_rounds} rounds")
+
+
+def scan_centroids(spark, path: str) -> DataFrame:
+    """(id, pos, lng, lat) of files that hold one JSON array of points each; pos is the place in load order, by file and
+    within it. A file is read as a whole."""
+    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    made = text.select("file", F.posexplode(F.from_json("value", "array<struct<id:string,lng:double,lat:double>>")).alias("place", "p"))
+    return made.select("p.id", F.struct("file", "place").alias("pos"), "p.lng", "p.lat")

@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import classify, unsuppressed
-from ..operators.breaks import breaks_of, group_breaks
+from ..operators.breaks import group_breaks
+from ..sources.scratch import staged
 
 
 def choropleth(df: DataFrame, id_column: str, value: Column, classes: int = 4, null_as_zero: bool = False) -> DataFrame:
-    """(id, value, cls). Breaks are classes - 1 numbers; a null value has class -1, or counts as 0 if asked."""
+    """(id, value, cls). Breaks are classes - 1 numbers; a null value has class -1, or counts as 0 if asked. df is
+    evaluated once: ids and values are staged for the breaks and the classes."""
     v = F.coalesce(value.cast("double"), F.lit(0.0)) if null_as_zero else value.cast("double")
-    rows = df.select(F.col(id_column).cast("string").alias("id"), v.alias("value"))
-    breaks = F.array(*[F.lit(b) for b in breaks_of(rows, "value", classes)]).cast("array<double>")
-    return rows.withColumn("cls", classify(F.col("value"), breaks))
+    rows = staged(df.select(F.col(id_column).cast("string").alias("id"), v.alias("value"), F.lit(0).alias("_all")))
+    breaks = group_breaks(rows, ["_all"], "value", classes)
+    made = rows.join(F.broadcast(breaks), "_all", "left")  # one row of some numbers
+    return made.select("id", "value", classify(F.col("value"), F.coalesce("breaks", F.array().cast("array<double>"))).alias("cls"))
 
 
 def stats_choropleth(df: DataFrame, id_column: str, column: str, value=lambda c: c, **options) -> DataFrame:
@@ -51,6 +54,19 @@ def available(variables: DataFrame, scale: str) -> DataFrame:
     return variables.where(F.array_contains("available_at", scale))
 
 
+def registered_layer(registry: DataFrame, tables: dict[tuple[str, str], tuple[DataFrame, str]], scale: str, variable: str, value=lambda c, row: c, **options) -> DataFrame:
+    """(scale, variable, id, value, cls) of a variable as its registry row says: `kind` is the table to take it from
+    ('stats', 'node' or 'flow') and `source` its column there. tables gives (rows, id column) by (scale, kind).
+    value(column, row) may normalise where the row allows it. A variable that the registry does not have at this scale,
+    or whose table is missing, has no rows."""
+    row = available(registry, scale).where(F.col("key") == variable).first()  # one row by its key
+    if row is None or (scale, row.kind) not in tables:
+        return registry.sparkSession.createDataFrame([], "scale string, variable string, id string, value double, cls int")
+    df, id_column = tables[scale, row.kind]
+    made = stats_choropleth(df, id_column, row.source, lambda c: value(c, row), **options)
+    return made.select(F.lit(scale).alias("scale"), F.lit(variable).alias("variable"), "id", "value", "cls")
+
+
 def feature_states(features: DataFrame, id_column: str, classed: DataFrame) -> DataFrame:
     """Every feature with its class; -1 for those without a row."""
     rows = features.select(F.col(id_column).cast("string").alias("id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.values import format_code, label, labels_of, normalise, unsuppressed
+from ..functions.values import format_code, label, label_joined, labels_of, normalise, unsuppressed
 from ..operators import breaks, clean, cube, flows, outlines, spatial
 from ..sources import layers
 from ..sources.scratch import shared_folder
@@ -74,8 +74,8 @@ def parquet_roundtrip(spark, d):
 def parquet_replace(spark, d):
     path, rows = scratch(spark), stand_in(spark, d, "fx_stats").select("id", "inhabitants", "income")
     layers.replace_parquet(rows, path)
-    layers.replace_parquet(clean.null_suppressed(spark.read.parquet(path)), path)
-    return spark.read.parquet(path)
+    layers.replace_parquet(clean.null_suppressed(layers.read_current(spark, path)), path)
+    return layers.read_current(spark, path)
 
 
 @query(over("select periode, count(*) as n, (select count(*) from fx_flows) as held from fx_flows group by 1", "fx_flows"))
@@ -204,6 +204,13 @@ def label_table(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", label(F.col("c_nationkey"), names).alias("label"))
 
 
+@query("select c_custkey, o_orderstatus as label from customer left join orders on o_orderkey = c_custkey")
+def label_joined_table(spark, d):
+    """A code list as long as a table."""
+    rows, codes = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), spark.read.parquet(f"{d}/orders.parquet")
+    return label_joined(rows, "c_custkey", codes, "o_orderkey", "o_orderstatus", "label")
+
+
 # Cubes
 
 
@@ -212,6 +219,13 @@ def cube_slice(spark, d):
     return cube.cube_slice(stand_in(spark, d, "fx_cube"), "gem", "jaar", "age", ["opl", "soortbaan"], [1996, 1998])
 
 
+@query(over("select gem, jaar, age, sum(value) as value from fx_cube where age is not null and opl is null and soortbaan is null group by 1, 2, 3", "fx_cube"))
+def cube_stored_set(spark, d):
+    path, dims = scratch(spark), ["age", "opl", "soortbaan"]
+    cube.write_cube(stand_in(spark, d, "fx_cube"), dims, path)
+    return cube.stored_set(spark, path, dims, ["age"]).groupBy("gem", "jaar", "age").agg(F.sum("value").alias("value"))
+
+
 @query(over("select gem, jaar, sum(value) as total from fx_cube where age is not null and opl is null and soortbaan is null group by 1, 2", "fx_cube"))
 def cube_total(spark, d):
     return cube.cube_total(stand_in(spark, d, "fx_cube"), "gem", "jaar", "age", ["opl", "soortbaan"])
@@ -343,6 +357,15 @@ def centroid_lookup(spark, d):
     return flows.last_centroids(spark.read.schema("id string, pos int, lng double, lat double").json(path))
 
 
+@query(over("select * from c", "fx_centroids", steps=_LAST))
+def centroid_array(spark, d):
+    """The same from one document that holds an array, whose order is the load order."""
+    path = scratch(spark)
+    whole = stand_in(spark, d, "fx_centroids").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "lng", "lat"))).alias("a"))
+    whole.select(F.to_json(F.transform("a", lambda p: F.struct(p["id"].alias("id"), p["lng"].alias("lng"), p["lat"].alias("lat")))).alias("value")).write.text(path)
+    return flows.last_centroids(flows.scan_centroids(spark, path))
+
+
 @query(over("select t.origin_id, t.destination_id, t.flow_value, 'LineString' as kind, a.lng as lng1, a.lat as lat1, b.lng as lng2, b.lat as lat2 from t join c a on t.origin_id = a.id join c b on t.destination_id = b.id", "fx_flows", "fx_centroids", steps=_EDGES | _LAST | {"t": "select * from e where periode = '19951998' order by flow_value desc, origin_id, destination_id limit 500"}))
 def flow_lines(spark, d):
     made = flows.flow_lines(flows.top_flows(raw_edges(spark, d), "19951998"), stand_in(spark, d, "fx_centroids"))
@@ -367,6 +390,18 @@ def gravity_flows(spark, d):
     return made.withColumn("distance", F.bround("distance", 6)).withColumn("expected", F.bround("expected", 6))
 
 
+@query(over("select 'origin' as side, origin_id as id, round_even(sum(flow_value), 0) as total from f where origin_id <> destination_id group by 2 union all select 'destination', destination_id, round_even(sum(flow_value), 0) from f where origin_id <> destination_id group by 2", "fx_flows", steps=_FLOWS))
+def flows_balanced(spark, d):
+    """The gravity model's flows, balanced to meet each area's own totals: what the balanced flows sum to."""
+    own = raw_flows(spark, d).where("origin_id <> destination_id")
+    points = stand_in(spark, d, "fx_areas").select(F.col("code").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    seed = flows.gravity(own, points).select("origin_id", "destination_id", F.col("expected").alias("flow_value"))
+    totals_of = lambda df, k: df.groupBy(k).agg(F.sum("flow_value").alias("total"))
+    made = flows.balanced(seed, totals_of(own, "origin_id"), totals_of(own, "destination_id"), 1e-7)
+    ends = [totals_of(made, f"{s}_id").select(F.lit(s).alias("side"), F.col(f"{s}_id").alias("id"), F.bround("total", 0).alias("total")) for s in ("origin", "destination")]
+    return ends[0].union(ends[1])
+
+
 @query(over("select round_even(-regr_slope(ly, lx), 6) as beta, round_even(exp(regr_intercept(ly, lx)), 9) as scale, count(*) as n from (select ln(flow_value / (outflow * inflow)) as ly, ln(sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0))) as lx from s join (select origin_id, sum(flow_value) as outflow from s group by 1) o on s.origin_id = o.origin_id join (select destination_id, sum(flow_value) as inflow from s group by 1) i on s.destination_id = i.destination_id join fx_areas a on a.code = s.origin_id join fx_areas b on b.code = s.destination_id where s.origin_id <> s.destination_id and flow_value > 0)", "fx_flows", "fx_areas", steps=_FLOWS | {"s": "select origin_id, destination_id, sum(flow_value) as flow_value from f group by 1, 2"}))
 def gravity_fit(spark, d):
     points = stand_in(spark, d, "fx_areas").select(F.col("code").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
@@ -458,6 +493,22 @@ def choropleth_null_as_zero(spark, d):
     return maps.stats_choropleth(stand_in(spark, d, "fx_stats"), "id", "dwellings", per_1000(spark, d), null_as_zero=True)
 
 
+_NODE = f"select {CODE.format('gem')} as id, cast(work as double) as value from work where jaar = 1997"
+
+
+@query(over("select 'buurt' as scale, 'dwellings' as variable, * from (" + CLASSED + ") union all select 'gemeente', 'jobs', * from (" + re.sub(r"\b(vals|brk)\b", r"o\1", CLASSED) + ")", "fx_stats", "fx_cube", steps={"work": _TOTALS["work"]} | break_steps(f"select id, {PER_1000} as value from {CLEANED}") | {re.sub(r"\b(vals|ranked|brk)\b", r"o\1", k): re.sub(r"\b(vals|ranked|brk)\b", r"o\1", q) for k, q in break_steps(_NODE).items()}))
+def registry_layers(spark, d):
+    """Layers as a registry table says: where a variable comes from, whether it is normalised, and where it exists. The
+    third is not available at its scale and has no rows."""
+    rows = [("dwellings", "stats", "dwellings", True, ["buurt", "wijk"]), ("jobs", "node", "work", False, ["gemeente"])]
+    registry = spark.createDataFrame(rows, "key string, kind string, source string, can_normalise boolean, available_at array<string>")
+    nodes = totals(spark, d)[0].where("jaar = 1997").select(format_code(F.col("gem")).alias("id"), "work")
+    tables = {("buurt", "stats"): (stand_in(spark, d, "fx_stats"), "id"), ("gemeente", "node"): (nodes, "id"), ("gemeente", "stats"): (stand_in(spark, d, "fx_stats"), "id")}
+    value = lambda c, row: per_1000(spark, d)(c) if row.can_normalise else c
+    made = [maps.registered_layer(registry, tables, s, v, value) for s, v in (("buurt", "dwellings"), ("gemeente", "jobs"), ("gemeente", "dwellings"))]
+    return made[0].union(made[1]).union(made[2])
+
+
 @query(over("select a.code as id, coalesce(k.cls, -1) as cls from fx_areas a left join (" + CLASSED + ") k on a.code = k.id", "fx_areas", "fx_flows", steps=_EDGES | break_steps("select origin_id as id, sum(flow_value) as value from e where periode = '19951998' group by 1")))
 def choropleth_features(spark, d):
     return maps.feature_states(stand_in(spark, d, "fx_areas"), "code", choropleth_flow(spark, d))
@@ -523,6 +574,15 @@ def adhoc_sql(spark, d):
 # Geometry
 
 
+@query(over("select shape_key, case when kind > 1 then 2 else 1 end as n_rings from fx_shapes where x0 <= 80000 and x0 + 80 >= 70000 and y0 <= 455000 and y0 + case kind when 1 then 60 else 80 end >= 430000", "fx_shapes"))
+def layer_in_box(spark, d):
+    """A layer in order of a curve through the plane, read back by the bounds of its shapes."""
+    base = scratch(spark)
+    layers.write_layers(shapes(spark, d).select(F.lit("shapes").alias("layer"), "shape_key", "parts"), base, tasks=8)
+    rows = layers.scan_layer(spark, base, "shapes", (70000.0, 430000.0, 80000.0, 455000.0))
+    return rows.select("shape_key", F.size(F.flatten("parts")).alias("n_rings"))
+
+
 @query(over("select code, 'POLYGON ((' || x0::bigint || ' ' || y0::bigint || ', ' || (x0 + 12000)::bigint || ' ' || y0::bigint || ', ' || (x0 + 12000)::bigint || ' ' || (y0 + 12000)::bigint || ', ' || x0::bigint || ' ' || (y0 + 12000)::bigint || ', ' || x0::bigint || ' ' || y0::bigint || '))' as geometry_wkt from fx_areas", "fx_areas"))
 def wkt_encode(spark, d):
     return areas(spark, d).select("code", geo.to_wkt(F.col("parts")).alias("geometry_wkt"))

@@ -3,23 +3,52 @@ through Spark's own readers and writers."""
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import PARTS, from_wkt, oriented, point, to_wkt
+from ..functions.geometry import PARTS, bounds, from_wkt, oriented, point, to_wkt
 from ..operators.spatial import simplify
 
 
-def scan_layer(spark: SparkSession, base: str, layer: str) -> DataFrame:
-    """One layer of a folder that is partitioned by layer, with its parts."""
-    return spark.read.parquet(base).where(F.col("layer") == layer).withColumn("parts", from_wkt(F.col("geometry_wkt")))
+BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
 
-def write_layers(df: DataFrame, base: str) -> None:
-    """df with layer and parts, as WKT by layer."""
-    df.withColumn("geometry_wkt", to_wkt(F.col("parts"))).drop("parts").write.partitionBy("layer").parquet(base)
+def scan_layer(spark: SparkSession, base: str, layer: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """One layer of a folder that is partitioned by layer, with its parts; box: only shapes whose bounds meet it, by the
+    numbers beside the WKT, so that files and row groups elsewhere are not read."""
+    rows = spark.read.parquet(base).where(F.col("layer") == layer)
+    if box:
+        rows = rows.where((F.col("xmin") <= box[2]) & (F.col("xmax") >= box[0]) & (F.col("ymin") <= box[3]) & (F.col("ymax") >= box[1]))
+    return rows.drop(*BOUNDS).withColumn("parts", from_wkt(F.col("geometry_wkt")))
+
+
+def write_layers(df: DataFrame, base: str, tasks: int | None = None) -> None:
+    """df with layer and parts, as WKT by layer with the bounds of each shape. Rows of a layer are in order of a curve
+    through the plane (the interleaved bits of their middle's place within the layers' bounds), so that a file holds
+    neighbours. A null shape has null bounds."""
+    b = bounds(F.col("parts"))
+    df = df.withColumns({c: b[c] for c in BOUNDS})
+    whole = df.agg(F.min("xmin").alias("x"), F.min("ymin").alias("y"), F.max(F.greatest(F.col("xmax") - F.col("xmin"), F.lit(0.0))), F.max("xmax").alias("p"), F.max("ymax").alias("q")).first()
+    order = [F.col("layer")]
+    if whole.x is not None:
+        step = max(whole.p - whole.x, whole.q - whole.y) / 65535 or 1.0
+        place = lambda low, high, start: F.floor(((F.col(low) + F.col(high)) / 2 - start) / step).cast("long")
+        order.append(curve(place("xmin", "xmax", whole.x), place("ymin", "ymax", whole.y)))
+    rows = df.withColumn("geometry_wkt", to_wkt(F.col("parts"))).drop("parts")
+    dealt = rows.repartitionByRange(tasks, *order) if tasks else rows.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.partitionBy("layer").parquet(base)
+
+
+def curve(x: Column, y: Column, bits: int = 16) -> Column:
+    """The place on the curve that interleaves the bits of two whole numbers."""
+    spread = lambda v, shift: [F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1).cast("long")), 2 * k + shift) for k in range(bits)]
+    total = F.lit(0).cast("long")
+    for bit in spread(x, 0) + spread(y, 1):
+        total = total.bitwiseOR(bit)
+    return total
 
 
 def write_layer_csv(df: DataFrame, path: str) -> None:
@@ -27,20 +56,37 @@ def write_layer_csv(df: DataFrame, path: str) -> None:
     df.withColumn("geometry_wkt", to_wkt(F.col("parts"))).drop("parts").write.option("header", True).csv(path)
 
 
-def replace_parquet(df: DataFrame, path: str) -> None:
-    """df at path in place of what was there: written beside it first, then renamed, so that readers meet the old or
-    the new table and a failed job leaves the old one."""
-    jvm = df.sparkSession.sparkContext._jvm
-    old = jvm.org.apache.hadoop.fs.Path(path)
-    new, away = (jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.{x}") for x in ("new", "old"))
-    df.write.parquet(new.toString())
-    files = old.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(old) and not files.rename(old, away):
-        raise OSError(f"cannot move {path} away")
-    if not files.rename(new, old):
-        files.rename(away, old)
-        raise OSError(f"cannot put the new table at {path}")
-    files.delete(away, True)
+#: The file that names a table's present version.
+POINTER = "CURRENT"
+
+
+def replace_parquet(df: DataFrame, path: str, keep: int = 2) -> None:
+    """df as the new version of the table at path, which read_current reads.
+
+    A version is a folder of its own; the file POINTER names the present one and is replaced by one rename, so a reader
+    meets the old or the new table and a job that fails on the way leaves the old one. The last `keep` versions stay, for
+    readers that are still on the one before. On object stores without an atomic rename the pointer is a copy.
+    """
+    spark, version = df.sparkSession, f"v-{time.time_ns():020}-{uuid.uuid4().hex[:8]}"
+    jvm = spark.sparkContext._jvm
+    of = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files, context = of(POINTER).getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(of(POINTER).getFileSystem(conf).getUri(), conf)
+    df.write.parquet(of(version).toString())
+    out = files.create(of(f"{version}.next"), False)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(of(f"{version}.next")), files.makeQualified(of(POINTER)), how)
+    held = sorted(f.getPath().getName() for f in files.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.isDirectory())
+    for old in [v for v in held if v.startswith("v-") and v <= version][:-keep]:
+        files.delete(of(old), True)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The present version of a table that replace_parquet writes."""
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}")
 
 
 def save_table(df: DataFrame, name: str, path: str | None = None) -> int:
@@ -61,9 +107,14 @@ def register_views(scales: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def scan_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    """A source query; its filter and grouping run in the database."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def scan_jdbc(spark: SparkSession, url: str, query: str, by: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """A source query; its filter and grouping run in the database. by: (whole-number column of the query's result, low,
+    high, tasks) reads it in ranges of that column, one connection a task; rows beyond low and high are read too."""
+    if by is None:
+        return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    column, low, high, tasks = by
+    ranges = {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": tasks}
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **ranges, **options).load()
 
 
 def scan_flows_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("source", "sink", "count")) -> DataFrame:
@@ -91,11 +142,13 @@ def write_features(made: DataFrame, path: str) -> None:
 
 
 def write_collection(made: DataFrame, path: str, most: int = 100_000) -> None:
-    """One FeatureCollection document. A document is one task: layers of more than `most` features are refused."""
-    if (n := made.count()) > most:
-        raise ValueError(f"{n} features in one document: write newline-delimited features instead")
-    whole = made.coalesce(1).agg(F.array_join(F.collect_list("feature"), ",").alias("f"))
-    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}"))).write.text(path)
+    """FeatureCollection documents. One document is one task, so a layer of more than `most` features becomes several
+    documents of some `most` features each, dealt by id, which read_collection reads as one."""
+    n = -(-made.count() // most)
+    at = F.pmod(F.xxhash64("id", "feature"), F.lit(max(n, 1)))
+    whole = made.groupBy(at.alias("_document")).agg(F.array_join(F.collect_list("feature"), ",").alias("f"))
+    whole = whole if n else made.agg(F.lit("").alias("f"))
+    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}"))).repartition(max(n, 1), "f").write.text(path)
 
 
 def _shapes(rows: DataFrame) -> DataFrame:

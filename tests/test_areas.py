@@ -3,8 +3,8 @@
 import json
 import math
 import os
-import subprocess
-import sys
+import random
+import threading
 import time
 
 import duckdb
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from arealoom.functions import geometry as geo
 from arealoom.functions import values
-from arealoom.operators import breaks, clean, cube, flows, spatial
+from arealoom.operators import breaks, clean, cube, flows, outlines, spatial
 from arealoom.plans import maps, queries, scales
 from arealoom.sources import layers
 
@@ -80,27 +80,22 @@ def test_breaks_and_classes(spark):
 def test_break_edges_are_evaluated_once(spark):
     rows = spark.range(4000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
     plan = breaks.group_breaks(rows, ["g"], "v")._jdf.queryExecution().toString()
-    assert "percentile_approx" not in plan and "parquet" in plan.lower()
+    assert "percentile_approx" not in plan and "parquet" in plan.lower() and "Range" not in plan
 
 
-SEVERAL_EXECUTORS = """
-from pyspark.sql import SparkSession, functions as F
-from arealoom.operators import breaks
-conf = {"spark.master": "local-cluster[3,1,1024]", "spark.sql.shuffle.partitions": "40", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": FOLDER}
-conf |= {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
-spark = SparkSession.builder.config(map=conf).getOrCreate()
-n = 2_000_003
-rows = spark.range(n).select(F.lit(1).alias("g"), (F.col("id") * 7919 % n).cast("double").alias("v"))
-print("BREAKS", breaks.group_breaks(rows, ["g"], "v").first().breaks == [float((i + 1) * n // 4) for i in range(3)])
-"""
-
-
-def test_breaks_on_several_executors(tmp_path):
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = f"FOLDER = 'file://{tmp_path}'{SEVERAL_EXECUTORS}"
-    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}
-    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=600)
-    assert "BREAKS True" in done.stdout, done.stderr[-2000:]
+@pytest.mark.parametrize("sorted_, buckets", [(40, 8), (1, 2)])
+def test_selection_in_rounds(spark, monkeypatch, sorted_, buckets):
+    """Values of all magnitudes, a task sorts a few of them only."""
+    monkeypatch.setattr(breaks, "SORTED", sorted_)
+    monkeypatch.setattr(breaks, "BUCKETS", buckets)
+    rng = random.Random(5)
+    values_ = {"wide": [rng.choice([-90000, -1, 1]) * 10 ** rng.uniform(-300, 0) for _ in range(700)] + [0.0] * 9, "even": [float(i * 7919 % 2003) for i in range(2003)], "same": [5.5] * 300}
+    values_["close"] = [1.0 + i * 2**-52 for i in range(500)]
+    rows = spark.createDataFrame([(k, v) for k, vs in values_.items() for v in vs], "g string, v double")
+    got = {r.g: r.breaks for r in breaks.group_breaks(rows, ["g"], "v", 7).collect()}
+    for k, vs in values_.items():
+        own = sorted(v for v in vs if v > -99990)
+        assert got[k] == [own[min(math.floor((i + 1) / 7 * len(own)), len(own) - 1)] for i in range(6)]
 
 
 def test_quantiles_hold_no_whole_column(spark, small_dir):
@@ -177,19 +172,19 @@ def test_measures_and_predicates(spark):
 
 
 def test_intersects(spark):
-    def pair(one, two):
-        both = shape(spark, *one).crossJoin(shape(spark, *two).withColumnRenamed("parts", "o"))
-        ways = both.select(geo.intersects(F.col("parts"), F.col("o")), geo.intersects(F.col("o"), F.col("parts"))).first()
-        tiled = [spatial.touching(shape(spark, *a, k=1), shape(spark, *b), "k", t).count() for a, b in ((one, two), (two, one)) for t in (1.5, 100.0)]
-        assert ways[0] == ways[1] and set(tiled) == {int(ways[0])}
-        return ways[0]
-
-    assert [pair([[SQUARE]], [[move(SQUARE, *p)]]) for p in ((4, 0), (4, 4), (5, 0), (1, 1))] == [True, True, False, True]
     small = [(1.5, 1.5), (2.5, 1.5), (2.5, 2.5), (1.5, 1.5)]
-    assert pair([[SQUARE]], [[small]]) and not pair([[SQUARE]], [[move(L_SHAPE, 4.5, 0)]])
-    assert not pair([[SQUARE, HOLE]], [[small]])
+    pairs = [([[SQUARE]], [[move(SQUARE, *p)]], met) for p, met in (((4, 0), True), ((4, 4), True), ((5, 0), False), ((1, 1), True))]
+    pairs += [([[SQUARE]], [[small]], True), ([[SQUARE]], [[move(L_SHAPE, 4.5, 0)]], False), ([[SQUARE, HOLE]], [[small]], False)]
     # only the second part lies wholly inside the other shape
-    assert pair([[move(SQUARE, 50, 50)], [small]], [[SQUARE]]) and not pair([[move(SQUARE, 50, 50)], [small]], [[SQUARE, HOLE]])
+    pairs += [([[move(SQUARE, 50, 50)], [small]], [[SQUARE]], True), ([[move(SQUARE, 50, 50)], [small]], [[SQUARE, HOLE]], False)]
+    apart = lambda n, s: [[ring(move(r, 300 * n, 0)) for r in p] for p in s]
+    rows = spark.createDataFrame([(n, apart(n, one), apart(n, two)) for n, (one, two, _) in enumerate(pairs)], f"k int, parts {geo.PARTS}, o {geo.PARTS}").cache()
+    ways = rows.select("k", geo.intersects(F.col("parts"), F.col("o")).alias("w"), geo.intersects(F.col("o"), F.col("parts")).alias("v")).collect()
+    want = {n for n, p in enumerate(pairs) if p[2]}
+    assert {r.k for r in ways if r.w} == {r.k for r in ways if r.v} == want
+    one, two = rows.select("k", "parts"), rows.select("k", F.col("o").alias("parts"))
+    for a, b, tile in ((one, two, 1.5), (two, one, 100.0)):
+        assert {r.k for r in spatial.touching(a, b, "k", tile).collect()} == want
 
 
 def test_texts_keep_parts(spark):
@@ -228,6 +223,85 @@ def dissolved(spark, groups):
     return {r.g: (r.n, r.rings, r.area) for r in made.select("g", F.size("parts").alias("n"), F.size(F.flatten("parts")).alias("rings"), geo.area(F.col("parts")).alias("area")).collect()}
 
 
+def test_dissolve_of_shapes_that_overlap(spark):
+    """Boxes on a grid against counted cells, triangles against a sample of points."""
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    groups = {
+        "overlap": [[[box(0, 0, 10, 10)]], [[box(5, 5, 10, 10)]]], "inside": [[[box(0, 0, 10, 10)]], [[box(2, 2, 2, 2)]]], "cross": [[[box(0, 4, 10, 2)]], [[box(4, 0, 2, 10)]]],
+        "near": [[[box(0, 0, 10, 10)]], [[[(0, 0), (5, 0), (10, 0), (10, 10), (0, 10), (0, 0)]]], [[box(10, 0, 10, 10)]]],
+        "hole": [[[box(0, 0, 10, 10), box(3, 3, 4, 4)]], [[box(4, 4, 2, 2)]]], "frame": [[[box(*b)]] for b in ((0, 0, 10, 2), (0, 8, 10, 2), (0, 0, 2, 10), (8, 0, 2, 10))],
+    }
+    rng = random.Random(1)
+    grids, triangles = {}, {}
+    for k in range(8):
+        boxes = [(rng.randrange(40), rng.randrange(40), rng.randrange(1, 15), rng.randrange(1, 15)) for _ in range(12)]
+        groups[f"grid{k}"], grids[f"grid{k}"] = [[[box(*b)]] for b in boxes], float(len({(x + i, y + j) for x, y, w, h in boxes for i in range(w) for j in range(h)}))
+        own = [[(rng.random() * 40, rng.random() * 40) for _ in range(3)] for _ in range(8)]
+        groups[f"tri{k}"], triangles[f"tri{k}"] = [[[[*t, t[0]]]] for t in own], own
+    got = dissolved(spark, groups)
+    assert {k: got[k] for k in list(groups)[:6]} == {"overlap": (1, 1, 175.0), "inside": (1, 1, 100.0), "cross": (1, 1, 36.0), "near": (1, 1, 200.0), "hole": (2, 3, 88.0), "frame": (1, 2, 64.0)}
+    assert {k: got[k][2] for k in grids} == grids
+    spots = [(rng.random() * 40, rng.random() * 40) for _ in range(20_000)]
+    left = lambda p, q, s: (q[0] - p[0]) * (s[1] - p[1]) - (q[1] - p[1]) * (s[0] - p[0]) > 0
+    for k, own in triangles.items():
+        held = sum(any(left(t[0], t[1], s) == left(t[1], t[2], s) == left(t[2], t[0], s) for t in own) for s in spots)
+        assert got[k][2] == pytest.approx(held / len(spots) * 1600, abs=30)
+
+
+def test_clip_of_concave_shapes(spark):
+    u = [(0, 0), (30, 0), (30, 30), (20, 30), (20, 10), (10, 10), (10, 30), (0, 30), (0, 0)]
+    of = lambda parts, *box: [[len(p), r.a] for r in spatial.clip_to_box(shape(spark, *parts), *map(float, box)).select("parts", geo.area(F.col("parts")).alias("a")).collect() for p in [r.parts]]
+    assert of([[u]], 0, 20, 30, 30) == of([[u[::-1]]], 0, 20, 30, 30) == [[2, 200.0]]
+    assert of([[u]], -5, -5, 35, 35) == [[1, 700.0]] and of([[u]], -1, 5, 31, 15) == [[1, 250.0]]
+    assert of([[SQUARE, HOLE]], 2, 2, 9, 9) == [[1, 3.0]] and of([[SQUARE, HOLE]], 0.5, 0.5, 3.5, 3.5) == [[1, 5.0]] and of([[SQUARE, HOLE]], 1.5, 1.5, 2.5, 2.5) == []
+    assert of([[SQUARE]], 0, 0, 4, 4) == [[1, 16.0]] and of([[SQUARE]], 4, 0, 8, 4) == [] and of([[SQUARE]], 1, 1, 2, 2) == [[1, 1.0]]
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [[ring(SQUARE)]])], f"k int, parts {geo.PARTS}")
+    assert [r.k for r in spatial.clip_to_box(rows, 0.0, 0.0, 9.0, 9.0).collect()] == [3]
+
+
+def test_simplified_neighbours_keep_their_borders(spark):
+    """A grid of cells with crooked borders and an island: the sum of areas and the shared vertices stay."""
+    rng = random.Random(2)
+    corner = {(i, j): (10.0 * i, 10.0 * j) for i in range(5) for j in range(5)}
+    line = {}
+    for (i, j), (di, dj) in ((c, d) for c in corner for d in ((1, 0), (0, 1))):
+        if (i + di, j + dj) in corner:
+            line[(i, j), (i + di, j + dj)] = [corner[i, j], *((10 * i + di * k + dj * rng.uniform(-0.4, 0.4), 10 * j + dj * k + di * rng.uniform(-0.4, 0.4)) for k in range(1, 10)), corner[i + di, j + dj]]
+    way = lambda p, q: line[p, q] if (p, q) in line else line[q, p][::-1]
+    cells = [(i, j, [x for p, q in (((i, j), (i + 1, j)), ((i + 1, j), (i + 1, j + 1)), ((i + 1, j + 1), (i, j + 1)), ((i, j + 1), (i, j))) for x in way(p, q)[:-1]]) for i in range(4) for j in range(4)]
+    island = [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)]
+    rows = [(10 * i + j, [[ring([*r, r[0]]), *([ring(island)] if (i, j) == (0, 0) else [])]]) for i, j, r in cells] + [(99, [[ring(island)]]), (100, None), (101, [])]
+    made = {r.k: r for r in outlines.simplify_shared(spark.createDataFrame(rows, f"k int, parts {geo.PARTS}"), 1.0).withColumn("a", geo.area(F.col("parts"))).collect()}
+    assert made[100].parts is None and made[101].parts == [] and len(made[99].parts[0][0]) == 5 and len(made[0].parts[0]) == 2
+    assert all(len(made[10 * i + j].parts[0][0]) == 5 for i, j, _ in cells)  # small teeth go, the corners stay
+    assert sum(r.a for r in made.values() if r.parts) == pytest.approx(1600.0)
+    kept = {r.k: r for r in outlines.simplify_shared(spark.createDataFrame(rows, f"k int, parts {geo.PARTS}"), 0.05).collect()}
+    points = lambda k: {tuple(p) for p in kept[k].parts[0][0]}
+    for i, j, r in cells:
+        for other in ((i + 1, j), (i, j + 1)):
+            if max(other) < 4:
+                border = set(way(*(((i + 1, j), (i + 1, j + 1)) if other[0] > i else ((i, j + 1), (i + 1, j + 1)))))
+                assert points(10 * i + j) & border == points(10 * other[0] + other[1]) & border
+
+
+def test_arcs_that_would_cross_are_simplified_less(spark):
+    """A spike of a neighbour reaches into a bay that the plain simplification closes."""
+    bay = [(0, 0), (10, 0), (10, 4), (6, 4), (5, 1), (4, 4), (0, 4), (0, 0)]
+    spike = [(5, 3), (5.2, 8), (4.8, 8), (5, 3)]
+    rows = spark.createDataFrame([(1, [[ring(bay)]]), (2, [[ring(spike)]])], f"k int, parts {geo.PARTS}")
+    made = outlines.simplify_shared(rows, 3.5)
+    assert made.count() == 2
+    one, two = (made.where(f"k = {k}").select(F.col("parts").alias(f"p{k}")) for k in (1, 2))
+    assert not one.crossJoin(two).select(geo.intersects(F.col("p1"), F.col("p2"))).first()[0]
+
+
+def test_a_flat_ring_is_held_once(spark):
+    n = 5000
+    flat = [(i * 0.04, 0.2 + 0.1 * (i % 2)) for i in range(n)] + [(n * 0.04, 0.9), (0, 0.9), (0, 0.2)]
+    held = spatial.area_tiles(shape(spark, [flat], code="a"), "code", 1.0).select(F.sum(F.coalesce(F.size("_sides"), F.lit(0)))).first()[0]
+    assert held < 2 * n
+
+
 def test_dissolve(spark):
     cells = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
     unit, half = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], [(0, 0), (4, 0), (4, 2), (0, 2), (0, 0)]
@@ -273,11 +347,11 @@ def test_many_points_in_an_area_of_many_vertices(spark):
 def test_exports(spark, tmp_path):
     path = str(tmp_path / "t")
     layers.replace_parquet(spark.range(5), path)
-    layers.replace_parquet(spark.read.parquet(path).where("id > 2"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4] and os.listdir(tmp_path) == ["t"]
+    layers.replace_parquet(layers.read_current(spark, path).where("id > 2"), path)
+    assert sorted(r.id for r in layers.read_current(spark, path).collect()) == [3, 4]
     with pytest.raises(Exception, match="boom"):
         layers.replace_parquet(spark.range(3).select(F.raise_error(F.lit("boom")).cast("long").alias("id")), path)
-    assert spark.read.parquet(path).count() == 2
+    assert layers.read_current(spark, path).count() == 2
     assert layers.save_table(spark.range(7), "seven", f"file:{tmp_path}/seven") == 7 and layers.save_table(spark.range(3), "seven", f"file:{tmp_path}/three") == 3
     spark.sql("drop table seven")
     assert clean.schema_difference(spark.range(1).selectExpr("id", "1 as a", "2 as b"), spark.range(1).selectExpr("id", "3 as c", "2 as b")) == (["a"], ["c"])
@@ -291,8 +365,61 @@ def test_exports(spark, tmp_path):
     layers.write_collection(layers.features(layer, "code", layers.geojson(F.col("parts")), ["n"]), whole)
     rows = layers.read_collection(spark, whole, "n int").orderBy("id").collect()
     assert [(r.id, r.n, [[len(x) for x in p] for p in r.parts]) for r in rows] == [("a", 1, [[5]]), ("b", 2, [[5, 5], [5]])]
-    with pytest.raises(ValueError, match="2 features"):
-        layers.write_collection(layers.features(layer, "code", layers.geojson(F.col("parts")), ["n"]), whole, most=1)
+    several = str(tmp_path / "d")
+    layers.write_collection(layers.features(spark.range(40).withColumn("x", F.lit(1)), "id", F.lit(None).cast("string"), ["x"]), several, most=7)
+    assert sorted(int(r.id) for r in layers.read_collection(spark, several, "x int").collect()) == list(range(40))
+    assert len([f for f in os.listdir(several) if f.endswith(".txt")]) > 3
+
+
+def test_readers_during_replacements(spark, tmp_path):
+    path, seen, stop = str(tmp_path / "t"), [], threading.Event()
+    layers.replace_parquet(spark.range(1), path)
+
+    def read():
+        while not stop.is_set():
+            seen.append(layers.read_current(spark, path).count())
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(2, 22):
+        layers.replace_parquet(spark.range(n), path, keep=50)
+    stop.set()
+    reader.join()
+    assert seen == sorted(seen) and 1 <= seen[0] and len(seen) > 3 and layers.read_current(spark, path).count() == 21
+    layers.replace_parquet(spark.range(3), path, keep=1)
+    assert len([f for f in os.listdir(path) if f.startswith("v-")]) == 1
+
+
+def test_layers_and_cubes_read_what_they_need(spark, tmp_path):
+    shapes = spark.range(4000).select(F.lit("l").alias("layer"), "id", geo.rectangle(*[F.pmod(F.col("id") * m, F.lit(997)) + w for w in (0, 1) for m in (31, 57)]).alias("parts"))
+    layers.write_layers(shapes, str(tmp_path / "l"), tasks=16)
+    box = (0.0, 0.0, 100.0, 100.0)
+    rows = layers.scan_layer(spark, str(tmp_path / "l"), "l", box)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(xmin,100.0)" in plan and "PartitionFilters: [isnotnull(layer" in plan
+    b = geo.bounds(F.col("parts"))
+    want = {r.id for r in shapes.where((b["xmin"] <= 100) & (b["ymin"] <= 100)).collect()}
+    assert {r.id for r in rows.collect()} == want
+    files = {r.f for r in rows.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(files) < 8  # of 16: neighbours share a file
+    cells = spark.createDataFrame([(1, None, 5), (None, "x", 6), (2, "y", 7), (None, None, 8)], "a int, b string, value int")
+    cube.write_cube(cells, ["a", "b"], str(tmp_path / "c"))
+    for kept, want in ((["a"], [5]), (["b"], [6]), (["b", "a"], [7]), ([], [8])):
+        one = cube.stored_set(spark, str(tmp_path / "c"), ["a", "b"], kept)
+        assert [r.value for r in one.collect()] == want and "PartitionFilters: [isnotnull(kept" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_balanced_flows(spark):
+    seed = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0), ("b", "y", 1.0), ("b", "z", 5.0), ("c", "q", 1.0)], "origin_id string, destination_id string, flow_value double")
+    out = spark.createDataFrame([("a", 10.0), ("b", 20.0)], "origin_id string, total double")
+    into = spark.createDataFrame([("x", 12.0), ("y", 11.0), ("z", 7.0)], "destination_id string, total double")
+    made = flows.balanced(seed, out, into).collect()
+    sums = lambda k: {i: sum(r.flow_value for r in made if r[k] == i) for i in {r[k] for r in made}}
+    assert sums("origin_id") == pytest.approx({"a": 10.0, "b": 20.0}) and sums("destination_id") == pytest.approx({"x": 12.0, "y": 11.0, "z": 7.0})
+    with pytest.raises(ValueError, match="origins sum"):
+        flows.balanced(seed, out, into.where("total > 7"))
+    with pytest.raises(ValueError, match="not met"):
+        flows.balanced(seed.where("destination_id <> 'y' or origin_id <> 'b'").where("origin_id <> 'a' or destination_id <> 'x'"), out, into, most_rounds=3)
 
 
 def test_jdbc(spark, tmp_path):
@@ -303,6 +430,8 @@ def test_jdbc(spark, tmp_path):
     rows.write.format("jdbc").options(url=url, dbtable="cube", **driver).save()
     got = layers.scan_jdbc(spark, url, 'select "gem", sum("n") as total from cube where "jaar" = 2012 group by "gem"', **driver)
     assert sorted(map(tuple, got.collect())) == [(1, 12), (2, 1)]
+    parts = layers.scan_jdbc(spark, url, 'select "gem", sum("n") as total from cube group by "gem"', by=('"gem"', 1, 3, 2), **driver)
+    assert parts.rdd.getNumPartitions() == 2 and sorted(map(tuple, parts.collect())) == [(1, 12), (2, 10)]
 
 
 def test_feature_collection(spark, tmp_path):

@@ -21,7 +21,7 @@ def test_entry_without_the_llm_folders(tmp_path, pipeline):
             shutil.copytree(at, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         elif os.path.exists(at):
             shutil.copy(at, tmp_path / name)
-    code = "import __spark_entry__ as e, tests.test_areas; print(len(e.queries()), set(e.queries()) == set(e.oracle_sql()), 'pipeline' in e.queries())"
+    code = "import __spark_entry__ as e, tests.test_areas, tests.cluster; print(len(e.queries()), set(e.queries()) == set(e.oracle_sql()), 'pipeline' in e.queries())"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{os.environ.get('PYTHONPATH', '')}"}, capture_output=True, text=True, timeout=300)
     n, same, piped = done.stdout.split() or [done.stderr, "", ""]
     assert int(n) > 70 and (same, piped) == ("True", "False")
