@@ -59,17 +59,17 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, places: list[
     good = rows.where(valid(F.col(value))).select(*keys, F.col(value).cast("double").alias("v"))
     counts = staged(good.groupBy(*keys, "v").agg(F.count("*").alias("n")))
     held = [F.count("*").alias("values"), F.min("v").alias("low"), F.max("v").alias("high")]
-    sums = counts.groupBy(*keys).agg(F.sum("n").alias("total"), *held)
+    sums = staged(counts.groupBy(*keys).agg(F.sum("n").alias("total"), *held))
     wanted = sums.where(F.col("total") >= least).select("*", F.posexplode(F.array(*places)).alias("i", "place"))
     wanted = wanted.select(*keys, "i", "place", F.lit(0).cast("long").alias("before"), "values", "low", "high")
-    slot, at = [*keys, "low", "high"], F.col("place") - F.col("before")
-    while (wanted.agg(F.max("values")).first()[0] or 0) > SORTED:
+    slot, at, most = [*keys, "low", "high"], F.col("place") - F.col("before"), sums
+    while (most.agg(F.max("values")).first()[0] or 0) > SORTED:
         dealt = in_slots(counts, wanted.where(F.col("values") > SORTED), keys)
         per = dealt.groupBy(*slot, bucket(F.col("v"), F.col("low"), F.col("high")).alias("b")).agg(F.sum("n").alias("own"), F.count("*").alias("_values"), F.min("v").alias("_low"), F.max("v").alias("_high"))
         per = per.withColumn("start", F.sum("own").over(Window.partitionBy(*slot).orderBy("b")) - F.col("own"))
         cut = null_safe(wanted, per, slot).where((at >= F.col("start")) & (at < F.col("start") + F.col("own")))
         cut = cut.select(*keys, "i", "place", (F.col("before") + F.col("start")).alias("before"), F.col("_values").alias("values"), F.col("_low").alias("low"), F.col("_high").alias("high"))
-        wanted = staged(cut.union(wanted.where(F.col("values") <= SORTED)))
+        wanted = most = staged(cut.union(wanted.where(F.col("values") <= SORTED)))
     ranked = in_slots(counts, wanted, keys).select(*slot, "v", "n", F.sum("n").over(Window.partitionBy(*slot).orderBy("v")).alias("upto"))
     found = null_safe(ranked, wanted, slot).where((at < F.col("upto")) & (at >= F.col("upto") - F.col("n")))
     return sums.select(*keys, "total"), found.select(*keys, "i", "place", "v")

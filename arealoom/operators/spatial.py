@@ -34,10 +34,11 @@ def area_tiles(areas: DataFrame, key: str, tile: float, parts: str = "parts") ->
     tiles = tiles.agg(F.collect_list("_e").alias("_sides"), F.sum(F.abs(passed(e, i, j, tile))).alias("_own"))
     row = Window.partitionBy(key, "_shape", "_j").orderBy("_i")
     tiles = tiles.withColumns({"_sum": F.sum("_own").over(row), "_next": F.coalesce(F.lead("_i").over(row), i + 1)})
-    touched = tiles.select(key, "_i", "_j", ((F.col("_sum") - F.col("_own")) % 2 == 1).alias("_odd"), "_sides")
-    between = tiles.where((F.col("_sum") % 2 == 1) & (F.col("_next") > i + 1))
-    whole = between.select(key, F.explode(F.sequence(i + 1, F.col("_next") - 1)).alias("_i"), "_j", F.lit(True).alias("_odd"), F.lit(None).cast(tiles.schema["_sides"].dataType).alias("_sides"))
-    return touched.union(whole)
+    whole = F.when(F.col("_sum") % 2 == 1, F.filter(F.sequence(i + 1, F.greatest(F.col("_next") - 1, i + 1)), lambda n: n < F.col("_next")))
+    sides = tiles.schema["_sides"].dataType
+    own = F.struct(i.alias("_i"), ((F.col("_sum") - F.col("_own")) % 2 == 1).alias("_odd"), F.col("_sides"))
+    between = F.transform(F.coalesce(whole, F.array().cast("array<long>")), lambda n: F.struct(n.alias("_i"), F.lit(True).alias("_odd"), F.lit(None).cast(sides).alias("_sides")))
+    return tiles.select(key, "_j", F.explode(F.concat(F.array(own), between)).alias("_t")).select(key, "_t._i", "_j", "_t._odd", "_t._sides")
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float, x: str = "x", y: str = "y", parts: str = "parts") -> DataFrame:

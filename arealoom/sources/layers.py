@@ -3,6 +3,7 @@ through Spark's own readers and writers."""
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 
@@ -71,17 +72,23 @@ def replace_parquet(df: DataFrame, path: str, keep: int = 2) -> None:
     jvm = spark.sparkContext._jvm
     of = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    files, context = of(POINTER).getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(of(POINTER).getFileSystem(conf).getUri(), conf)
+    files = jvm.org.apache.hadoop.fs.FileSystem.newInstance(of(POINTER).toUri(), conf)
+    files.setWriteChecksum(False)  # a checksum beside the pointer would be a second file to rename
     df.write.parquet(of(version).toString())
     out = files.create(of(f"{version}.next"), False)
     out.write(bytearray(version, "utf-8"))
     out.close()
-    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(files.makeQualified(of(f"{version}.next")), files.makeQualified(of(POINTER)), how)
+    next_, pointer = (files.makeQualified(of(name)) for name in (f"{version}.next", POINTER))
+    if files.getUri().getScheme() == "file":
+        os.replace(next_.toUri().getPath(), pointer.toUri().getPath())
+    else:
+        how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(next_, pointer, how)
     held = sorted(f.getPath().getName() for f in files.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.isDirectory())
     for old in [v for v in held if v.startswith("v-") and v <= version][:-keep]:
         files.delete(of(old), True)
+    files.close()
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
@@ -143,12 +150,13 @@ def write_features(made: DataFrame, path: str) -> None:
 
 def write_collection(made: DataFrame, path: str, most: int = 100_000) -> None:
     """FeatureCollection documents. One document is one task, so a layer of more than `most` features becomes several
-    documents of some `most` features each, dealt by id, which read_collection reads as one."""
-    n = -(-made.count() // most)
-    at = F.pmod(F.xxhash64("id", "feature"), F.lit(max(n, 1)))
-    whole = made.groupBy(at.alias("_document")).agg(F.array_join(F.collect_list("feature"), ",").alias("f"))
-    whole = whole if n else made.agg(F.lit("").alias("f"))
-    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}"))).repartition(max(n, 1), "f").write.text(path)
+    documents of some `most` features each, dealt by id to folders, which read_collection reads as one."""
+    n, document = -(-made.count() // most), F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}"))
+    if n <= 1:
+        made.coalesce(1).agg(document.alias("value")).write.text(path)
+    else:
+        at = F.pmod(F.xxhash64("id", "feature"), F.lit(n))
+        made.groupBy(at.alias("document")).agg(document.alias("value")).write.partitionBy("document").text(path)
 
 
 def _shapes(rows: DataFrame) -> DataFrame:
