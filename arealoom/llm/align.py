@@ -3,20 +3,20 @@
 A text with a space before it is encoded by a byte-level BPE (A) and by a piece BPE with byte fallback (B). Offsets
 where tokens of both end cut them into groups; an A and a B token that end together are a link.
 
-Both encoders work on chunks, cut before each single space or newline between two characters that are no space: no
-token of either spans such a place (`Aligner` checks B's vocabulary for it; in A's pattern a space can only lead), so a
-chunk's groups are the same in any text and are remembered. Chunks of common characters are encoded by the ranks of
-A's merges, which give the same ids (checked when A is loaded), others by the library that A's file is made for.
+Texts are encoded once and their ids are staged, two bytes each for these vocabularies. Very long texts are cut before
+single spaces or newlines between two characters that are no space: no token of either spans such a place (`Aligner`
+checks B's vocabulary for it; in A's pattern a space can only lead). What is of common characters is encoded by the
+ranks of A's merges, which give the same ids (checked when A is loaded), the rest by the library that A's file is for.
 
 Counts: pairs of linked ids are vocabulary, not corpus, for of two tokens that end together the shorter is a suffix of
 the longer: their number has a bound that `most_pairs` computes from the two vocabularies. The distinct pairs get a
 minimal perfect hash (keys that fall alone into a place of a level take its rank, the others go to the next level);
 partitions sum their local counts into dense vectors by hash, vectors are summed in a tree, and a second pass aligns
-each text again and looks its links up, comparing the pair held at each place.
+each document again and looks its links up, comparing the pair held at each place.
 
 Edge cases: a text that is null or empty, or that a tokenizer does not give back byte by byte, has no tokens: zeros and
 an empty `groups`. Strings of special tokens are plain text. Repeated rows count as often as they occur; long texts
-are taken chunk by chunk, whole; a null doc_id passes through; an empty table gives an empty result. Input columns
+are taken segment by segment, whole; a null doc_id passes through; an empty table gives an empty result. Input columns
 named as the added ones are replaced, others of any name come through.
 """
 
@@ -25,26 +25,30 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
+from array import array
 from dataclasses import dataclass
-from itertools import batched, chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from .shared import nested, parts, staged
+from .shared import nested, parts, quoted, staged
 
 #: Before a space or newline on its own: neither neighbour is a space to any of the engines involved.
 CUT = re.compile(r"(?<=[^\s\u180e\u200b])(?=[ \n][^\s\u180e\u200b])")
-#: Characters that all engines class alike; chunks with others go to the slower library that the vocabulary is for.
+#: Characters that all engines class alike; what holds others goes to the slower library that the vocabulary is for.
 COMMON = re.compile(r"[\n -~\u00c0-\u024f]+")
+#: Columns of packed ids.
+IDS = ("a_ids", "b_ids")
 #: Counted for each text; `groups` is the text of its groups.
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: A pair of ids is a * WIDTH + b.
 WIDTH = 1 << 24
+#: Characters of a text that are encoded at once, if it can be cut there.
+LONG = 1 << 16
 #: Slots of one piece of a dense vector; vectors summed at once.
 SLOTS, FAN = 1 << 15, 16
 
@@ -57,7 +61,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Aligner:
-    """Two tokenizers, chunk by chunk."""
+    """Two tokenizers and where their tokens end together."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,55 +83,65 @@ class Aligner:
         self.space = self.b.piece_to_id("▁")
         self.whole = any("▁" in p.lstrip("▁") or ("\n" in p and p != "\n") for p in pieces)  # a piece could span a cut
         self.fast = ranked_encoder(model, self.a_bytes)
-        self.a_text, self.b_text = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
-        self.a_sizes, self.b_sizes = ([len(x) for x in t] for t in (self.a_bytes, self.b_bytes))
-
-    def chunks(self, text: str) -> list[str]:
-        """A space and the text, in pieces that begin with a space or newline."""
-        return [f" {text}"] if self.whole else CUT.split(f" {text}")
-
-    def groups(self, chunks: list[str]) -> list:
-        """Of each chunk (groups as text, linked pairs, number of A's and of B's tokens); None where either tokenizer
-        loses a byte of it."""
-        common = COMMON.fullmatch
-        a = [self.fast(c) if self.fast and common(c) else self.a.encode(c, add_special_tokens=False).ids for c in chunks]
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1) if chunks else []
-        of_a, of_b, made = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
-        for c, x, y in zip(chunks, a, b, strict=True):
-            if c[0] != " ":  # B puts a space before each text, which stays a piece of its own before a newline
-                y = y[1:] if y[:1] == [self.space] else []
-            data = c.encode()
-            made.append(self.cut(x, y) if b"".join(map(of_a, x)) == data == b"".join(map(of_b, y)) else None)
-        return made
-
-    def cut(self, a: list[int], b: list[int]) -> tuple[str, list[int], int, int]:
-        name_a, name_b = self.a_text, self.b_text
-        if len(a) == 1 or len(b) == 1:
-            return f"{','.join([name_a[i] for i in a])}|{','.join([name_b[i] for i in b])}", [a[-1] * WIDTH + b[-1]], len(a), len(b)
-        size_a, size_b, text, pairs = self.a_sizes, self.b_sizes, [], []
-        y = from_a = from_b = ahead = 0  # ahead: bytes that A's tokens so far are ahead of B's up to y
-        for x, token in enumerate(a, 1):
-            ahead += size_a[token]
-            while ahead > 0:
-                ahead -= size_b[b[y]]
-                y += 1
-            if not ahead:
-                if x - from_a == 1 == y - from_b:
-                    text.append(f"{name_a[token]}|{name_b[b[from_b]]}")
-                else:
-                    text.append(f"{','.join([name_a[i] for i in a[from_a:x]])}|{','.join([name_b[i] for i in b[from_b:y]])}")
-                pairs.append(token * WIDTH + b[y - 1])
-                from_a, from_b = x, y
-        return ";".join(text), pairs, len(a), len(b)
-
-    def text(self, text: str | None, seen: Recent) -> list | None:
-        """What `seen` holds of each chunk of a text; None if the text has no tokens."""
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+        self.names = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"]
+        self.width = np.dtype("H" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "I")
+
+    def encoded(self, text: str | None) -> tuple[bytes, bytes] | None:
+        """A's and B's ids, packed; None if the text has no tokens."""
         if not text:
             return None
-        made = []
-        for own in batched(self.chunks(text), 50_000):
-            made += seen.all(own)
-        return None if any(m is None for m in made) and self.groups([f" {text}"])[0] is None else made
+        whole = f" {text}"
+        data, own = whole.encode(), self.segments(whole)
+        safe = self.fast is not None and COMMON.fullmatch(whole) is not None  # ranks of all bytes lose none
+        for held in [own] if len(own) == 1 else [own, [whole]]:
+            a, b = (list(chain.from_iterable(map(of, held))) for of in (self.of_a, self.of_b))
+            if b"".join(map(self.b_bytes.__getitem__, b)) == data and (safe or b"".join(map(self.a_bytes.__getitem__, a)) == data):
+                return array(self.width.char, a).tobytes(), array(self.width.char, b).tobytes()
+        return None
+
+    def segments(self, text: str) -> list[str]:
+        """text, cut about every LONG characters where no token can lie across."""
+        at, out = 0, []
+        while not self.whole and len(text) - at > LONG and (cut := CUT.search(text, at + LONG)):
+            out.append(text[at : cut.start()])
+            at = cut.start()
+        return [*out, text[at:]]
+
+    def of_a(self, text: str) -> list[int]:
+        if self.fast and COMMON.fullmatch(text):
+            return self.fast(text)
+        ids = []
+        for common, run in groupby(CUT.split(text), lambda c: self.fast is not None and COMMON.fullmatch(c) is not None):
+            own = "".join(run)
+            ids += self.fast(own) if common else self.a.encode(own, add_special_tokens=False).ids
+        return ids
+
+    def of_b(self, text: str) -> list[int]:
+        """B's ids of a text that begins with a space or newline; B puts a space before each text, which stays a piece
+        of its own before a newline."""
+        if text[0] == " ":
+            return self.b.encode(text[1:], num_threads=1)
+        ids = self.b.encode(text, num_threads=1)
+        return ids[1:] if ids[:1] == [self.space] else []
+
+    def ends(self, tokens: list[tuple[bytes, bytes]]) -> Ends:
+        """Where the tokens of some documents, one after the other, end together."""
+        a, b = (np.frombuffer(b"".join(own), self.width) for own in zip(*tokens, strict=True))
+        sizes = np.array([(len(x), len(y)) for x, y in tokens]) // self.width.itemsize
+        end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])  # of equal bytes, so documents begin together
+        in_a, in_b = np.zeros(end_a[-1] + 1, bool), np.zeros(end_a[-1] + 1, bool)
+        in_a[end_a], in_b[end_b] = True, True
+        return Ends(a, b, in_b[end_a], in_a[end_b], np.cumsum(sizes, 0))
+
+    def groups(self, own: Ends) -> list[str]:
+        """The groups of each document as text: its tokens' names with what follows each."""
+        before_a, before_b = np.append(0, np.flatnonzero(own.last_a) + 1), np.append(0, np.flatnonzero(own.last_b) + 1)
+        line = np.empty(len(own.a) + len(own.b), np.int64)
+        line[np.arange(len(own.a)) + before_b[np.cumsum(own.last_a) - own.last_a]] = own.a * np.int64(2) + own.last_a
+        line[np.arange(len(own.b)) + before_a[np.cumsum(own.last_b) - own.last_b + 1]] = own.b * np.int64(2) + own.last_b + 2 * len(self.a_bytes)
+        ends = own.upto.sum(1).tolist()
+        return ["".join(map(self.names.__getitem__, line[x:y].tolist()))[:-1] for x, y in zip([0, *ends], ends)]
 
     def most_pairs(self) -> int:
         """A bound of the different pairs in any corpus: one token's bytes are a suffix of the other's."""
@@ -141,6 +155,21 @@ class Aligner:
         return longer + sum(of_a.get(s, 0) for t in self.b_bytes for s in suffixes(t) if len(s) < len(t))
 
 
+@dataclass
+class Ends:
+    """Ids of some documents in a row, which of them end where one of the other vocabulary ends, and the numbers of
+    A's and B's tokens up to the end of each document."""
+
+    a: np.ndarray
+    b: np.ndarray
+    last_a: np.ndarray
+    last_b: np.ndarray
+    upto: np.ndarray
+
+    def pairs(self) -> np.ndarray:
+        return self.a[self.last_a].astype(np.int64) * WIDTH + self.b[self.last_b]
+
+
 def ranked_encoder(model: dict, tokens: list[bytes]):
     """The encoder by ranks of a byte-level vocabulary whose k-th merge makes the k-th id after the bytes; None if it is
     not of that kind."""
@@ -154,40 +183,15 @@ def ranked_encoder(model: dict, tokens: list[bytes]):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-class Recent:
-    """What `make` gives for chunks, remembered for the latest `most` to twice as many different ones."""
-
-    def __init__(self, make, most: int = 300_000):
-        self.make, self.most, self.new, self.old = make, most, {}, {}
-
-    def all(self, chunks) -> list:
-        new, old = self.new, self.old
-        if missing := set(chunks).difference(new):
-            if len(new) + len(missing) > self.most:
-                self.old, self.new = new, {}
-                new, old = self.new, self.old
-                missing = set(chunks)
-            known = {c for c in missing if c in old}
-            new.update((c, old[c]) for c in known)
-            fresh = list(missing - known)
-            new.update(zip(fresh, self.make(fresh), strict=True))
-        return list(map(new.__getitem__, chunks))
-
-
-#: The last aligner of this Python worker, which its next task goes on with, and its chunks by purpose.
-_KEPT: dict[tuple, tuple[Aligner, dict]] = {}
+#: The last aligner of this Python worker, which its next task goes on with.
+_KEPT: dict[tuple, Aligner] = {}
 
 
-def kept_aligner(a_path: str, b_path: str, purpose: str, make) -> tuple[Aligner, Recent]:
-    """The aligner of these files, and the chunks remembered for a purpose: make(aligner) gives what is remembered."""
-    if (a_path, b_path) not in _KEPT:
+def kept_aligner(*paths: str) -> Aligner:
+    if paths not in _KEPT:
         _KEPT.clear()
-        _KEPT[a_path, b_path] = Aligner(a_path, b_path), {}
-    aligner, seen = _KEPT[a_path, b_path]
-    if purpose not in seen:
-        seen.clear()
-        seen[purpose] = Recent(make(aligner))
-    return aligner, seen[purpose]
+        _KEPT[paths] = Aligner(*paths)
+    return _KEPT[paths]
 
 
 def mixed_bits(keys: np.ndarray, level: int) -> np.ndarray:
@@ -240,33 +244,48 @@ class Pairs:
     best: np.ndarray
 
 
-def local_counts(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> DataFrame:
+    """docs plus a_ids and b_ids, packed (null for a text without tokens). Stage it, for two passes read it."""
+
+    def of(batches):
+        aligner = kept_aligner(a_path, b_path)
+        for b in parts(batches, 32):
+            ids = [aligner.encoded(t) or (None, None) for t in b.column("row").field(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array([x[i] for x in ids], pa.binary()) for i in (0, 1))], ["row", *IDS])
+
+    rows = nested(docs, IDS)
+    schema = StructType([rows.schema["row"]]).add("a_ids", BinaryType()).add("b_ids", BinaryType())
+    return rows.mapInArrow(of, schema).select("row.*", *IDS)
+
+
+def local_counts(tokens: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(pair, n): linked pairs counted within each task, at most `most_pairs` rows each."""
 
     def of(batches):
-        aligner, seen = kept_aligner(a_path, b_path, "pairs", lambda x: lambda chunks: [m and m[1] for m in x.groups(chunks)])
-        keys, counts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        aligner = kept_aligner(a_path, b_path)
+        keys, counts, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for b in parts(batches):
-            for t in b.column(0).to_pylist():
-                held += chain.from_iterable(aligner.text(t, seen) or [])
-                if len(held) > 1 << 19:
-                    keys, counts, held = *summed(keys, counts, held), []
+            if own := list(zip(*(b.column(c).to_pylist() for c in IDS), strict=True)):
+                held.append(aligner.ends(own).pairs())
+                n += len(held[-1])
+            if n > 1 << 20:
+                keys, counts, held, n = *summed(keys, counts, held), [], 0
         keys, counts = summed(keys, counts, held)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["pair", "n"])
 
     def summed(keys, counts, held):
-        own, n = np.unique(np.array(held, np.int64), return_counts=True)
+        own, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
         both, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
         total = np.zeros(len(both), np.int64)
         np.add.at(total, at, np.concatenate([counts, n]))
         return both, total
 
-    return docs.select(F.col(text)).mapInArrow(of, "pair long, n long")
+    return tokens.where("a_ids is not null").select(*IDS).mapInArrow(of, "pair long, n long")
 
 
-def pair_table(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> Pairs:
-    """First pass: the distinct pairs of all texts and their counts."""
-    local = staged(local_counts(docs, a_path, b_path, text))
+def pair_table(tokens: DataFrame, a_path: str, b_path: str) -> Pairs:
+    """First pass: the distinct pairs of all encoded documents and their counts."""
+    local = staged(local_counts(tokens, a_path, b_path))
     keys = local.select("pair").distinct().toArrow().column(0).to_numpy()  # vocabulary, see most_pairs
     if len(keys) > (bound := Aligner(a_path, b_path).most_pairs()):
         raise ValueError(f"{len(keys)} pairs, but {bound} are possible")
@@ -312,43 +331,33 @@ def tree_sum(local: DataFrame, table: PerfectHash) -> np.ndarray:
     return np.concatenate([*(found[k] for k in sorted(found)), np.zeros(0, np.int64)])
 
 
-def aligned(docs: DataFrame, pairs: Pairs, a_path: str, b_path: str, text: str = "text") -> DataFrame:
-    """Second pass: docs plus n_a, n_b, n_groups, n_links, n_best (links that are their B id's most frequent), count_sum
-    and groups (`a1,a2|b1;a3|b2,b3`)."""
-    shared, names, run = docs.sparkSession.sparkContext.broadcast(pairs), (*NUMBERS, "groups"), uuid.uuid4().hex  # at most most_pairs keys
+def aligned(tokens: DataFrame, pairs: Pairs, a_path: str, b_path: str) -> DataFrame:
+    """Second pass: the columns beside the ids plus n_a, n_b, n_groups, n_links, n_best (links that are their B id's most
+    frequent), count_sum and groups (`a1,a2|b1;a3|b2,b3`)."""
+    shared, names = tokens.sparkSession.sparkContext.broadcast(pairs), (*NUMBERS, "groups")  # at most most_pairs keys
 
     def of(batches):
-        aligner, seen = kept_aligner(a_path, b_path, run, lambda x: lambda chunks: looked_up(x.groups(chunks), shared.value))
+        aligner = kept_aligner(a_path, b_path)
         for b in parts(batches, 32):
-            made = [totals(aligner.text(t, seen)) for t in b.column("row").field(text).to_pylist()]
-            numbers = [pa.array([m[i] for m in made], pa.int64()) for i in range(len(NUMBERS))]
-            yield pa.RecordBatch.from_arrays([b.column("row"), *numbers, pa.array([m[-1] for m in made], pa.string())], ["row", *names])
-
-    rows = nested(docs, names)
+            ids = list(zip(*(b.column(c).to_pylist() for c in IDS), strict=True))
+            at = [i for i, x in enumerate(ids) if x[0] is not None]
+            numbers, groups = np.zeros((len(NUMBERS), len(ids)), np.int64), np.full(len(ids), "", object)
+            if at:
+                own = aligner.ends([ids[i] for i in at])
+                numbers[:, at], groups[at] = looked_up(own, shared.value), aligner.groups(own)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *map(pa.array, numbers), pa.array(groups, pa.string())], ["row", *names])
+
+    rows = tokens.select(F.struct(*[quoted(c) for c in tokens.columns if c not in (*IDS, *names)]).alias("row"), *IDS)
     schema = StructType([rows.schema["row"]])
     for name in NUMBERS:
         schema = schema.add(name, LongType())
     return rows.mapInArrow(of, schema.add("groups", StringType())).select("row.*", *names)
 
 
-def looked_up(made: list, pairs: Pairs) -> list:
-    """(groups, NUMBERS in one number) of aligned chunks."""
-    links = [m[1] if m else [] for m in made]
-    at = pairs.hash.verified(np.array(list(chain.from_iterable(links)), np.int64))
-    ends = np.cumsum([0, *map(len, links)])
-    total = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[ends]).tolist()
-    rows = zip(made, total(pairs.best[at]), total(pairs.counts[at]), strict=True)
-    # a chunk has as many groups as links
-    return [m and (m[0], packed((m[2], m[3], len(m[1]), len(m[1]), best, count))) for m, best, count in rows]
-
-
-def packed(numbers) -> int:
-    """Numbers below 2^60 as one, so that a text's are added at once."""
-    return sum(n << 60 * i for i, n in enumerate(numbers))
-
-
-def totals(chunks: list | None) -> tuple:
-    if chunks is None:
-        return *[0] * len(NUMBERS), ""
-    total = sum([c[1] for c in chunks])
-    return *[total >> 60 * i & (1 << 60) - 1 for i in range(len(NUMBERS))], ";".join([c[0] for c in chunks])
+def looked_up(own: Ends, pairs: Pairs) -> np.ndarray:
+    """NUMBERS of each document, a row a number."""
+    at = pairs.hash.verified(own.pairs())
+    ends = np.cumsum(own.last_a)[own.upto[:, 0] - 1]  # links up to the end of each document; each ends a group
+    total = lambda values: np.diff(np.append(0, np.cumsum(values))[ends], prepend=0)
+    links = np.diff(ends, prepend=0)
+    return np.stack([*np.diff(own.upto, axis=0, prepend=0).T, links, links, total(pairs.best[at]), total(pairs.counts[at])])

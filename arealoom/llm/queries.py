@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import align, bpe, chat, language, lines, mixing, nearvec, quality, repair, sharding, simhash, topk, warc
-from .shared import parts, shared_folder, table
+from .shared import parts, shared_folder, staged, table
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, paths = table(spark, sf_dir, "documents").select("doc_id", "text"), [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    made = align.aligned(docs, align.pair_table(docs, *paths), *paths)
+    tokens = staged(align.encoded(docs, *paths).drop("text"))
+    made = align.aligned(tokens, align.pair_table(tokens, *paths), *paths)
     return made.select("doc_id", *align.NUMBERS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
 
 

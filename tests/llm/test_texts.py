@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import functions as F
 
 from arealoom.llm import align, language, queries, repair
+from arealoom.llm.shared import staged
 
 PATHS = [public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 TURNS = "conv_id long, turn long, role string, text string"
@@ -60,11 +61,12 @@ def test_alignment(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-i, t) for i, t in enumerate(ODD_TEXTS, 1)] + [(None, "null id")], "doc_id long, text string")
     docs = docs.union(odd).selectExpr("*", "'x' as groups", "1 as n_a", "map('a', 1) as `row`").repartition(5)
-    rows = align.aligned(docs, align.pair_table(docs, *PATHS), *PATHS).collect()
+    tokens = staged(align.encoded(docs, *PATHS))
+    rows = align.aligned(tokens, align.pair_table(tokens, *PATHS), *PATHS).collect()
     want = list(brute_alignment([r.text for r in rows]))
     assert [tuple(r[c] for c in (*align.NUMBERS, "groups")) for r in rows] == want
     assert {r.row["a"] for r in rows} == {1} and len(rows) == docs.count()
-    none = docs.where("false")
+    none = align.encoded(docs.where("false"), *PATHS)
     assert align.aligned(none, align.pair_table(none, *PATHS), *PATHS).count() == 0
 
 
@@ -87,7 +89,7 @@ def test_perfect_hash():
 
 
 def test_pairs_stay_below_their_bound_and_sums_take_levels(spark, small_dir, monkeypatch):
-    docs = spark.read.parquet(f"{small_dir}/documents.parquet").repartition(9)
+    docs = staged(align.encoded(spark.read.parquet(f"{small_dir}/documents.parquet").repartition(9), *PATHS))
     whole = align.pair_table(docs, *PATHS)
     assert len(whole.counts) < align.Aligner(*PATHS).most_pairs() < 400_000
     monkeypatch.setattr(align, "FAN", 2)
@@ -96,12 +98,23 @@ def test_pairs_stay_below_their_bound_and_sums_take_levels(spark, small_dir, mon
     assert (again.counts == whole.counts).all() and (again.best == whole.best).all()
 
 
-def test_recent_chunks():
-    calls = []
-    seen = align.Recent(lambda chunks: calls.append(len(chunks)) or [c * 2 for c in chunks], 10)
-    for own in (list("abcab"), list("defghij"), ["k"], list("abc"), [str(i) for i in range(40)], list("zz")):
-        assert seen.all(own) == [c * 2 for c in own]
-    assert sum(calls) == 3 + 7 + 1 + 40 + 1  # a, b and c were still known from the dictionary before
+def test_long_texts_are_cut_where_no_token_lies_across(monkeypatch):
+    own = align.Aligner(*PATHS)
+    rng = random.Random(5)
+    words = ["it's", "we'll", "été", "漢字", "a", "I", "12345", "--", "  ", "\n", "\n\n", "\t", "x" * 40, "e\u0301", "don't", "🙂", "."]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\n", ""]) for _ in range(200)) for _ in range(60)]
+    whole = [(own.a.encode(f" {t}", add_special_tokens=False).ids, own.b.encode(t)) for t in texts]
+    for most in (1, 30, 1 << 16):
+        monkeypatch.setattr(align, "LONG", most)
+        for t, (a, b) in zip(texts, whole, strict=True):
+            made = own.encoded(t)
+            kept = b"".join(own.a_bytes[i] for i in a) == f" {t}".encode() == b"".join(own.b_bytes[i] for i in b)
+            assert (made is not None) == kept
+            if kept:
+                assert [np.frombuffer(x, own.width).tolist() for x in made] == [a, b]
+    assert len(own.segments(" a b c" * 10)) == 1
+    monkeypatch.setattr(align, "LONG", 1)
+    assert len(own.segments(" a b c" * 10)) > 10
 
 
 # Repair
