@@ -11,7 +11,8 @@ keys' hashes come in packed, and those of suspects go back to the documents' dig
 
 Edge cases: a null or empty text is one empty line, and empty keys are never dropped; a text that loses all lines
 is empty; rows are documents, repeated rows too; with keep_first, rows that are equal in doc_id and text share
-their occurrences; an empty table gives an empty result. Input columns named n_lines or n_dropped are replaced, all
+their occurrences; an empty table gives an empty result; a very long text is one row of packed keys; a doc_id that is no long is an error
+before any job. Input columns named n_lines or n_dropped are replaced, all
 others come through unchanged.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import nested, parts, quoted, staged
+from .shared import needs_long, nested, parts, quoted, staged
 
 #: White space that is stripped; hashes of a filter; keys of a row of packed digests.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -258,6 +259,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_f
     keep_first leaves each such line in place where it occurs first, by (doc_id, text_md5, line). Up to
     broadcast_rows repeated keys (some 50 MB) go to every executor; more are joined to the documents that hold them.
     """
+    needs_long(docs, "doc_id")
     added = ["n_lines", "n_dropped"] if counts else []
     kept = [c for c in docs.columns if c not in added]
     rows = staged(suspected_keys(docs, min_length, **filters))

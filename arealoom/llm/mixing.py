@@ -4,7 +4,9 @@ Each source gets a target number of words; each of its documents expects target
 copies are prefix-summed within the source, one random offset is added, and a document is taken once for each
 integer that its interval crosses. So a document is taken floor or ceil of its expectation times.
 
-Edge cases: a null text has size 0; a null source is a source of its own, last in order; a source without words
+Edge cases: a null text has size 0; rows without a doc_id are dealt to buckets and ordered by their text instead (null
+ids and null texts together are one bucket); ties of size are taken in order of doc_id; a very long text is a document
+like any other, with an interval no longer than theirs; a null source is a source of its own, last in order; a source without words
 has target 0 and none of its documents is taken; an empty table gives an empty result; repeated rows are documents
 of their own, and the mix takes rows that are equal in every column as one total; columns of any name come through
 the mix unchanged.
@@ -31,6 +33,11 @@ def digest_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def own_key(docs: DataFrame) -> Column:
+    """What deals a row to its bucket: its doc_id or, without one, its text."""
+    return F.coalesce(docs["doc_id"].cast("string"), F.md5(docs["text"]), F.lit("")).alias("_own")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """(source, source_size, n_docs, target) from (source, size) rows.
 
@@ -60,19 +67,19 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     A source's documents lie in hashed buckets of about bucket_rows and in order of size within each, so the
     copies taken follow the sizes and one hot source spreads over many tasks.
     """
-    return _planned(docs.select("doc_id", "source", words(F.col("text")).alias("size")), weights, share, most, seed, bucket_rows).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return _planned(docs.select("doc_id", "source", words(F.col("text")).alias("size"), own_key(docs)), weights, share, most, seed, bucket_rows).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def _planned(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, bucket_rows: int = 1000) -> DataFrame:
-    """sizes (doc_id, source, size and more) with source_size, target and copies."""
+    """sizes (doc_id, source, size, _own and more) with source_size, target and copies."""
     sizes = staged(sizes)
     targets = staged(source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_source")
     rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     n_buckets = F.ceil(F.col("n_docs") / bucket_rows).cast("long")
-    rows = rows.withColumn("_bucket", F.pmod(digest_number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), n_buckets))
+    rows = rows.withColumn("_bucket", F.pmod(digest_number(F.col("_own")), n_buckets))
     units = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.lit(float(1 << POINT)))).otherwise(F.lit(0.0))
     rows = rows.withColumn("_units", units.cast("long"))
-    rows = running_total(rows, ["source"], "_bucket", [F.col("size"), F.col("doc_id").asc_nulls_last()], "_units", "_before")
+    rows = running_total(rows, ["source"], "_bucket", [F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("_own")], "_units", "_before")
     offset = F.pmod(digest_number(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("\0")))), F.lit(1 << POINT))
     low = F.col("_before") + offset
     copies = F.shiftright(low + F.col("_units"), POINT) - F.shiftright(low, POINT)
@@ -87,7 +94,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     window or group holds the texts of equal rows.
     """
     key = F.md5(content(docs))
-    plan = _planned(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("key")), **options)
+    plan = _planned(docs.select("doc_id", "source", words(F.col("text")).alias("size"), own_key(docs), key.alias("key")), **options)
     plan = staged(plan.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0"))
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), key.alias("key"))
     each = rows.join(plan.select("key", F.expr("cast(copies div n as int)").alias("take")).where("take > 0"), "key")

@@ -153,7 +153,7 @@ select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
  cast(coalesce(z.c, 0) as bigint) as cost, coalesce(z.a, '') as audit, sha256(coalesce(substr(z.t, 2), '')) as repaired_sha256
 from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join r on r.conv_id is not distinct from c.conv_id and r.pos = 1""",
     "op1_mix_sources": f"""
-with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
+with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size, coalesce(cast(doc_id as varchar), md5(text), '') as own from documents),
  s0 as (select source, sum(size)::bigint as source_size, count(*) as n from d group by source),
  s1 as (select *, row_number() over (order by source asc nulls last) - 1 as rk from s0),
  s2 as (select *, case rk % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as w, source_size * 2.0::double as cap from s1),
@@ -163,11 +163,11 @@ with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^
  s4 as (select *, lft / wl as lvl, min(case when cap > w * (lft / wl) then pos end) over () as opn from s3),
  s5 as (select *, max(case when pos = opn then lvl end) over () as level from s4),
  s6 as (select source, source_size, n, case when opn is null or pos < opn then cap else w * level end as target from s5),
- r0 as (select d.doc_id, d.source, d.size, s6.source_size, s6.target,
-   {_DIGITS.format("coalesce(cast(doc_id as varchar), '')")} % cast(ceil(n / 1000.0::double) as bigint) as bucket,
+ r0 as (select d.doc_id, d.source, d.size, d.own, s6.source_size, s6.target,
+   {_DIGITS.format("own")} % cast(ceil(n / 1000.0::double) as bigint) as bucket,
    case when source_size > 0 then cast(round(target / source_size * 67108864.0::double) as bigint) else 0 end as units
    from d join s6 on d.source is not distinct from s6.source),
- r1 as (select *, coalesce(sum(units) over (partition by source order by bucket, size, doc_id nulls last rows between unbounded preceding and 1 preceding), 0)::bigint
+ r1 as (select *, coalesce(sum(units) over (partition by source order by bucket, size, doc_id nulls last, own rows between unbounded preceding and 1 preceding), 0)::bigint
    + {_DIGITS.format("'17:' || coalesce(source, chr(0))")} % 67108864 as low from r0)
 select doc_id, size, source_size, target, (((low + units) // 67108864) - (low // 67108864)) * size as taken from r1""",
     "op4_top_inner_products": """

@@ -5,7 +5,7 @@ Pass one scatters the records into memory-sized buckets by a seeded hash; pass t
 into shards of equal counts.
 
 Edge cases: a null text has no bytes and the CRC of an empty text; records that are equal in every column are
-records of their own; an empty table gives an empty result. Input columns named like an added one (ADDED) are
+records of their own; columns may be of any type, maps too (hashed as JSON); an empty table gives an empty result. Input columns named like an added one (ADDED) are
 replaced, all others come through unchanged.
 """
 
@@ -31,7 +31,8 @@ def shuffled_shards(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_by
     kept = [c for c in docs.columns if c not in ADDED]
     # a record's own columns are nested, so that they clash with none of the names below
     size, crc = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    key = F.xxhash64(F.lit(seed), *[quoted(c) for c in kept if c != "text"], crc)
+    hashed = [F.to_json(F.struct(quoted(c))) if "map<" in docs.schema[c].dataType.simpleString() else quoted(c) for c in kept if c != "text"]
+    key = F.xxhash64(F.lit(seed), *hashed, crc)
     rows = docs.select(F.struct(*map(quoted, kept)).alias("record"), size.alias("size"), crc.alias("text_crc32"), key.alias("key"))
     rows = _spread(rows, bucket_bytes // 4)
     total = rows.agg(F.count("*"), F.sum("size")).first()
@@ -59,9 +60,9 @@ def _spread(rows: DataFrame, most_bytes: int) -> DataFrame:
     heavy = staged(heavy.select("key"))  # as many as a few for each bucket
     if heavy.isEmpty():
         return rows
-    equal = rows.join(F.broadcast(heavy), "key", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    equal = rows.join(heavy, "key", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
     numbered = equal.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("key", F.xxhash64("key", "i"))
-    return rows.join(F.broadcast(heavy), "key", "left_anti").select(*rows.columns).union(numbered.select(*rows.columns))
+    return rows.join(heavy, "key", "left_anti").select(*rows.columns).union(numbered.select(*rows.columns))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..sources.scratch import shared_folder, staged  # noqa: F401
 
@@ -36,6 +37,11 @@ def nested(df: DataFrame, leave: tuple[str, ...] = ()) -> DataFrame:
     return df.select(F.struct(*[quoted(c) for c in df.columns if c not in leave]).alias("row"))
 
 
+def needs_long(df: DataFrame, name: str) -> None:
+    if (own := df.schema[name].dataType) != LongType():
+        raise TypeError(f"{name} is {own.simpleString()}: cast it to bigint")
+
+
 def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 

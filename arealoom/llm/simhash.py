@@ -9,7 +9,8 @@ of their links, so large groups of copies never become pairs.
 
 Edge cases: a text without words (null, empty, blank) has fingerprint zero and links like any other; a null doc_id
 takes part and is never the smallest, unless its component has no other; repeated rows are documents of their own;
-an empty table gives an empty result. near_copies() returns its own columns only, without_near_copies() all columns of
+an empty table gives an empty result; very long texts are hashed in steps of 65,536 shingles; a doc_id that is no long
+is an error before any job. near_copies() returns its own columns only, without_near_copies() all columns of
 docs unchanged, whatever their names.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, find, parts, quoted, staged, unite
+from .shared import components, find, needs_long, parts, quoted, staged, unite
 
 #: Fixed value: fingerprints under one variant up to which all are compared with all in the task that reads them.
 DIRECT = 4096
@@ -78,7 +79,7 @@ def forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 def flipped(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     """As forest(), for three differing bits at most, in work linear in the fingerprints.
 
-    Fingerprints that are one flip (or none) from the same value are within two bits of each other; one that is
+    Links of one bit are looked up as such. Fingerprints that are one flip (or none) from the same value are within two bits of each other; one that is
     two flips from it is within three of them. Every link of three bits or fewer has such a value.
     """
     spread = int(np.bitwise_or.reduce(fps ^ fps[0]))
@@ -86,6 +87,13 @@ def flipped(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     root = np.arange(len(fps))
 
     everyone = np.arange(len(fps))
+    if most < 2:
+        order = np.argsort(fps)
+        for f in flips if most else []:
+            at = order[np.minimum(np.searchsorted(fps, fps ^ f, sorter=order), len(fps) - 1)]
+            hit = fps[at] == fps ^ f
+            unite(root, everyone[hit], at[hit])
+        return spanning(fps, root)
     values, owner = np.concatenate([fps, *(fps ^ f for f in flips)]), np.tile(everyone, len(flips) + 1)
     order = np.lexsort((owner, values))
     values, owner = values[order], owner[order]
@@ -100,6 +108,12 @@ def flipped(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
                 at = np.minimum(np.searchsorted(values, z), len(values) - 1)
                 hit = values[at] == z
                 unite(root, everyone[hit], head[at[hit]])
+    return spanning(fps, root)
+
+
+def spanning(fps: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """A link to the root of its tree for each other fingerprint."""
+    everyone = np.arange(len(fps))
     top = find(root, everyone)
     return [(int(fps[i]), int(fps[top[i]])) for i in np.flatnonzero(top != everyone)]
 
@@ -205,6 +219,7 @@ def _compared(dealt: DataFrame, most: int, direct: int | None) -> DataFrame:
 
 def grouped(docs: DataFrame, most: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, text_md5, fp, component, component_id): component is the smallest fingerprint of the component."""
+    needs_long(docs, "doc_id")
     rows = staged(fingerprints(docs, width, seed))
     classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     of = components(links(classes.select("fp"), most))

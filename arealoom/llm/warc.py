@@ -11,7 +11,7 @@ payload around them.
 
 Edge cases: a null html is an empty payload; a null url is left out; a null page_id is written as null and reads
 back as null, and is never a response to others; rows with the same page_id and payload are all responses or all
-revisits; payloads may hold any text, also whole records; an empty table gives no records. Other columns are ignored.
+revisits; a payload is one row, so 2 GB is its end; payloads may hold any text, also whole records; an empty table gives no records. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +35,22 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    long = rows.where(F.col("payload_bytes") >= least)
-    firsts = long.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
-    firsts = staged(firsts.select(F.col("payload_digest").alias("_digest"), "_first"))
-    rows = rows.join(firsts, F.col("payload_digest") == F.col("_digest"), "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    again = staged(revisits(rows.select("page_id", "payload_digest", "payload_bytes"), least))
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    again = F.col("_first").isNotNull()
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
 
 
+def revisits(light: DataFrame, least: int) -> DataFrame:
+    """(_page, _digest, _first): the pages that revisit page _first, decided without their payloads.
+
+    Pages are joined to it by id and digest, so that many copies of one payload are as many keys.
+    """
+    light = staged(light.where(F.col("payload_bytes") >= least).select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")))
+    firsts = light.groupBy("_digest").agg(F.min("_page").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
+    return light.join(firsts.drop("_n"), "_digest").where(~F.col("_page").eqNullSafe(F.col("_first"))).select("_page", "_digest", "_first").distinct()
+
+
 def write_warc(pages: DataFrame, path: str, least: int = 100) -> None:
     """One record per page below path. The text writer ends each row with the separator, so a row is a record
     without its last line end."""

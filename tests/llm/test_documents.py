@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from arealoom.llm import bpe, lines, mixing, quality, queries, sharding, simhash
+from arealoom.llm import bpe, lines, mixing, quality, queries, sharding, shared, simhash
 from arealoom.llm.shared import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -303,6 +303,45 @@ def test_simhash(spark, small_dir, odd_docs):
         assert {r.doc_id for r in kept} - {None} == set(least.values())
 
 
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_both_ways_to_compare_a_variant(most):
+    rng = np.random.default_rng(most)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fps = np.unique([int(base[i % 4]) ^ sum(1 << int(f) for f in rng.choice(20, rng.integers(0, 7), replace=False)) for i in range(300)]).astype(np.uint64)
+
+    def parts(links):
+        root = np.arange(len(fps))
+        a, b = (np.searchsorted(fps, np.array([x[i] for x in links], np.uint64)) for i in (0, 1))
+        shared.unite(root, a, b)
+        return shared.find(root, np.arange(len(fps))).tolist()
+
+    assert parts(simhash.flipped(fps, most)) == parts(simhash.forest(fps, most))
+    assert simhash.flipped(np.array([0, 1, 3], np.uint64), 0) == []
+
+
+def test_ids_must_be_longs(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for of in (lines.dedup_lines, simhash.near_copies, simhash.without_near_copies):
+        with pytest.raises(TypeError, match="cast it to bigint"):
+            of(docs)
+
+
+def test_shards_of_maps(spark):
+    docs = spark.range(300).selectExpr("id % 7 as doc_id", "'same' as text", "map('a', id % 3) as m", "array(map(1, 2)) as ms")
+    for bucket in (8 << 20, 400):  # equal records that are dealt out by number, too
+        rows = sharding.shuffled_shards(docs, bucket_bytes=bucket).collect()
+        assert Counter((r.doc_id, r.m["a"]) for r in rows) == Counter((r.doc_id, r.m["a"]) for r in docs.collect())
+        assert max(Counter(r.shard for r in rows).values()) == 19
+
+
+def test_null_ids_spread_over_buckets(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "repeat('w ', 1 + id % 5) || id as text", "'s' as source")
+    own = docs.select(mixing.own_key(docs))
+    assert own.select((mixing.digest_number(own["_own"]) % 20).alias("b")).groupBy("b").count().agg({"count": "max"}).first()[0] < 1300
+    check_mix(mixing.mix_plan(docs).collect())
+    assert Counter(mixing.mixed(docs).collect()) == Counter(mixing.mixed(docs.repartition(5)).collect())
+
+
 def test_simhash_links_of_close_fingerprints(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)

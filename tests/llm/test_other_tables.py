@@ -282,6 +282,20 @@ def test_warc(spark, small_dir, tmp_path, split):
             assert {bytes(t.payload).decode() for t in texts} == {r.html or "" for r in rows}
 
 
+def test_payloads_are_not_moved_by_digest(spark):
+    """Past a broadcast, a payload that repeats is as many keys as it has pages."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        made = warc.page_records(odd_pages(spark))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in made.collect()))) == sorted(map(str, brute_pages(odd_pages(spark).collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) == 2 and all("page" in x.split("hashpartitioning")[1] for x in moved)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, 9), (9, 1), (9, 5), (70, 70)] + [(-4, i) for i in range(500, 560)]
     got = {r.node: r.component for r in shared.components(spark.createDataFrame(chain, "a long, b long")).collect()}
