@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import PARTS, all_edges, bounds, is_on, meet, oriented, rings
+from ..sources.scratch import spread
 from .overlay import gained, passed, side_tiles, union_border
 
 
@@ -22,12 +23,17 @@ def in_bbox(df: DataFrame, box: Row, buffer: float = 0.0, x: str = "x", y: str =
     return df.where(F.col(x).between(box.xmin - buffer, box.xmax + buffer) & F.col(y).between(box.ymin - buffer, box.ymax + buffer))
 
 
+def shape_id(parts: Column) -> Column:
+    """128 bits of a shape's points: equal shapes have one id."""
+    return F.struct(F.xxhash64(parts).alias("a"), F.xxhash64(F.lit(1), parts).alias("b"))
+
+
 def area_tiles(areas: DataFrame, key: str, tile: float, parts: str = "parts") -> DataFrame:
     """(key, _i, _j, _odd, _sides): the tiles that an area touches or covers. _odd: whether the left end of the tile's
     middle line lies inside; _sides: the sides that meet the tile, null where none does and the tile is inside as a
     whole. A side is held once for each tile that it meets, so what is held grows with the sides' length.
     """
-    shapes = areas.select(F.col(key), F.xxhash64(parts).alias("_shape"), F.col(parts).alias("_parts")).dropDuplicates([key, "_shape"])
+    shapes = areas.select(F.col(key), F.xxhash64(parts).alias("_shape"), F.col(parts).alias("_parts")).distinct()
     i, j, e = F.col("_i"), F.col("_j"), F.col("_e")
     dealt = shapes.select(key, "_shape", F.explode(all_edges(F.col("_parts"))).alias("_e")).withColumn("_t", F.explode(side_tiles(e, tile, tile * 1e-9)))
     tiles = dealt.select(key, "_shape", "_e", F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j")).groupBy(key, "_shape", "_i", "_j")
@@ -41,14 +47,32 @@ def area_tiles(areas: DataFrame, key: str, tile: float, parts: str = "parts") ->
     return tiles.select(key, "_j", F.explode(F.concat(F.array(own), between)).alias("_t")).select(key, "_t._i", "_j", "_t._odd", "_t._sides")
 
 
+def key_blocks(held: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Keys (_class, _key) as (_class, _block, _keys), some `most` different keys in a block at most, and the number of
+    blocks of each shape (_class, _blocks)."""
+    held = held.distinct()
+    sizes = held.groupBy("_class").agg(F.ceil(F.count("*") / most).alias("_blocks"))
+    dealt = held.join(sizes, "_class").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")))
+    return dealt.groupBy("_class", "_block").agg(F.collect_list(F.struct("_key")).alias("_keys")), sizes
+
+
 def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float, x: str = "x", y: str = "y", parts: str = "parts") -> DataFrame:
     """Each point with the key of every area that it lies strictly within: an equi join on tiles, then the crossings of
-    the tile's own sides on the way from the left end of its middle line to the point."""
-    rows = points.withColumn("_i", F.floor(F.col(x) / tile)).withColumn("_j", F.floor(F.col(y) / tile))
-    met = rows.join(area_tiles(areas, key, tile, parts), ["_i", "_j"])
+    the tile's own sides on the way from the left end of its middle line to the point.
+
+    Equal shapes are one until a point is found inside: only then come their keys, by blocks, so that a point meets a
+    shape once however many areas have it. The pairs themselves are the result.
+    """
+    shapes = areas.select(shape_id(F.col(parts)).alias("_class"), F.col(key).alias("_key"), F.col(parts).alias("_parts"))
+    blocks, sizes = key_blocks(shapes.select("_class", "_key"))
+    tiles = area_tiles(shapes.select("_class", "_parts").distinct(), "_class", tile, "_parts").join(sizes, "_class")
+    rows = spread(points).withColumn("_i", F.floor(F.col(x) / tile)).withColumn("_j", F.floor(F.col(y) / tile))
     crossed = F.aggregate("_sides", F.lit(0), lambda n, e: n + F.abs(gained(e, F.col(x), F.col(y), F.col("_i"), F.col("_j"), tile, apart=True)))
     within = F.when(F.exists("_sides", lambda e: is_on(e, F.col(x), F.col(y))), False).otherwise((crossed + F.col("_odd").cast("int")) % 2 == 1)
-    return met.where(F.col("_sides").isNull() | within).drop("_i", "_j", "_odd", "_sides")
+    met = rows.join(tiles, ["_i", "_j"]).where(F.col("_sides").isNull() | within).drop("_i", "_j", "_odd", "_sides")
+    met = met.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+    found = met.join(blocks, ["_class", "_block"]).withColumn("_held", F.explode("_keys"))
+    return found.withColumn("_held", F.col("_held._key")).drop("_class", "_block", "_keys").withColumnRenamed("_held", key)
 
 
 def touching(layer: DataFrame, clip: DataFrame, key: str, tile: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import point, rectangle
+from ..sources.scratch import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -68,7 +69,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.when(F.col("kind") == 0, at(KINDS[0]))
     for i, kind in enumerate(KINDS[1:], 1):
         made = made.when(F.col("kind") == i, at(kind))
-    return stand_in(spark, sf_dir, "fx_shapes").withColumn("parts", made)
+    return spread(stand_in(spark, sf_dir, "fx_shapes")).withColumn("parts", made)
 
 
 def shape_wkt_sql() -> str:

@@ -465,3 +465,16 @@ def test_breaks_of_a_null_group(spark):
     got = {r.g: r.breaks for r in breaks.group_breaks(rows, ["g"], "v").collect()}
     assert got[None] == [15.0, 30.0, 45.0] and set(map(len, got.values())) == {3}
     assert {r.g for r in breaks.group_quantiles(rows, ["g"], "v", [0.5]).collect()} == {None, 1, 2}
+
+
+def test_equal_areas_are_located_once(spark, monkeypatch):
+    """2,500 areas of one shape and one of another, keys given twice and a null key: all pairs, but two shapes in tiles."""
+    of = lambda n, parts: spark.range(n).select(F.when(F.col("id") != 7, F.col("id")).alias("k")).crossJoin(shape(spark, *parts))
+    area = of(2500, [[SQUARE]]).union(of(10, [[SQUARE]])).union(of(1, [[move(SQUARE, 1, 1)]]))
+    points = spark.createDataFrame([("in", 0.5, 0.5), ("also", 0.5, 0.5), ("both", 1.5, 1.5), ("on", 0.0, 0.5), ("out", 9.0, 9.0), ("null", None, 0.5)], "id string, x double, y double")
+    held, tiles = [], spatial.area_tiles
+    monkeypatch.setattr(spatial, "area_tiles", lambda areas, *more: held.append(areas.count()) or tiles(areas, *more))
+    got = spatial.points_in_areas(points, area, "k", 0.75).select("id", "k").collect()
+    assert held == [2]
+    keys = [None if n == 7 else n for n in range(2500)]
+    assert sorted(map(repr, got)) == sorted(repr(type(got[0])(id=i, k=k)) for i, ks in (("in", keys), ("also", keys), ("both", keys + [0])) for k in ks)
