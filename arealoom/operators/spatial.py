@@ -47,13 +47,20 @@ def area_tiles(areas: DataFrame, key: str, tile: float, parts: str = "parts") ->
     return tiles.select(key, "_j", F.explode(F.concat(F.array(own), between)).alias("_t")).select(key, "_t._i", "_j", "_t._odd", "_t._sides")
 
 
+#: Tasks that share the points of one block of keys.
+SALTS = 8
+
+
 def key_blocks(held: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Keys (_class, _key) as (_class, _block, _keys), some `most` different keys in a block at most, and the number of
-    blocks of each shape (_class, _blocks)."""
+    """Keys (_class, _key) as (_class, _block, _salt, _keys), some `most` different keys in a block at most and each
+    block once for each salt; and (_class, _blocks, _one): the number of blocks, and the key of a class of one key, which
+    has no block."""
     held = held.distinct()
-    sizes = held.groupBy("_class").agg(F.ceil(F.count("*") / most).alias("_blocks"))
-    dealt = held.join(sizes, "_class").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")))
-    return dealt.groupBy("_class", "_block").agg(F.collect_list(F.struct("_key")).alias("_keys")), sizes
+    sizes = held.groupBy("_class").agg(F.count("*").alias("n"), F.first(F.struct("_key")).alias("_one"))
+    sizes = sizes.select("_class", F.ceil(F.col("n") / most).alias("_blocks"), F.when(F.col("n") == 1, F.col("_one")).alias("_one"))
+    dealt = held.join(sizes.where("_one is null"), "_class").withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")))
+    blocks = dealt.groupBy("_class", "_block").agg(F.collect_list(F.struct("_key")).alias("_keys"))
+    return blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), sizes
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float, x: str = "x", y: str = "y", parts: str = "parts") -> DataFrame:
@@ -61,7 +68,8 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float,
     the tile's own sides on the way from the left end of its middle line to the point.
 
     Equal shapes are one until a point is found inside: only then come their keys, by blocks, so that a point meets a
-    shape once however many areas have it. The pairs themselves are the result.
+    shape once however many areas have it. The pairs themselves are the result; they are made in as many tasks as
+    `spread` deals out, for before that their rows are too few to tell how many they become.
     """
     shapes = areas.select(shape_id(F.col(parts)).alias("_class"), F.col(key).alias("_key"), F.col(parts).alias("_parts"))
     blocks, sizes = key_blocks(shapes.select("_class", "_key"))
@@ -71,8 +79,11 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float,
     within = F.when(F.exists("_sides", lambda e: is_on(e, F.col(x), F.col(y))), False).otherwise((crossed + F.col("_odd").cast("int")) % 2 == 1)
     met = rows.join(tiles, ["_i", "_j"]).where(F.col("_sides").isNull() | within).drop("_i", "_j", "_odd", "_sides")
     met = met.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
-    found = met.join(blocks, ["_class", "_block"]).withColumn("_held", F.explode("_keys"))
-    return found.withColumn("_held", F.col("_held._key")).drop("_class", "_block", "_keys").withColumnRenamed("_held", key)
+    # a class of one key has its key at hand and goes anywhere
+    place = F.xxhash64(x, y)
+    met = spread(met.withColumn("_salt", F.when(F.col("_one").isNull(), F.pmod(place, F.lit(SALTS))).otherwise(place)), "_class", "_block", "_salt")
+    found = met.join(blocks, ["_class", "_block", "_salt"], "left").withColumn("_held", F.explode(F.coalesce("_keys", F.array("_one"))))
+    return found.withColumn("_held", F.col("_held._key")).drop("_class", "_block", "_salt", "_one", "_keys").withColumnRenamed("_held", key)
 
 
 def touching(layer: DataFrame, clip: DataFrame, key: str, tile: float) -> DataFrame:

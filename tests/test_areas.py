@@ -478,3 +478,11 @@ def test_equal_areas_are_located_once(spark, monkeypatch):
     assert held == [2]
     keys = [None if n == 7 else n for n in range(2500)]
     assert sorted(map(repr, got)) == sorted(repr(type(got[0])(id=i, k=k)) for i, ks in (("in", keys), ("also", keys), ("both", keys + [0])) for k in ks)
+
+
+def test_keys_come_in_blocks(spark):
+    held = shape(spark, [SQUARE]).select(spatial.shape_id(F.col("parts")).alias("_class")).crossJoin(spark.range(5000).toDF("_key"))
+    blocks, sizes = spatial.key_blocks(held, 100)
+    assert sizes.first()._blocks == 50
+    got = blocks.groupBy("_salt").agg(F.count("*").alias("n"), F.sum(F.size("_keys")).alias("keys"), F.max(F.size("_keys")).alias("most")).collect()
+    assert len(got) == spatial.SALTS and all((r.n, r.keys) == (50, 5000) and r.most < 200 for r in got)
