@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import PARTS, all_edges, bounds, is_on, meet, oriented, rings
-from ..sources.scratch import spread
+from ..sources.scratch import spread, staged
 from .overlay import gained, passed, side_tiles, union_border
 
 
@@ -87,15 +87,18 @@ def points_in_areas(points: DataFrame, areas: DataFrame, key: str, tile: float,
 
 
 def touching(layer: DataFrame, clip: DataFrame, key: str, tile: float) -> DataFrame:
-    """Rows of layer that share a point with any shape of clip: sides that meet within a tile, or a ring of one that
-    starts inside the other."""
-    layer_, clip_ = layer.select(F.col(key).alias("_key"), "parts"), clip.select(F.xxhash64("parts").alias("_clip"), "parts")
+    """Rows of layer whose key has a shape that shares a point with any shape of clip: sides that meet within a tile, or
+    a ring of one that starts inside the other. Equal shapes of a layer are compared once."""
+    of = lambda df, name: df.select(shape_id(F.col("parts")).alias(name), "parts")
+    layer_, clip_ = staged(of(layer, "_own").distinct()), staged(of(clip, "_clip").distinct())
     dealt = lambda df, *names: df.select(*names, F.explode(all_edges(F.col("parts"))).alias("e")).select(*names, "e", F.explode(side_tiles(F.col("e"), tile)).alias("t")).select(*names, "e", "t.i", "t.j")
-    sides = dealt(layer_, "_key").join(dealt(clip_).withColumnRenamed("e", "f"), ["i", "j"]).where(meet(F.col("e"), F.col("f"))).select("_key")
+    sides = spread(dealt(layer_, "_own")).join(dealt(clip_).withColumnRenamed("e", "f"), ["i", "j"]).where(meet(F.col("e"), F.col("f"))).select("_own")
     starts = lambda df, name: df.select(name, F.explode(rings(F.col("parts"))).alias("r")).select(name, F.col("r")[0]["x"].alias("x"), F.col("r")[0]["y"].alias("y"))
-    held = points_in_areas(starts(layer_, "_key"), clip_, "_clip", tile).select("_key")
-    holding = points_in_areas(starts(clip_, "_clip"), layer_, "_key", tile).select("_key")
-    return layer.join(sides.union(held).union(holding).distinct(), F.col(key) == F.col("_key"), "left_semi")
+    held = points_in_areas(starts(layer_, "_own"), clip_, "_clip", tile).select("_own")
+    holding = points_in_areas(starts(clip_, "_clip"), layer_, "_own", tile).select("_own")
+    keys = layer.select(F.col(key).alias("_key"), shape_id(F.col("parts")).alias("_own"))
+    found = keys.join(sides.union(held).union(holding).distinct(), "_own", "left_semi").select("_key").distinct()
+    return layer.join(found, F.col(key) == F.col("_key"), "left_semi")
 
 
 def dissolve(layer: DataFrame, by: str, snap: int = 6) -> DataFrame:

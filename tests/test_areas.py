@@ -480,6 +480,19 @@ def test_equal_areas_are_located_once(spark, monkeypatch):
     assert sorted(map(repr, got)) == sorted(repr(type(got[0])(id=i, k=k)) for i, ks in (("in", keys), ("also", keys), ("both", keys + [0])) for k in ks)
 
 
+def test_equal_shapes_are_compared_once(spark, monkeypatch):
+    """300 shapes of three kinds and 200 boxes of two: what is compared is five shapes; all rows of a key that touches stay."""
+    kinds = [[[SQUARE]], [[move(SQUARE, 20, 0)]], [[move(SQUARE, 5, 5)]]]
+    layer = shape(spark, *kinds[0], n=0).union(shape(spark, *kinds[1], n=1)).union(shape(spark, *kinds[2], n=2)).crossJoin(spark.range(100).toDF("m")).withColumn("k", F.col("m") * 3 + F.col("n"))
+    layer = layer.union(shape(spark, *kinds[1], n=0, m=0, k=0).select(layer.columns))
+    clip = shape(spark, [move(SQUARE, 9, 9)]).union(shape(spark, [move(HOLE, 0, 0)])).crossJoin(spark.range(100)).select("parts")
+    held, stage = [], spatial.staged
+    monkeypatch.setattr(spatial, "staged", lambda df: (made := stage(df), held.append(made.count()))[0])
+    got = spatial.touching(layer, clip, "k", 3.0)
+    assert sorted((r.k, r.n) for r in got.select("k", "n").collect()) == sorted([(0, 0), (0, 0)] + [(3 * m, 0) for m in range(1, 100)] + [(3 * m + 2, 2) for m in range(100)])
+    assert held == [3, 2]
+
+
 def test_keys_come_in_blocks(spark):
     held = shape(spark, [SQUARE]).select(spatial.shape_id(F.col("parts")).alias("_class")).crossJoin(spark.range(5000).toDF("_key"))
     blocks, sizes = spatial.key_blocks(held, 100)
