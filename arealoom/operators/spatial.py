@@ -202,10 +202,17 @@ def _clipped(part: list[np.ndarray], xmin: float, ymin: float, xmax: float, ymax
         return []
     a, b = np.concatenate([r[:-1] for r in rings_]), np.concatenate([r[1:] for r in rings_])
     low, high = np.array([xmin, ymin]), np.array([xmax, ymax])
-    if (np.concatenate([a, b]) > low).all() and (np.concatenate([a, b]) < high).all():
+    least, most = a.min(0), a.max(0)
+    if (most <= low).any() or (least >= high).any():
+        return []
+    # a line with all of the polygon on its inner side cuts nothing, and no piece of the border on it is inside
+    free_of = [bool(least[1] > ymin), bool(most[0] < xmax), bool(most[1] < ymax), bool(least[0] > xmin)]
+    if all(free_of):
         return [rings_]
     from_, to = a, b
-    for axis, at in ((0, xmin), (0, xmax), (1, ymin), (1, ymax)):
+    for axis, at, free in ((0, xmin, free_of[3]), (0, xmax, free_of[1]), (1, ymin, free_of[0]), (1, ymax, free_of[2])):
+        if free:
+            continue
         crosses = (from_[:, axis] < at) != (to[:, axis] < at)
         crosses &= (from_[:, axis] != at) & (to[:, axis] != at)
         p, q = from_[crosses], to[crosses]
@@ -220,6 +227,8 @@ def _clipped(part: list[np.ndarray], xmin: float, ymin: float, xmax: float, ymax
     made = []
     corners = [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)]
     for n, (p, q) in enumerate(zip(corners, corners[1:])):
+        if free_of[n]:
+            continue
         axis, at = 1 - n % 2, p[1 - n % 2]  # the border runs along the other axis
         on = (from_[:, axis] == at) & (to[:, axis] == at)
         along |= on
@@ -273,7 +282,7 @@ def _shaped(layer: DataFrame, shape) -> DataFrame:
                 at += n
             yield pa.RecordBatch.from_arrays([_arrow_parts(made) if c == "parts" else b.column(c) for c in names], names)
 
-    return layer.mapInArrow(of, layer.schema)
+    return spread(layer).mapInArrow(of, layer.schema)
 
 
 def _arrow_parts(made: list) -> pa.Array:

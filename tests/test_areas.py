@@ -8,6 +8,7 @@ import threading
 import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -499,3 +500,29 @@ def test_keys_come_in_blocks(spark):
     assert sizes.first()._blocks == 50
     got = blocks.groupBy("_salt").agg(F.count("*").alias("n"), F.sum(F.size("_keys")).alias("keys"), F.max(F.size("_keys")).alias("most")).collect()
     assert len(got) == spatial.SALTS and all((r.n, r.keys) == (50, 5000) and r.most < 200 for r in got)
+
+
+def rows_by_task(df):
+    return [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+
+
+def test_shapes_of_one_task_are_cut_by_all(spark):
+    rows = shape(spark, [SQUARE]).crossJoin(spark.range(4000)).coalesce(1)
+    for made in (spatial.clip_to_box(rows, 1.0, 1.0, 9.0, 9.0), spatial.simplify(rows, 0.5)):
+        n = rows_by_task(made.select("id"))
+        assert len(n) == 4 and max(n) <= 1200 and sum(n) == 4000
+
+
+def test_clip_leaves_lines_that_no_side_reaches(spark):
+    """Against the inclusion of points: boxes that leave one to four of their lines outside, and that only touch."""
+    shapes = [[[L_SHAPE]], [[SQUARE, HOLE]], [[[(0, 0), (4, 0), (4, 4), (3, 4), (3, 2), (1, 2), (1, 4), (0, 4), (0, 0)]]]]
+    boxes = [(a, b, c, e) for a in (-9, 0, 0.5, 3.5) for b in (-9, 0, 2.5) for c in (2, 4, 9) for e in (3, 4, 9) if a < c] + [(4, 0, 9, 9), (-9, -9, 0, 9), (0, 4, 4, 9), (-9, -9, 9, 0)]
+    for parts in shapes:
+        rings_ = [np.array(r, float) for r in parts[0]]
+        spots = np.array([(x / 8 + 1 / 16, y / 8 + 1 / 16) for x in range(32) for y in range(32)])
+        held = spatial._inside(np.concatenate([r[:-1] for r in rings_]), np.concatenate([r[1:] for r in rings_]), spots)
+        for box in boxes:
+            made = spatial._clipped(rings_, *map(float, box))
+            area = sum(abs(spatial._signed(r)) * (1 if n == 0 else -1) for p in made for n, r in enumerate(p))
+            low, high = np.array(box[:2]), np.array(box[2:])
+            assert area == pytest.approx((held & (spots > low).all(1) & (spots < high).all(1)).sum() / 64), (parts, box)
