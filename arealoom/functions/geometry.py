@@ -121,8 +121,9 @@ def intersects(one: Column, two: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Up to six decimals, without trailing zeros."""
-    return F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
+    """Up to six decimals, without trailing zeros. Whole numbers are told apart: formatting costs some 20 times as much."""
+    whole = value.try_cast("long")
+    return F.when((whole.cast("double") == value) & (F.abs(value) < 1e15) & (value != 0), whole.cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", ""))
 
 
 def to_wkt(parts: Column) -> Column:
@@ -135,10 +136,10 @@ def to_wkt(parts: Column) -> Column:
 def from_wkt(text: Column) -> Column:
     """Parts of a POLYGON or MULTIPOLYGON text; numbers that cannot be read are null, other texts too."""
     body = F.regexp_extract(text, r"(?i)^\s*(?:MULTI)?POLYGON\s*(?:Z\s*)?(\(.*\))\s*$", 1)
-    bare = F.regexp_replace(F.regexp_replace(body, r"\s*([(),])\s*", "$1"), r"^\(+|\)+$", "")
-    xy = lambda p: F.split(p, r"\s+")
-    read = lambda p: point(F.get(xy(p), F.lit(0)).try_cast("double"), F.get(xy(p), F.lit(1)).try_cast("double"))
-    part = lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.split(r, ","), read))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\s*([(),])\s*", "$1"), r"\s+", " "), r"^\(+|\)+$", "")
+    # one space between numbers, so that a point is split once and by no pattern
+    read = lambda xy: point(F.get(xy, F.lit(0)).try_cast("double"), F.get(xy, F.lit(1)).try_cast("double"))
+    part = lambda p: F.transform(F.split(p, r"\),\("), lambda r: F.transform(F.transform(F.split(r, ","), lambda v: F.split(v, " ")), read))
     return F.when(bare != "", F.transform(F.split(bare, r"\)\),\(\("), part))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from arealoom.functions import geometry as geo
 from arealoom.functions import values
 from arealoom.operators import breaks, clean, cube, flows, outlines, spatial
-from arealoom.plans import maps, queries, scales
+from arealoom.plans import maps, queries, scales, stand_ins
 from arealoom.sources import layers
 
 
@@ -526,3 +526,17 @@ def test_clip_leaves_lines_that_no_side_reaches(spark):
             area = sum(abs(spatial._signed(r)) * (1 if n == 0 else -1) for p in made for n, r in enumerate(p))
             low, high = np.array(box[:2]), np.array(box[2:])
             assert area == pytest.approx((held & (spots > low).all(1) & (spots < high).all(1)).sum() / 64), (parts, box)
+
+
+def test_shapes_of_the_stand_in_are_dealt_out(spark, small_dir):
+    n = rows_by_task(stand_ins.shapes(spark, small_dir).select("shape_key"))
+    assert len(n) == 4 and max(n) <= sum(n) / 3
+
+
+def test_numbers_of_wkt(spark):
+    values = [0.0, -0.0, 1.0, -5.0, 120000.0, 1e14, 1e15, 2.0**63, 1e300, 0.5, -0.25, 1e-7, 100.1234564, 0.1234565, 60000.00000049, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    plain_ = F.regexp_replace(F.format_string("%.6f", "v"), r"\.?0+$", "")
+    assert [r for r in df.select(geo.number_text(F.col("v")), plain_).collect() if r[0] != r[1]] == []
+    of = lambda t: spark.createDataFrame([(t,)], "t string").select(geo.from_wkt(F.col("t")).alias("parts")).first().parts
+    assert of("POLYGON Z (( 1\t 2  7 , 3  4 7,x 6 7, 1 2 7 ) )") == [[[(1.0, 2.0), (3.0, 4.0), (None, 6.0), (1.0, 2.0)]]]
