@@ -13,7 +13,7 @@ from ..functions import geometry as geo
 from ..functions.values import format_code, label, label_joined, labels_of, normalise, unsuppressed
 from ..operators import breaks, clean, cube, flows, outlines, spatial
 from ..sources import layers
-from ..sources.scratch import shared_folder
+from ..sources.scratch import shared_folder, staged
 from . import maps, scales
 from .registry import AGE
 from .stand_ins import KINDS, areas, over, shape_wkt_sql, shapes, stand_in
@@ -393,7 +393,9 @@ def gravity_flows(spark, d):
 @query(over("select 'origin' as side, origin_id as id, round_even(sum(flow_value), 0) as total from f where origin_id <> destination_id group by 2 union all select 'destination', destination_id, round_even(sum(flow_value), 0) from f where origin_id <> destination_id group by 2", "fx_flows", steps=_FLOWS))
 def flows_balanced(spark, d):
     """The gravity model's flows, balanced to meet each area's own totals: what the balanced flows sum to."""
-    own = raw_flows(spark, d).where("origin_id <> destination_id")
+    # one pass over the tables, and codes by pair: the model and both lists of totals only need the sums
+    sums = stand_in(spark, d, "fx_flows").groupBy("source", "sink").agg(F.sum("count").alias("count"))
+    own = staged(flows.flows_from_raw(sums).where("origin_id <> destination_id"))
     points = stand_in(spark, d, "fx_areas").select(F.col("code").alias("id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     seed = flows.gravity(own, points).select("origin_id", "destination_id", F.col("expected").alias("flow_value"))
     totals_of = lambda df, k: df.groupBy(k).agg(F.sum("flow_value").alias("total"))

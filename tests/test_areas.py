@@ -540,3 +540,17 @@ def test_numbers_of_wkt(spark):
     assert [r for r in df.select(geo.number_text(F.col("v")), plain_).collect() if r[0] != r[1]] == []
     of = lambda t: spark.createDataFrame([(t,)], "t string").select(geo.from_wkt(F.col("t")).alias("parts")).first().parts
     assert of("POLYGON Z (( 1\t 2  7 , 3  4 7,x 6 7, 1 2 7 ) )") == [[[(1.0, 2.0), (3.0, 4.0), (None, 6.0), (1.0, 2.0)]]]
+
+
+def test_balanced_flows_read_their_tables_once(spark, small_dir, monkeypatch):
+    n, table = spark.sparkContext.accumulator(0), queries.stand_in
+
+    def seen(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    counted = lambda spark, d, name: (df := table(spark, d, name)).mapInArrow(seen, df.schema) if name == "fx_flows" else table(spark, d, name)
+    monkeypatch.setattr(queries, "stand_in", counted)
+    queries.flows_balanced(spark, small_dir).collect()
+    assert n.value == table(spark, small_dir, "fx_flows").count()
